@@ -8,56 +8,70 @@ import re
 import numpy as np
 
 
+class Remembered(dict):
+    """What ``encode`` gives for a chunk, kept for ``limit`` to twice as many chunks: those of the last generation too."""
+
+    def __init__(self, encode, limit: int):
+        super().__init__()
+        self.encode, self.limit, self.old = encode, limit, {}
+
+    def __missing__(self, chunk: str):
+        value = self.old.get(chunk)
+        if value is None:
+            tail = chunk[-1:]
+            # a tokenizer parts letters from punctuation, so the word before a stop is looked up by itself
+            value = self[chunk[:-1]] + self[tail] if tail in (".", ",") and chunk[:-1].lstrip(" \n").isalpha() else self.encode(chunk)
+        self[chunk] = value
+        return value
+
+    def trim(self) -> None:
+        if len(self) > self.limit:
+            self.old = self.copy()
+            self.clear()
+
+
 class ChunkEncoder:
     """Token ids or counts of whole texts, equal to the library's for the whole text.
 
     A text is cut where the tokenizer itself always cuts: before each run of spaces and line feeds that follows
     another character. Where a text has any other white space, a byte-level tokenizer could join it with such a
-    run, so the library gets that text whole. ``drops_space``: the tokenizer discards white space (word BPE), so
-    chunks are what stands between spaces and line feeds. ``remember`` bounds the distinct chunks kept."""
+    run, so the library gets that text whole. ``drops_space``: the tokenizer discards white space and case (word
+    BPE), so chunks are what stands between spaces and line feeds, in lower case where lower case is beyond doubt
+    (Latin-1 without special strings). ``remember`` bounds the chunks kept."""
 
     _RUNS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
     _OTHER_SPACE = re.compile(r"[^\S \n]")
 
-    def __init__(self, path: str, drops_space: bool, remember: int = 1_000_000):
+    def __init__(self, path: str, drops_space: bool, remember: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.drops_space, self.remember = drops_space, remember
-        self.known: dict[str, object] = {}
-
-    def _chunks(self, text: str) -> list[str] | None:
-        if self.drops_space:
-            return text.replace("\n", " ").split(" ")
-        return None if self._OTHER_SPACE.search(text) else self._RUNS.findall(text)
-
-    def _learn(self, lists: list[list[str] | None], value) -> list:
-        """The remembered value of each chunk of each list; what is new is encoded in one call."""
-        known = self.known
-        if len(known) > self.remember:
-            known.clear()
-        fresh = set()
-        for chunks in lists:
-            if chunks:
-                fresh.update(chunks)
-        fresh = [x for x in fresh if x not in known]
-        if fresh:
-            for x, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                known[x] = value(e.ids)
-        return known
+        self.tokenizer, self.drops_space = Tokenizer.from_file(path), drops_space
+        self.known_counts = Remembered(lambda t: len(self._whole(t)), remember)
+        self.known_ids = Remembered(lambda t: np.asarray(self._whole(t), "<u4").tobytes(), remember)
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _chunks(self, text: str) -> list[str]:
+        if not self.drops_space:
+            return [text] if self._OTHER_SPACE.search(text) else self._RUNS.findall(text)
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return text.replace("\n", " ").split(" ")
 
     def counts(self, texts: list[str]) -> list[int]:
-        lists = [self._chunks(t) for t in texts]
-        known = self._learn(lists, len)
-        return [sum(map(known.__getitem__, c)) if c is not None else len(self.tokenizer.encode(t, add_special_tokens=False).ids) for c, t in zip(lists, texts)]
+        self.known_counts.trim()
+        return [sum(map(self.known_counts.__getitem__, c)) if len(c := self._chunks(t)) > 1 else len(self._whole(t)) for t in texts]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        pack = lambda ids: np.asarray(ids, "<u4").tobytes()
-        lists = [self._chunks(t) for t in texts]
-        known = self._learn(lists, pack)
-        return [b"".join(map(known.__getitem__, c)) if c is not None else pack(self.tokenizer.encode(t, add_special_tokens=False).ids) for c, t in zip(lists, texts)]
+        self.known_ids.trim()
+        return [b"".join(map(self.known_ids.__getitem__, c)) if len(c := self._chunks(t)) > 1 else np.asarray(self._whole(t), "<u4").tobytes() for t in texts]
 
 
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}
