@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 
 import numpy as np
 
@@ -19,8 +20,10 @@ class Remembered(dict):
         value = self.old.get(chunk)
         if value is None:
             tail = chunk[-1:]
-            # a tokenizer parts letters from punctuation, so the word before a stop is looked up by itself
-            value = self[chunk[:-1]] + self[tail] if tail in (".", ",") and chunk[:-1].lstrip(" \n").isalpha() else self.encode(chunk)
+            # a tokenizer parts letters from punctuation, so the word before a stop is looked up by itself; not where
+            # composing or lower-casing leaves a combining mark, which would go with the stop
+            body = chunk[:-1].lstrip(" \n") if tail in (".", ",") else ""
+            value = self[chunk[:-1]] + self[tail] if body.isalpha() and unicodedata.normalize("NFC", body).lower().isalpha() else self.encode(chunk)
         self[chunk] = value
         return value
 
