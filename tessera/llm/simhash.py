@@ -215,15 +215,16 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-def component_ids(prints: DataFrame) -> DataFrame:
-    """(fp, component_id, component_fp) of each distinct fingerprint of ``prints`` (doc_id, fp): the component's smallest
-    id and that document's fingerprint."""
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("__id")), "fingerprints")
+def component_ids(prints: DataFrame, row: str = "doc_id") -> DataFrame:
+    """(fp, component_id, component_row) of each distinct fingerprint of ``prints`` (doc_id, fp): the component's smallest
+    id, and the smallest ``row`` among its documents with that id."""
+    least = lambda: F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row")))
+    distinct = written(prints.groupBy("fp").agg(least().alias("__least")), "fingerprints")
     labels = written(connected(links(distinct)), "labels")
     joined = distinct.join(labels, F.col("fp") == F.col("node"), "left").withColumn("__label", F.coalesce("label", "fp"))
-    joined = joined.select("fp", "__id", "__label")
-    least = joined.groupBy("__label").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "fp")).alias("__least"))
-    return written(joined.join(least, "__label").select("fp", F.col("__least.__id").alias("component_id"), F.col("__least.fp").alias("component_fp")), "components")
+    joined = joined.select("fp", "__least", "__label")
+    first = joined.groupBy("__label").agg(F.min("__least").alias("__first"))
+    return written(joined.join(first, "__label").select("fp", F.col("__first.id").alias("component_id"), F.col("__first.row").alias("component_row")), "components")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -234,14 +235,15 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without near-duplicates: of each component the row with the smallest id, one if it is repeated."""
+    """The documents without near-duplicates: of each component one row, the first written with the smallest id.
+
+    Rows are numbered as they are written; the numbers of the rows that stay are hashed, and texts pass them once,
+    dealt out by number and unsorted."""
     arrow_rows(docs.sparkSession)
-    rows = written(docs.withColumn("__fp", fingerprint(F.col("text").cast("string"))), "printed")
-    ids = component_ids(rows.select("doc_id", F.col("__fp").alias("fp")))
-    chosen = ids.where("fp = component_fp").select(F.col("fp").alias("__one_fp"), F.col("component_id").alias("__one_id"))
-    r, c = rows.alias("r"), chosen.alias("c")
-    kept = r.join(c, F.col("r.doc_id").eqNullSafe(F.col("c.__one_id")) & (F.col("r.__fp") == F.col("c.__one_fp")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__fp"]).select(*docs.columns)
+    rows = written(docs.withColumn("__fp", fingerprint(F.col("text").cast("string"))).withColumn("__row", F.monotonically_increasing_id()), "printed")
+    ids = component_ids(rows.select("doc_id", F.col("__fp").alias("fp"), "__row"), "__row")
+    chosen = ids.select(F.col("component_row").alias("__kept")).distinct()
+    return rows.join(chosen.hint("shuffle_hash"), F.col("__row") == F.col("__kept"), "left_semi").select(*docs.columns)
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
