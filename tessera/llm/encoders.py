@@ -45,7 +45,7 @@ class ChunkEncoder:
     _RUNS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
     _OTHER_SPACE = re.compile(r"[^\S \n]")
 
-    def __init__(self, path: str, drops_space: bool, remember: int = 600_000):
+    def __init__(self, path: str, drops_space: bool, remember: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
