@@ -3,7 +3,7 @@
 Every document has a 60-bit hash of its id and text. A source whose target is q times its size and a rest takes all
 its documents q times, and once more those with a hash below the source's threshold. Thresholds come from nested
 histograms: sizes are summed by source and 12-bit hash bucket, the budget falls into one bucket, and only that
-bucket's documents are summed again by their next 12 bits, until all bits are used. Nothing is sorted by document.
+bucket's documents are summed again by their next 24 bits, and once more by the last 24. Nothing is sorted by document.
 
 Defined cases: a null text has size 0; a null source is a source, ordered last; rows with equal id and text share a
 hash and are taken together; a source of size 0 has target 0 and takes nothing; an empty table gives an empty
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD, table, written
 
-BITS, LEVELS = 12, 5
+BITS = (12, 24, 24)  # of the hash, by level
 WEIGHTS = (5, 2, 1)
 
 
@@ -30,7 +30,7 @@ def doc_size(text: Column) -> Column:
 def doc_hash(doc_id: Column, text: Column) -> Column:
     """60 bits of the MD5 of id and text; the same in any SQL engine."""
     key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit("")))
-    return F.conv(F.substring(F.md5(key.cast("binary")), 1, BITS * LEVELS // 4), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, sum(BITS) // 4), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = 3) -> DataFrame:
@@ -62,22 +62,22 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
     copies = F.when(size > 0, F.floor(target / size)).otherwise(F.lit(0)).cast("long")
     state = targets.withColumn("copies", copies).withColumn("__left", F.when(size > 0, target - F.col("copies") * size).otherwise(F.lit(0.0))).withColumn("below", F.lit(None).cast("long")).withColumn("__at", F.lit(0).cast("long"))
     state = written(state, "mix-state")
-    for level in range(LEVELS):
-        shift = BITS * (LEVELS - 1 - level)
+    for level in range(len(BITS)):
+        shift = sum(BITS[level + 1 :])
         histogram = rows.groupBy("source", F.shiftright("hash", shift).alias("__b")).agg(F.sum("size").alias("__sum"))
         cum = F.sum("__sum").over(W.partitionBy("source").orderBy("__b").rowsBetween(W.unboundedPreceding, 0))
-        histogram = written(histogram.withColumn("__cum", cum), "mix-histogram")
+        histogram = histogram.withColumn("__cum", cum)
         h, s = histogram.alias("h"), state.alias("s")
         over = h.join(s, F.col("h.source").eqNullSafe(F.col("s.source"))).where(F.col("h.__cum") > F.col("s.__left"))
         edge = over.groupBy(F.col("s.source").alias("source")).agg(F.min(F.struct(F.col("h.__b").alias("b"), F.col("h.__cum").alias("cum"), F.col("h.__sum").alias("sum"))).alias("e")).alias("e")
         state = s.join(edge, F.col("s.source").eqNullSafe(F.col("e.source")), "left").select("s.source", "source_size", "target", "copies", (F.col("__left") - (F.col("e.cum") - F.col("e.sum"))).alias("__left"), "below", F.col("e.b").alias("__at"), F.col("e.sum").alias("__edge"))
         state = written(state, "mix-state")
-        if level < LEVELS - 1:
+        if shift:
             r, s = rows.alias("r"), state.where("__at is not null").alias("s")
             rows = r.join(s, F.col("r.source").eqNullSafe(F.col("s.source")) & (F.shiftright("r.hash", shift) == F.col("s.__at")), "left_semi")
             rows = written(rows, "mix-edge")
     last = F.col("__at") + F.when(F.col("__edge") <= 2 * F.col("__left"), 1).otherwise(0)  # the document on the edge, if that comes nearer
-    return state.select("source", "source_size", "target", "copies", F.coalesce(last, F.lit(1 << BITS * LEVELS)).alias("below"))
+    return state.select("source", "source_size", "target", "copies", F.coalesce(last, F.lit(1 << sum(BITS))).alias("below"))
 
 
 def plan_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = 3) -> tuple[DataFrame, DataFrame]:

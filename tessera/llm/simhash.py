@@ -220,7 +220,7 @@ def component_ids(prints: DataFrame, row: str = "doc_id") -> DataFrame:
     id, and the smallest ``row`` among its documents with that id."""
     least = lambda: F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row")))
     distinct = written(prints.groupBy("fp").agg(least().alias("__least")), "fingerprints")
-    labels = written(connected(links(distinct)), "labels")
+    labels = connected(links(distinct))
     joined = distinct.join(labels, F.col("fp") == F.col("node"), "left").withColumn("__label", F.coalesce("label", "fp"))
     joined = joined.select("fp", "__least", "__label")
     first = joined.groupBy("__label").agg(F.min("__least").alias("__first"))
