@@ -1,0 +1,531 @@
+"""Each training-data operator against brute force, with nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
+
+import io
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tessera.llm import html_text, language, mixing, neighbours, packing, quality_model, quality_rules, simhash, tokens, warc
+from tessera.llm.common import scratch, slices, text_buffer
+from tessera.llm.encoders import ChunkEncoder
+
+tokenizers = pytest.importorskip("public_tokenizers")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, rows, extra=False):
+    df = spark.createDataFrame([(i, t, l, s, None if t is None else len(t)) for i, t, l, s in rows], DOCS)
+    if extra:
+        for c in ("size", "hash", "fp", "score", "length", "copies", "content", "anchor", "label", "p", "x"):
+            df = df.withColumn(c, F.lit("clash"))
+    return df
+
+
+def words(rng, n, letters="abcdefghij"):
+    return " ".join("".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def sample():
+    rng = random.Random(7)
+    rows = [(i, words(rng, rng.randint(1, 60)), "en" if i % 2 else "fr", f"s{i % 4}") for i in range(60)]
+    copy = rows[3][1]
+    rows += [(100 + i, copy, "en", "s0") for i in range(40)]  # a large group of copies
+    rows += [(200, None, None, None), (201, "", "en", None), (202, " \n\t ", "en", "s1"), (None, "no id here", "en", "s1"), (5, rows[5][1], "en", "s1"), (203, words(rng, 30000), "en", "s2"), (204, "é ñ 漢字 😀", "fr", "s3")]
+    return rows
+
+
+# ---------------------------------------------------------------- 1: WARC
+
+
+def pages(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string, type string, path string")
+
+
+def test_warc_round_trip(spark):
+    rows = [(1, "http://a/1", "<p>x</p>", "t", "p"), (7, "http://a/7", "<p>x</p>", "t", "p"), (3, None, None, "t", "p"), (4, "http://a/ b", "", "t", "p"), (None, "u", "<p>x</p>", "t", "p"), (8, "u", "é" * 70000, "t", "p"), (7, "again", "<p>x</p>", "t", "p")]
+    files = warc.write_archives(pages(spark, rows), scratch(spark, "t"), roll=500)
+    back = warc.read_archives(files, with_payload=True).collect()
+    assert {r.kind for r in back} == {"record"} and len(back) == len(rows)
+    assert sorted((r.type, r.payload_bytes) for r in back) == sorted([("revisit", 8), ("response", 8), ("response", 8), ("revisit", 0), ("response", 0), ("revisit", 8), ("response", 140000)])
+    assert {r.refers_to_id for r in back if r.type == "revisit"} == {"<urn:page:7>", "<urn:page:4>"}
+    assert {bytes(r.payload) for r in back if r.record_id == "<urn:page:8>"} == {("é" * 70000).encode()}
+
+
+def test_warc_empty_table(spark):
+    assert warc.read_archives(warc.write_archives(pages(spark, []), scratch(spark, "t"))).count() == 0
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_warc_salvage(packed):
+    rng = random.Random(1)
+    made = [warc.record(i, "http://x", bytes(rng.choices(range(97, 123), k=400)), None) for i in range(12)]
+    if not packed:
+        made = [zlib.decompress(x, 31) for x in made]
+    starts = np.cumsum([0, *map(len, made)])
+    data = bytearray(b"".join(made))
+    data[starts[3] + len(made[3]) // 2] ^= 0xFF  # a flipped byte
+    data[starts[6] : starts[6] + 10] = b"\0" * 10  # a lost header
+    data = bytes(data[:-9]) + b""  # a file cut short
+    found = list(warc.salvage(io.BytesIO(data), len(data)))
+    assert sum(n for _, n, _, _ in found) == len(data)  # every byte is in a record or a gap
+    assert [r.headers["warc-record-id"] for _, _, r, _ in found if r] == [f"<urn:page:{i}>" for i in range(12) if i not in (3, 6, 11)]
+    assert [at for at, _, r, _ in found if r is None] == [starts[3], starts[6], starts[11]]
+    assert all(reason for _, _, r, reason in found if r is None)
+
+
+def test_warc_salvage_garbage():
+    for data in (b"", b"nothing here", b"\x1f\x8b\x08" * 50, b"WARC/1.0\r\nContent-Length: 5\r\n\r\nab"):
+        found = list(warc.salvage(io.BytesIO(data), len(data)))
+        assert all(r is None for _, _, r, _ in found) and sum(n for _, n, _, _ in found) == len(data)
+
+
+# ---------------------------------------------------------------- 2: quality rules
+
+
+def brute_base(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    seen = {}
+    for i in range(len(w) - 4):
+        seen.setdefault(tuple(w[i : i + 5]), []).append(i)
+    covered = {j for at in seen.values() if len(at) > 1 for i in at for j in range(i, i + 5)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_rules(spark, sample):
+    rng = random.Random(3)
+    common = "Subscribe to our letter today please"
+    rows = [(1000 + i, f"{common}\n{words(rng, 3 if i % 2 else 40)}", "en", "h1") for i in range(8)] + [(2000, "a b c d e f a b c d e g a b c d e\n\nx\nx\n # | <x>", "en", "h2")] + sample
+    got = quality_rules.line_frequency(docs(spark, rows, True), max_docs=5, min_words=10, min_share=0.5).collect()
+    assert len(got) == len(rows)
+    want = sorted(((i if i is not None else -1), *brute_base(t)) for i, t, _, _ in rows)
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
+    by = {r.doc_id: r for r in got}
+    assert [by[1000 + i].kept for i in range(8)] == [i % 2 == 0 for i in range(8)]  # the short ones are depleted
+    assert by[1000].n_line_words == 6 and not by[200].kept and by[200].base_failed
+    assert quality_rules.line_frequency(docs(spark, [])).count() == 0
+
+
+# ---------------------------------------------------------------- 3: quality classifier
+
+
+def test_trees_learn_and_flatten():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 5)).astype(np.float32)
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 0)).astype(float)
+    trees = quality_model.grow(x[:2000], y[:2000])
+    assert ((trees.score(x[2000:]) > 0.5) == y[2000:]).mean() > 0.95
+
+    def walk(row):
+        total = trees.base
+        for f, c, v in zip(trees.feature, trees.cut, trees.value):
+            k = 0
+            while k < len(f):
+                k = 2 * k + 1 + int(row[f[k]] > c[k])
+            total += v[k - len(f)]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose([walk(r) for r in x[:50]], trees.score(x[:50]))
+    assert np.allclose(quality_model.grow(x[:0], y[:0]).score(x[:3]), 0.5)
+    assert np.allclose(quality_model.grow(x, np.ones(len(x))).score(x[:3]), 1, atol=1e-4)
+
+
+def test_quality_cases(spark, sample):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(None, 1, 0), (3, None, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")
+    d = docs(spark, sample, True)
+    trees = quality_model.fit(d, labels)
+    got = d.select("doc_id", quality_model.score_column(trees).alias("s")).collect()
+    assert len(got) == len(sample) and all(0 <= r.s <= 1 for r in got)
+    kept = quality_model.keep_good(d, trees, 0.0)
+    assert kept.columns == d.columns and kept.count() == len(sample)
+    assert quality_model.fit(docs(spark, []), labels.limit(0)).score(np.zeros((1, quality_model.N_FEATURES)))[0] == 0.5
+
+
+def test_statistics_do_not_depend_on_batches(monkeypatch):
+    texts = pa.array(["ab, C!\n1|", None, "", "x " * 5000, "é"])
+    whole = quality_model.statistics(texts)
+    monkeypatch.setattr(quality_model, "slices", lambda o: slices(o, 64))
+    cut = quality_model.statistics(texts)
+    keep = [i for i in range(whole.shape[1])]
+    assert np.allclose(whole[[0, 1, 2, 4]][:, keep], cut[[0, 1, 2, 4]][:, keep])
+
+
+# ---------------------------------------------------------------- 4: token counts
+
+
+def test_chunks_equal_the_library():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    alphabet = [*" \n\t aB1'!é́Σ漢😀\x1c.,İ", "<|endoftext|>", "'ll", " ", "<|ENDOFTEXT|>", "मॣ"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(3000)] + ["", "İ. x", "a  b\n\n c"]
+    for name, drops in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        t, e = Tokenizer.from_file(tokenizers.path(name)), ChunkEncoder(tokenizers.path(name), drops, 500)
+        want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert e.counts(texts) == [len(w) for w in want]
+        assert e.ids(texts) == [np.asarray(w, "<u4").tobytes() for w in want]
+
+
+def test_digest_cache(spark, sample):
+    path = tokenizers.path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    cache = tokens.open_cache(spark, scratch(spark, "cache"))
+    d = docs(spark, sample, True)
+    got = tokens.count_tokens(d, path, cache).collect()
+    want = sorted((-1 if i is None else i, len((x or "").encode()), len(t.encode(x or "").ids)) for i, x, _, _ in sample)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want
+    stored = spark.read.parquet(cache)
+    assert stored.select("content").distinct().count() == len({x or "" for _, x, _, _ in sample})
+    n = stored.count()
+    tokens.count_tokens(d, path, cache)
+    assert spark.read.parquet(cache).count() == n  # all hits
+    spark.createDataFrame([(bytes(32), "another", 9)], tokens.CACHE).write.mode("append").parquet(cache)
+    assert tokens.count_tokens(docs(spark, [(1, "new text", "en", "s")]), path, cache).first().n_tokens == len(t.encode("new text").ids)
+    assert tokens.count_tokens(docs(spark, []), path, cache).count() == 0
+
+
+# ---------------------------------------------------------------- 5: packing
+
+
+def check_packing(got, capacity):
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in by.values():
+        at = 0
+        for o, n in sorted(own):
+            assert o == at
+            at += n
+        assert at <= capacity
+    return len(by)
+
+
+def test_packing(spark, sample):
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    got = packing.pack_documents(docs(spark, sample, True), path, 256).collect()
+    want = []
+    for i, x, _, _ in sample:
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
+        for k, a in enumerate(range(0, len(ids), 256)):
+            part = np.asarray(ids[a : a + 256], "<u4").tobytes()
+            want.append((-1 if i is None else i, k, a, len(part) // 4, zlib.crc32(part)))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    n = check_packing(got, 256)
+    assert n <= -(-sum(w[3] for w in want) // 256) + 1
+    assert packing.pack_documents(docs(spark, []), path, 256).count() == 0
+
+
+def fewest(lengths, capacity):
+    """Brute force over all partitions of a few pieces."""
+    best = [len(lengths)]
+
+    def place(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] + lengths[i] <= capacity and bins[k] not in bins[:k]:
+                bins[k] += lengths[i]
+                place(i + 1, bins)
+                bins[k] -= lengths[i]
+        place(i + 1, [*bins, lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_bin_completion_against_brute_force():
+    rng = random.Random(2)
+    for _ in range(150):
+        capacity = rng.choice([10, 20, 37])
+        lengths = sorted((rng.randint(1, capacity) for _ in range(rng.randint(1, 9))), reverse=True)
+        histogram = {n: lengths.count(n) for n in lengths}
+        bins = packing.solve(histogram, capacity)
+        used = {}
+        for times, own in bins:
+            assert sum(own) <= capacity
+            for n in own:
+                used[n] = used.get(n, 0) + times
+        assert used == histogram
+        assert sum(k for k, _ in bins) <= fewest(lengths, capacity) + 1
+
+
+# ---------------------------------------------------------------- 6: language
+
+
+def test_ppm_costs_are_exact():
+    import math
+
+    train = ["abra abra", "cadabra", ""]
+    data, place, _ = language.padded(*text_buffer(pa.array(train)))
+    gram = np.zeros(len(place), np.int64)
+    for k in range(4):
+        gram = gram << 8 | data[place - 3 + k]
+    kinds, n = np.unique(gram, return_counts=True)
+    model = language.build({"xx": (kinds, n)})
+
+    def bits(text):
+        counts = {}
+        for x in train:
+            b = b"\n\n\n" + x.encode()
+            for i in range(3, len(b)):
+                for k in range(4):
+                    d = counts.setdefault(b[i - k : i], {})
+                    d[b[i]] = d.get(b[i], 0) + 1
+        b, total = b"\n\n\n" + text.encode(), 0.0
+        for i in range(3, len(b)):
+            out = set()
+            for k in range(3, -1, -1):
+                d = {y: m for y, m in counts.get(b[i - k : i], {}).items() if y not in out}
+                if not d:
+                    continue
+                total_n = sum(d.values()) + len(d)
+                if b[i] in d:
+                    total -= math.log2(d[b[i]] / total_n)
+                    break
+                total -= math.log2(len(d) / total_n)
+                out |= set(d)
+            else:
+                total += math.log2(256 - len(out))
+        return total
+
+    texts = ["abracadabra", "zebra é", "", "a", "brab rab" * 40]
+    assert np.allclose(model.code_lengths(pa.array(texts))[:, 0], [bits(x) for x in texts], rtol=1e-5)
+
+
+def test_language_long_texts_are_whole(monkeypatch):
+    rng = random.Random(1)
+    data, place, _ = language.padded(*text_buffer(pa.array([words(rng, 300)])))
+    gram = sum(data[place - 3 + k].astype(np.int64) << (8 * (3 - k)) for k in range(4))
+    kinds, n = np.unique(gram, return_counts=True)
+    model, texts = language.build({"a": (kinds, n), "b": (kinds[:50], n[:50])}), pa.array([words(rng, 900), None, "x", words(rng, 50)])
+    whole = model.code_lengths(texts)
+    monkeypatch.setattr(language, "slices", lambda o, most, lead: slices(o, 97, lead))
+    assert np.allclose(whole, model.code_lengths(texts), rtol=1e-6)
+
+
+def test_language_cases(spark, sample):
+    rng = random.Random(4)
+    rows = [(300 + i, words(rng, 40, "abcde"), "aa", "s") for i in range(20)] + [(400 + i, words(rng, 40, "uvwxyz"), "zz", "s") for i in range(20)] + [(500, "123 !!", "aa", "s"), (501, None, "aa", "s"), (502, "²", "aa", "s"), (503, "abab", None, "s")]
+    d = docs(spark, rows, True)
+    model = language.fit(d)
+    got = {r.doc_id: r.p for r in d.select("doc_id", language.predict(spark, model).alias("p")).collect()}
+    assert all(got[300 + i].lang == "aa" and got[400 + i].lang == "zz" for i in range(20))
+    assert [got[i].lang for i in (500, 501, 502)] == ["und"] * 3 and got[503].lang == "aa"
+    assert all(0 <= p.score <= 1 for p in got.values())
+    kept = language.keep_known(d, model)
+    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == set(got) - {500, 501, 502}
+    nothing = language.fit(docs(spark, []))
+    assert d.select(language.predict(spark, nothing).alias("p")).first().p.lang == "und"
+
+
+# ---------------------------------------------------------------- 7: neighbours
+
+
+def test_neighbours_recall_and_cases(spark):
+    rng = np.random.default_rng(3)
+    vectors = [(i, rng.normal(size=8).tolist()) for i in range(1500)] + [(2000 + i, [1.0] * 8) for i in range(300)]
+    vectors += [(5001, None), (5002, [0.0] * 8), (5003, [float("nan")] * 8), (5004, [1.0] * 7), (None, [1.0] * 8), (5005, [None] + [1.0] * 7), (5100, [1.0] * 8)]
+    df = spark.createDataFrame([(i, v, 1, "c") for i, v in vectors], "vec_id long, embedding array<float>, label int, score string")
+    got = neighbours.nearest(df, F.col("vec_id") % 100 == 0, leaf_rows=128).collect()
+    sound = [(i, np.asarray(v, np.float32).astype(float)) for i, v in vectors if i is not None and v is not None and len(v) == 8 and None not in v and np.isfinite(v).all() and any(v)]
+    ids, m = np.array([i for i, _ in sound]), np.array([v for _, v in sound])
+    hit = total = 0
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((m - m[ids == q][0]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        o = np.lexsort((ids, d))[:10]
+        own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [r for r, _, _ in own] == list(range(1, 11))
+        assert own == sorted(own, key=lambda r: (r[2], r[1]))
+        assert all(abs(s - d[ids == v][0]) < 1e-12 for _, v, s in own)
+        hit, total = hit + len(set(ids[o]) & {v for _, v, _ in own}), total + 10
+        if q >= 2000:
+            assert [v for _, v, _ in own] == ids[o].tolist()  # ties go to the smaller id
+    assert hit / total >= 0.9
+    assert neighbours.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+    assert neighbours.nearest(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") % 100 == 0).count() == 2
+
+
+def test_chi_square():
+    assert abs(neighbours.chi_square(15.507, 8) - 0.95) < 1e-4 and abs(neighbours.chi_square(neighbours.reach(0.9)) - 0.9) < 1e-9
+
+
+# ---------------------------------------------------------------- 8: HTML
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/a>Home</a></li></ul></nav><!-- ad -->
+<div class="ad">Buy, now! Cheap.</div><div class="cookie-notice"><p>We use cookies, you know. All of them.</p></div><article><h1>The title</h1><p><b>First, para.<br>more<p>Second &amp; last &lt;b&gt;, it is.</p><ul><li>One, thing.</li></ul><p>Short</p>
+<form><input name=q><button>Go</button></form></article><aside><p>Side, text. Here.</p></aside><section id="comments"><p>Great, post! I agree. Really, truly.</p></section><footer>&copy; x</footer></body></html>"""
+
+
+def test_html_main_text():
+    assert html_text.main_text(PAGE) == "The title\n\nFirst, para. more\n\nSecond & last <b>, it is.\n\nOne, thing.\n\nShort"
+
+
+def test_html_without_article():
+    page = '<body><div id=menu><a href=x>Home</a> <a href=y>About</a></div><div class=wrap><div class=text><h2>Head</h2><p>One, two, three. Four, five.</p><p>Six, seven; eight. Nine.</p></div><div class="sidebar"><p>Other, things. Here.</p></div></div><div>© 2020</div></body>'
+    assert html_text.main_text(page) == "Head\n\nOne, two, three. Four, five.\n\nSix, seven; eight. Nine."
+
+
+@pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<!--", "<script>x", "<a href='", "</p></div>", "<p>" * 3000, "<div>" * 2000 + "x", "<x y=\"" * 2000])
+def test_html_odd_pages(page):
+    assert isinstance(html_text.main_text(page), str)
+
+
+def test_html_table(spark):
+    df = spark.createDataFrame([(1, "u", PAGE, "c"), (2, None, None, "c"), (None, "u", "<p>Plain, text.</p>", "c"), (4, "u", "<p>" + "word, " * 50000 + "</p>", "c")], "page_id long, url string, html string, text string")
+    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    assert got[2] == "" and got[None] == "Plain, text." and len(got[4]) == 300000 - 1
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- 9: mixing
+
+
+def brute_mix(rows):
+    import hashlib
+
+    size = lambda x: len(re.findall(r"[^\x20\x09-\x0D]+", x or ""))
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    sums = {s: sum(size(x) for _, x, _, q in rows if q == s) for s in names}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    target, free, left = {}, list(names), sum(sums.values())
+    while free:
+        total = sum(weight[s] for s in free)
+        over = [s for s in free if left * weight[s] / total >= 3 * sums[s]]
+        if not over:
+            target |= {s: left * weight[s] / total for s in free}
+            break
+        for s in over:
+            target[s] = 3.0 * sums[s]
+        left -= sum(3 * sums[s] for s in over)
+        free = [s for s in free if s not in over]
+    out = []
+    for s in names:
+        own = {}
+        for i, x, _, q in rows:
+            if q == s:
+                h = int(hashlib.md5(f"{'' if i is None else i}|{x or ''}".encode()).hexdigest()[:15], 16)
+                own.setdefault(h, []).append((i, size(x)))
+        copies = int(target[s] // sums[s]) if sums[s] else 0
+        budget, done = target[s] - copies * sums[s], 0
+        for h in sorted(own):
+            n = sum(k for _, k in own[h])
+            more = 1 if done + n <= budget or n <= 2 * (budget - done) else 0
+            done += n
+            out += [(-1 if i is None else i, k, sums[s], round(target[s], 6), k * (copies + more) if sums[s] else 0) for i, k in own[h]]
+    return sorted(out)
+
+
+def test_mixing(spark, sample):
+    got = mixing.mix(docs(spark, sample, True)).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in got) == brute_mix(sample)
+    assert all(r.taken <= 3 * r["size"] for r in got)
+    assert mixing.mix(docs(spark, [])).count() == 0
+    assert [r.taken for r in mixing.mix(docs(spark, [(1, None, None, None), (2, "", None, "s")])).collect()] == [0, 0]
+
+
+def test_apply_mix_repeats_rows(spark, sample):
+    d = docs(spark, sample, True)
+    mixed = mixing.apply_mix(d)
+    assert mixed.columns == d.columns
+    taken = {}
+    for r in mixing.mix(d).collect():
+        taken[r.doc_id] = max(taken.get(r.doc_id, 0), r.taken // r["size"] if r["size"] else 1)
+    n = {r.doc_id: r.n for r in mixed.where("doc_id != 5").groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert n == {k: v for k, v in taken.items() if v and k not in (None, 5)}
+
+
+# ---------------------------------------------------------------- 10: SimHash
+
+
+def brute_print(text):
+    text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    s = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] if len(w) >= 4 else [" ".join(w)] * bool(w)
+    h = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in s]
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+def brute_components(prints):
+    label = list(range(len(prints)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if bin(prints[i][1] ^ prints[j][1]).count("1") <= 4:
+                label[root(i)] = root(j)
+    least = {}
+    for k, (i, _) in enumerate(prints):
+        if i is not None:
+            least[root(k)] = min(least.get(root(k), 1 << 62), i)
+    return [least.get(root(k)) for k in range(len(prints))]
+
+
+def test_simhash(spark, sample):
+    rows = [*sample, (600, "Ünïcode A B c d E", "en", "s"), (601, None, None, None)]
+    got = simhash.components(docs(spark, rows, True)).collect()
+    prints = [(i, brute_print(t)) for i, t, _, _ in rows]
+    key = lambda r: (-1 if r[0] is None else r[0], r[1], -1 if r[2] is None else r[2])
+    assert sorted(key((r.doc_id, r.fp % 2**64, r.component_id)) for r in got) == sorted(key((i, p, c)) for (i, p), c in zip(prints, brute_components(prints)))
+    assert simhash.components(docs(spark, [])).count() == 0
+
+
+def test_links_lose_no_component(spark):
+    rng = random.Random(9)
+    fps = []
+    for _ in range(40):
+        base = rng.getrandbits(64)
+        fps.append(base)
+        for _ in range(rng.randint(0, 12)):
+            for b in rng.sample(range(64), rng.randint(1, 5)):
+                base ^= 1 << b
+            fps.append(base)
+    fps = list(dict.fromkeys(fps))
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    want = brute_components(list(enumerate(fps)))
+    for block in (simhash.BLOCK, 2):  # with blocks of two, most anchors are cut up
+        found = simhash.connected(simhash.links(df, block=block)).collect()
+        label = {r.node % 2**64: r.label % 2**64 for r in found}
+        groups = {}
+        for f, w in zip(fps, want):
+            groups.setdefault(w, set()).add(label.get(f, f))
+        assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+
+
+def test_anchors_cover():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 2**63, 500, dtype=np.uint64)
+    y = x.copy()
+    for i in range(500):
+        for b in rng.choice(64, 4, replace=False):
+            y[i] ^= np.uint64(1) << np.uint64(b)
+    assert all(set(a) & set(b) for a, b in zip(simhash.anchors(x), simhash.anchors(y)))
+
+
+def test_keep_one(spark, sample):
+    d = docs(spark, [*sample, (5, sample[5][1], "en", "s1")], True)
+    kept = simhash.keep_one(d)
+    assert kept.columns == d.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert len(ids) == len(set(ids))
+    assert set(ids) == {r.component_id for r in simhash.components(d).collect()}
