@@ -101,6 +101,7 @@ DEGREE = r"(?i)\b(b\.?sc\.?|bachelor'?s?(?:\s+degree)?|m\.?sc\.?|master'?s?(?:\s
 CERTIFICATION = r"(?i)\b([\w]+(?:\s[\w]+){0,3}\s+certifi(?:cation|ed)|certified\s[\w]+(?:\s[\w]+){0,3}|aws certified[\w\s]*|cissp|ccna|ccnp|pmp|ckad|cka|oscp)\b"
 LANGUAGE = r"(?i)\b(fluent (?:in )?[a-zA-Z]+|native (?:speaker of )?[a-zA-Z]+|(english|hebrew|spanish|french|german|arabic|mandarin|russian)\s+(?:speaker|proficiency|required|fluency))\b"
 LOCATION = r"(?i)\b(on-?site|hybrid|must be (?:located|based) in [\w\s,]+|relocation to [\w\s,]+|based in [\w\s,]+)\b"
+YEARS_BULLET = r"(?i)(\d{1,2})\s*\+?\s*years?\s+(?:of\s+)?(?:experience\s+(?:with|in)\s+)?([a-zA-Z][\w\s./#+-]{2,40}?)(?:experience)?[.,;]|(\d{1,2})\s*-\s*\d{1,2}\s*years?\s+(?:of\s+)?(?:experience\s+(?:with|in)\s+)?([a-zA-Z][\w\s./#+-]{2,40}?)[.,;]"
 YEARS_TOTAL = [
     r"(?i)(\d{1,2})\s*\+?\s*years?\s+(?:of\s+)?(?:professional\s+|relevant\s+|overall\s+)?experience\b",
     r"(?i)(?:at least|minimum(?:\s+of)?|over)\s*(\d{1,2})\s*years?\s+(?:of\s+)?experience\b",

@@ -5,68 +5,136 @@ requirements with a profile by expressions alone; profiles are few and sit in a
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import vocabulary as V
 from tessera.functions.rules import seniority, seniority_level
 from tessera.functions.text import c
-from tessera.operators.taxonomy import family_of, skills_in
+from tessera.operators.taxonomy import GENERIC_TITLE, word
+
+#: A line end, a bullet, a sentence's end, or white space between a lower-case end and a capitalised word.
+SEGMENT = re.compile(r"[\r\n]+|[•●‣⁃]+|(?<=[.!?])\s+(?=[A-Z0-9])|(?<=[a-z0-9)%])(\s+)(?=[A-Z][a-z]{2,})")
+CONNECTORS, LAST_WORD = frozenset(V.NO_BREAK_AFTER), re.compile(r"\w+$")
+HEADER, SOFT, HARD, BULLET_YEARS = re.compile(V.SECTION_HEADER), re.compile(V.SOFTENER), re.compile(V.HARD_WORD), re.compile(V.YEARS_BULLET)
+YEARS = [re.compile(p) for p in V.YEARS_TOTAL]
+#: kind, what a text must hold for its pattern to match, pattern
+KINDS = [
+    ("degree", ("sc", "bachelor", "master", "ph", "doctorate", "degree"), re.compile(V.DEGREE)),
+    ("certification", ("certif", "cissp", "ccna", "ccnp", "pmp", "ckad", "cka", "oscp"), re.compile(V.CERTIFICATION)),
+    ("language", ("fluent", "native", "speaker", "proficiency", "required", "fluency"), re.compile(V.LANGUAGE)),
+    ("location", ("site", "hybrid", "must be", "relocation", "based in"), re.compile(V.LOCATION)),
+]
+GENERIC = re.compile(GENERIC_TITLE)
+BULLET = re.compile(r"^\s*[-*•●‣⁃]\s*|^\s*\d+[.)]\s*")
+REQUIREMENT = T.StructType([T.StructField(n, T.IntegerType() if n == "years" else T.StringType()) for n in ("bucket", "kind", "text", "canonical", "years")])
+FOUND = T.StructType([T.StructField("requirements", T.ArrayType(REQUIREMENT)), T.StructField("years", T.IntegerType()), T.StructField("family", T.StringType()), T.StructField("confidence", T.StringType())])
+
+
+def segments(text: str) -> list[str]:
+    """Bullet-like pieces; a capitalised word after a connector ("with Python") does not begin one."""
+    out, at = [], 0
+    for m in SEGMENT.finditer(text):
+        if m[1]:
+            last = LAST_WORD.search(text, max(at, m.start() - 8), m.start())
+            if last and last[0] in CONNECTORS:
+                continue
+        out.append(text[at : m.start()].strip())
+        at = m.end()
+    out.append(text[at:].strip())
+    return [s for s in out if s]
+
+
+def sections(text: str) -> list[tuple[str, str]]:
+    """(bucket, bullet) in order: each header owns what follows it, and text before the first is 'other'."""
+    out, bucket, at = [], "other", 0
+    for m in [*HEADER.finditer(text), None]:
+        out += [(bucket, s) for s in segments(text[at : m.start() if m else len(text)])]
+        if m:
+            name, at = m[1].strip().lower(), m.end()
+            bucket = "nice" if name in V.NICE_HEADERS else "responsibility" if name in V.RESPONSIBILITY_HEADERS else "must"
+    return out
 
-_GUARD = "".join(rf"(?<!\b{w})" for w in V.NO_BREAK_AFTER)
-SEGMENT = r"[\r\n]+|[•●‣⁃]+|(?<=[.!?])\s+(?=[A-Z0-9])|(?<=[a-z0-9)%])" + _GUARD + r"\s+(?=[A-Z][a-z]{2,})"
-MARK = "\u0001"
 
+class Skills:
+    """Skills of a vocabulary in a text: a plain search rules out nearly all, a word search settles the rest."""
 
-def segments(text: Column | str) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c(text), F.lit("")), SEGMENT), lambda s: F.trim(s)), lambda s: s != "")
+    def __init__(self, skills: list[tuple[str, list[str]]] = V.SKILLS):
+        self.known = [(name, [(a.lower(), re.compile(word(a))) for a in aliases]) for name, aliases in skills]
 
+    def within(self, text: str) -> Skills:
+        """The skills that can occur in any part of the text."""
+        low, out = text.lower(), Skills([])
+        out.known = [k for k in self.known if any(a in low for a, _ in k[1])]
+        return out
 
-def bucket(header: Column) -> Column:
-    return F.when(header.isin(V.NICE_HEADERS), "nice").when(header.isin(V.RESPONSIBILITY_HEADERS), "responsibility").otherwise("must")
+    def find(self, text: str) -> list[str]:
+        low = text.lower()
+        return [name for name, aliases in self.known if any(a in low and p.search(low) for a, p in aliases)]
 
 
-def sections(text: Column | str) -> Column:
-    """Array of (bucket, text) bullets: each header owns what follows it, and text before the first is 'other'."""
-    marked = F.regexp_replace(F.replace(F.coalesce(c(text), F.lit("")), F.lit(MARK), F.lit(" ")), V.SECTION_HEADER, f"{MARK}$1{MARK}")
-    parts = F.split(marked, MARK)  # other, header, body, header, body, ...
-    pieces = F.filter(F.transform(parts, lambda p, i: F.struct(F.when(i == 0, "other").otherwise(bucket(F.lower(F.trim(F.get(parts, i - 1))))).alias("bucket"), p.alias("text"), i.alias("i"))), lambda x: x["i"] % 2 == 0)
-    return F.flatten(F.transform(pieces, lambda x: F.transform(segments(x["text"]), lambda s: F.struct(x["bucket"].alias("bucket"), s.alias("text")))))
+def bullet_years(text: str) -> int | None:
+    m = BULLET_YEARS.search(text) if "year" in text.lower() else None
+    return int(m[1] or m[3]) if m else None
 
 
-def years_total(bullets: Column) -> Column:
-    """The most years any bullet outside nice-to-haves states."""
-    text = F.array_join(F.transform(F.filter(bullets, lambda b: b["bucket"] != "nice"), lambda b: b["text"]), "\n")
-    found = F.concat(*(F.regexp_extract_all(text, F.lit(p), 1) for p in V.YEARS_TOTAL))
-    return F.array_max(F.transform(found, lambda y: y.try_cast("int")))
+def requirements_of(bucket: str, line: str, skills: Skills) -> list[tuple]:
+    """One requirement per skill of a bullet, else one of the bullet's kind."""
+    text = BULLET.sub("", line).strip()
+    if not text:
+        return []
+    where = "nice" if bucket == "nice" or not HARD.search(text) and SOFT.search(text) else "must"
+    found, years = skills.find(text), bullet_years(text)
+    if found:
+        return [(where, "skill", text, s, years if len(found) == 1 else None) for s in found]
+    low = text.lower()
+    kind = next((k for k, marks, p in KINDS if any(x in low for x in marks) and p.search(text)), None) or ("years" if years is not None or "year" in low and re.search(r"\byears?\b", low) else "domain")
+    return [(where, kind, text, None, years if kind == "years" else None)]
 
 
-def kind(text: Column) -> Column:
-    return F.when(text.rlike(V.DEGREE), "degree").when(text.rlike(V.CERTIFICATION), "certification").when(text.rlike(V.LANGUAGE), "language").when(text.rlike(V.LOCATION), "location").when(text.rlike(r"(?i)\byears?\b"), "years").otherwise("domain")
+class Families:
+    """The family with most keywords in a text; of equals the one found earliest, then the first listed."""
 
+    def __init__(self, families: dict[str, list[str]] = V.FAMILIES):
+        self.known = [(name, [(w.lower(), re.compile(word(w))) for w in words]) for name, words in families.items()]
 
-def requirements(bullets: Column) -> Column:
-    """Array of (bucket, kind, text, canonical, years): one per skill of a bullet, else one of the bullet's kind."""
-    asked = F.filter(bullets, lambda b: b["bucket"].isin("must", "nice"))
+    def of(self, text: str) -> str | None:
+        low, best = text.lower(), (0, 0, None)
+        for name, words in self.known:
+            at = [m.start() for w, p in words if w in low and (m := p.search(low))]
+            if at and (best[2] is None or (len(at), -min(at)) > best[:2]):
+                best = (len(at), -min(at), name)
+        return best[2]
 
-    def of(b: Column) -> Column:
-        text = F.trim(F.regexp_replace(b["text"], r"^\s*[-*•●‣⁃]\s*|^\s*\d+[.)]\s*", ""))
-        where = F.when((b["bucket"] == "must") & ~text.rlike(V.HARD_WORD) & text.rlike(V.SOFTENER), "nice").otherwise(b["bucket"])
-        years = F.nullif(F.regexp_extract(text, r"(?i)(\d{1,2})\s*(?:\+|-\s*\d{1,2})?\s*years?", 1), F.lit("")).try_cast("int")
-        found = skills_in(text)
-        one = lambda k, name, y: F.struct(where.alias("bucket"), k.alias("kind"), text.alias("text"), name.cast("string").alias("canonical"), y.cast("int").alias("years"))
-        each = F.transform(found, lambda s: one(F.lit("skill"), s, F.when(F.size(found) == 1, years)))
-        return F.when(text == "", F.slice(each, 1, 0)).when(F.size(found) > 0, each).otherwise(F.array(one(kind(text), F.lit(None), F.when(kind(text) == "years", years))))
 
-    return F.flatten(F.transform(asked, of))
+@F.arrow_udf(FOUND)
+def read_posting(titles: pa.Array, texts: pa.Array) -> pa.Array:
+    """Requirements, the most years stated outside nice-to-haves, and the role family: from the title, from the text
+    only where the title is generic."""
+    skills, families, rows = Skills(), Families(), []
+    for title, text in zip(titles.to_pylist(), texts.to_pylist()):
+        title, text = title or "", text or ""
+        bullets, own = sections(text), skills.within(text)
+        asked = [dict(zip(("bucket", "kind", "text", "canonical", "years"), r)) for b, line in bullets if b in ("must", "nice") for r in requirements_of(b, line, own)]
+        years = [int(m[1]) for b, line in bullets if b != "nice" and "year" in line.lower() for p in YEARS for m in p.finditer(line)]
+        family, confidence = families.of(title), "title"
+        if family is None and GENERIC.match(" ".join(title.split())):
+            family, confidence = families.of(" ".join(line for b, line in bullets if b == "responsibility")) or families.of(text), "jd_fallback"
+        rows.append({"requirements": asked, "years": max(years, default=None), "family": family, "confidence": confidence if family else "unknown"})
+    struct = pa.struct([("bucket", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("canonical", pa.string()), ("years", pa.int32())])
+    return pa.array(rows, pa.struct([("requirements", pa.list_(struct)), ("years", pa.int32()), ("family", pa.string()), ("confidence", pa.string())]))
 
 
 def extract(jobs: DataFrame) -> DataFrame:
-    """``jobs`` (id, title, description) with requirements, years_required, seniority and family."""
-    rows = jobs.withColumn("__bullets", sections("description"))
-    rows = rows.withColumn("requirements", requirements(F.col("__bullets"))).withColumn("years_required", years_total(F.col("__bullets")))
-    return rows.withColumn("seniority", seniority("title", "years_required")).withColumn("family", family_of("title")).drop("__bullets")
+    """``jobs`` (id, title, description) with requirements, years_required, seniority, family and its confidence."""
+    rows = jobs.withColumn("__r", read_posting("title", F.coalesce("description", F.lit(""))))
+    rows = rows.withColumns({"requirements": F.col("__r.requirements"), "years_required": F.col("__r.years"), "family": F.col("__r.family"), "family_confidence": F.col("__r.confidence")})
+    return rows.withColumn("seniority", seniority("title", "years_required")).drop("__r")
 
 
 # ---------------------------------------------------------------- matching and scoring
@@ -158,53 +226,70 @@ def affinity(roles: DataFrame, now_year: int) -> DataFrame:
     return sums.select("profile_id", "family", F.round(F.try_divide(F.col("w"), top), 4).alias("weight")).where("weight is not null")
 
 
-def family_fit(jobs: DataFrame, weights: DataFrame, matrix: DataFrame) -> DataFrame:
-    """(id, profile_id, fit): best path from a profile's families to the posting's; unknown posting families are neutral."""
+def fits(weights: DataFrame, matrix: DataFrame) -> DataFrame:
+    """(profile_id, fits): the best path from a profile's families to each family, as a map. Rows are profiles by families."""
     paths = weights.join(matrix.select(F.col("a").alias("family"), F.col("b").alias("__to"), "affinity"), "family").groupBy("profile_id", "__to").agg(F.max(F.col("weight") * F.col("affinity")).alias("fit"))
-    profiles = weights.select("profile_id").distinct()
-    out = jobs.select("id", F.col("family").alias("__to")).crossJoin(profiles)  # every posting for every profile, by definition
-    fit = F.when(F.col("__to").isNull(), V.FAMILY_FIT["unknown"]).otherwise(F.coalesce("fit", F.lit(V.FAMILY_FIT["floor"])))
-    return out.join(paths, ["profile_id", "__to"], "left").select("id", "profile_id", fit.alias("fit"))
+    return paths.groupBy("profile_id").agg(F.map_from_entries(F.collect_list(F.struct("__to", "fit"))).alias("fits"))
+
+
+def family_fit(family: Column, by_family: Column) -> Column:
+    """A posting without a family is neutral; one that no path reaches has the floor."""
+    return F.when(family.isNull(), V.FAMILY_FIT["unknown"]).otherwise(F.coalesce(F.try_element_at(by_family, family), F.lit(V.FAMILY_FIT["floor"])))
+
+
+def with_profiles(rows: DataFrame, profiles: DataFrame, most: int = 2000) -> DataFrame:
+    """Every row for every profile. Profiles are broadcast once counted to be no more than ``most``; beyond, rows are
+    dealt out by profile."""
+    if profiles.count() <= most:
+        return rows.crossJoin(F.broadcast(profiles))
+    groups = profiles.withColumn("__g", F.pmod(F.xxhash64("profile_id"), F.lit(64)))
+    return rows.withColumn("__g", F.explode(F.sequence(F.lit(0), F.lit(63))).cast("long")).join(groups, "__g").drop("__g")
 
 
 def score_jobs(jobs: DataFrame, profiles: DataFrame, idf: DataFrame, matrix: DataFrame) -> DataFrame:
     """Scores of ``jobs`` (id, title, description) for ``profiles`` (profile_id, skills array of (canonical, strength,
-    recency), family, families map, seniority, years, education, certifications, languages, places, roles, evidence).
+    recency), signature array, family, families map, seniority, years, education, certifications, languages, places, roles,
+    evidence).
 
-    (job_id, profile_id, score, band, coverage, gates, matched, confidence)"""
-    asked = extract(jobs)
+    (job_id, profile_id, score, band, coverage, gates, matched, confidence). All of a posting's requirements are matched
+    within its row: there is no shuffle of postings."""
+    known = idf.agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("__idf"))  # one row, of a vocabulary
     weights = profiles.select("profile_id", F.explode("families").alias("family", "weight"))
-    fit = family_fit(asked, weights, matrix)
-    pairs = asked.select("id", F.col("family").alias("job_family"), F.col("seniority").alias("job_seniority"), F.col("requirements").alias("__r"), "description").crossJoin(profiles)
-    r = F.col("r")
-    each = pairs.withColumn("r", F.explode_outer("__r")).join(idf.select(F.col("term").alias("__skill"), "idf"), F.col("r.canonical") == F.col("__skill"), "left")
-    own = F.get(F.filter("skills", lambda s: s["canonical"] == r["canonical"]), F.lit(0))
-    strength = (
-        F.when(r["kind"] == "skill", skill_strength(own["strength"], own["recency"], F.coalesce(F.col("family") == F.col("job_family"), F.lit(False))))
-        .when(r["kind"] == "years", years_strength(F.col("years"), r["years"]))
-        .when(r["kind"] == "degree", list_strength(F.col("education"), r["text"]))
-        .when(r["kind"] == "certification", list_strength(F.col("certifications"), r["text"]))
-        .when(r["kind"] == "language", list_strength(F.col("languages"), r["text"]))
-        .when(r["kind"] == "location", list_strength(F.col("places"), r["text"]))
-        .when(r["kind"] == "domain", domain_strength(F.col("roles"), r["text"]))
-    )
-    each = each.withColumn("__s", strength).withColumn("__w", F.when(r["kind"] == "skill", F.coalesce("idf", F.lit(1.0))).otherwise(1.0))
-    must, nice, none = r["bucket"] == "must", r["bucket"] == "nice", F.col("__s") == "none"
-    hard = r["kind"].isin("degree", "certification", "language", "location")
-    sums = each.groupBy("id", "profile_id").agg(
-        coverage(F.when(must, F.col("__w")), F.when(must, strength_weight(F.col("__s")))).alias("must"),
-        coverage(F.when(nice, F.col("__w")), F.when(nice, strength_weight(F.col("__s")))).alias("nice"),
-        F.count_if(must & none & hard).alias("unmet"),
-        F.count_if(must & none & (r["kind"] == "skill")).alias("missing"),
-        F.sort_array(F.collect_set(F.when(~none, r["canonical"]))).alias("matched"),
-        F.first("evidence").alias("evidence"),
-        F.first(seniority_level("seniority") - seniority_level("job_seniority")).alias("gap"),
-        F.first(F.length("description")).alias("chars"),
-    )
-    out = sums.join(fit, ["id", "profile_id"])
-    score = final_score(F.col("must"), seniority_fit(F.col("gap")), F.col("nice"), F.col("evidence"), F.lit(0.0), F.lit(0.0), F.col("unmet"), F.col("missing"), F.col("gap"), F.col("fit"))
-    out = out.withColumn("score", score)
-    return out.select(F.col("id").alias("job_id"), "profile_id", "score", band("score").alias("band"), F.col("must").alias("coverage"), gate_names(F.col("unmet"), F.col("missing"), F.col("gap"), F.col("fit")).alias("gates"), "matched", F.when(F.col("chars") >= V.FULL_CONFIDENCE_CHARS, "full").otherwise("title_only").alias("confidence"))
+    people = profiles.join(fits(weights, matrix), "profile_id", "left").crossJoin(F.broadcast(known))
+    people = people.select(*(F.col(c).alias(f"p_{c}") if c != "profile_id" else F.col(c) for c in people.columns))
+    asked = extract(jobs).select("id", F.col("family"), "seniority", "requirements", F.length("description").alias("chars"))
+    rows = with_profiles(asked, people)
+    same = F.coalesce(F.col("p_family") == F.col("family"), F.lit(False))
+
+    def strength(r: Column) -> Column:
+        own = F.get(F.filter("p_skills", lambda s: s["canonical"] == r["canonical"]), F.lit(0))
+        return (
+            F.when(r["kind"] == "skill", skill_strength(own["strength"], own["recency"], same))
+            .when(r["kind"] == "years", years_strength(F.col("p_years"), r["years"]))
+            .when(r["kind"] == "degree", list_strength(F.col("p_education"), r["text"]))
+            .when(r["kind"] == "certification", list_strength(F.col("p_certifications"), r["text"]))
+            .when(r["kind"] == "language", list_strength(F.col("p_languages"), r["text"]))
+            .when(r["kind"] == "location", list_strength(F.col("p_places"), r["text"]))
+            .otherwise(domain_strength(F.col("p_roles"), r["text"]))
+        )
+
+    weight = lambda r: F.when(r["kind"] == "skill", F.coalesce(F.try_element_at("p___idf", r["canonical"]), F.lit(1.0))).otherwise(F.lit(1.0))
+    rows = rows.withColumn("m", F.transform("requirements", lambda r: F.struct(r["bucket"].alias("bucket"), r["kind"].alias("kind"), r["canonical"].alias("canonical"), strength(r).alias("s"), weight(r).alias("w"))))
+
+    def covered(bucket: str) -> Column:
+        own = F.filter("m", lambda x: x["bucket"] == bucket)
+        total = F.aggregate(own, F.lit(0.0), lambda a, x: a + x["w"])
+        hit = F.aggregate(own, F.lit(0.0), lambda a, x: a + x["w"] * strength_weight(x["s"]))
+        return F.when(F.size(own) == 0, 100).when(total > 0, F.bround(100.0 * hit / total)).otherwise(0).cast("int")
+
+    unmatched = lambda kinds: F.size(F.filter("m", lambda x: (x["bucket"] == "must") & (x["s"] == "none") & x["kind"].isin(kinds)))
+    gap = seniority_level("p_seniority") - seniority_level("seniority")
+    rows = rows.withColumns({"must": covered("must"), "nice": covered("nice"), "unmet": unmatched(["degree", "certification", "language", "location"]), "missing": unmatched(["skill"]), "gap": gap, "fit": family_fit(F.col("family"), F.col("p_fits"))})
+    named = F.array_distinct(F.array_compact(F.transform("m", lambda x: x["canonical"])))
+    bonus = F.when(F.size(F.array_intersect(named, F.coalesce(F.col("p_signature"), F.array().cast("array<string>")))) >= 2, V.FAMILY_FIT["signature_bonus"]).otherwise(0.0) if "signature" in profiles.columns else F.lit(0.0)
+    rows = rows.withColumn("score", final_score(F.col("must"), seniority_fit(F.col("gap")), F.col("nice"), F.col("p_evidence"), bonus, F.lit(0.0), F.col("unmet"), F.col("missing"), F.col("gap"), F.col("fit")))
+    matched = F.array_sort(F.array_distinct(F.array_compact(F.transform("m", lambda x: F.when(x["s"] != "none", x["canonical"])))))
+    return rows.select(F.col("id").alias("job_id"), "profile_id", "score", band("score").alias("band"), F.col("must").alias("coverage"), gate_names(F.col("unmet"), F.col("missing"), F.col("gap"), F.col("fit")).alias("gates"), matched.alias("matched"), F.when(F.col("chars") >= V.FULL_CONFIDENCE_CHARS, "full").otherwise("title_only").alias("confidence"))
 
 
 def cache_key(*parts: Column) -> Column:
