@@ -78,11 +78,13 @@ class ChunkEncoder:
 
 
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}
+REMEMBER = 600_000  # chunks: about 100 MB a worker, twice that with the last generation
 
 
-def encoder(path: str, drops_space: bool) -> ChunkEncoder:
+def encoder(path: str, drops_space: bool, remember: int = REMEMBER) -> ChunkEncoder:
     """One encoder per Python worker and vocabulary."""
     key = (path, drops_space)
     if key not in _encoders:
         _encoders[key] = ChunkEncoder(path, drops_space)
+    _encoders[key].known_ids.limit = _encoders[key].known_counts.limit = remember
     return _encoders[key]

@@ -23,19 +23,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_rows, table, written
-from tessera.llm.encoders import encoder
+from tessera.llm.encoders import REMEMBER, encoder
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _cut(path: str, capacity: int, end_id: int, keep_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cut(path: str, capacity: int, end_id: int, keep_ids: bool, remember: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.asarray([end_id], "<u4").tobytes()
         for b in batches:
             texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
             for i in range(0, len(texts), 64):
                 out: list[tuple] = []
-                for doc_id, body in zip(ids[i : i + 64], encoder(path, True).ids(texts[i : i + 64])):
+                for doc_id, body in zip(ids[i : i + 64], encoder(path, True, remember).ids(texts[i : i + 64])):
                     body += end
                     for k, a in enumerate(range(0, len(body), 4 * capacity)):
                         part = body[a : a + 4 * capacity]
@@ -46,11 +46,11 @@ def _cut(path: str, capacity: int, end_id: int, keep_ids: bool) -> Callable[[Ite
     return run
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
-    """The pieces of each document: its ids and the end id, cut where longer than ``capacity``."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, keep_ids: bool = False, remember: int = REMEMBER) -> DataFrame:
+    """The pieces of each document: its ids and the end id, cut where longer than ``capacity``. ``remember``: chunks a worker keeps."""
     arrow_rows(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(_cut(tokenizer, capacity, end_id, keep_ids), PIECE + ", ids binary" * keep_ids)
+    return rows.mapInArrow(_cut(tokenizer, capacity, end_id, keep_ids, remember), PIECE + ", ids binary" * keep_ids)
 
 
 def fillings(lengths: list[int], counts: list[int], room: int, nodes: int) -> list[int]:
@@ -198,8 +198,8 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
     return ranked.mapInArrow(_place(places), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    return pack(pieces(docs, tokenizer, capacity, end_id), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, remember: int = REMEMBER) -> DataFrame:
+    return pack(pieces(docs, tokenizer, capacity, end_id, remember=remember), capacity)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
