@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import SPACE, WORD, table, written
 
-MAX_DOCS, MIN_WORDS, MIN_SHARE = 100, 10, 0.5
+MAX_DOCS, MIN_WORDS, MIN_SHARE = 100, 10, 0.3
 SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -117,6 +117,6 @@ stats AS (
          CAST(coalesce(l.n_line_words, 0) AS BIGINT) AS n_line_words
   FROM words w LEFT JOIN dups d USING (rid) LEFT JOIN covered c USING (rid) LEFT JOIN lost l USING (rid)),
 based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM stats)
-SELECT *, NOT base_failed AND NOT (n_line_words > 0 AND (n_words - n_line_words < 10 OR n_words - n_line_words < 0.5 * n_words)) AS kept
+SELECT *, NOT base_failed AND NOT (n_line_words > 0 AND (n_words - n_line_words < 10 OR n_words - n_line_words < 0.3 * n_words)) AS kept
 FROM based
 """
