@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import arrow_rows, scratch, table
+from tessera.llm.common import arrow_rows, scratch, table, written
 from tessera.llm.encoders import encoder
 
 CACHE = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("version", T.StringType()), T.StructField("n_tokens", T.LongType())])
@@ -61,7 +61,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, drops_space: bool
     misses = r.join(o, (F.col("r.content") == F.col("o.content")) & F.col("r.doc_id").eqNullSafe(F.col("o.one_id")), "left_semi")
     counts = misses.select("content", "text").mapInArrow(_encode(tokenizer, drops_space), "content binary, n_tokens long")
     counts.select("content", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
-    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content").join(known(), "content").select("doc_id", "n_bytes", "n_tokens")
+    stored = written(known(), "counts")  # a side without an aggregate of its own, so a digest with very many rows can be split
+    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content").join(stored, "content").select("doc_id", "n_bytes", "n_tokens")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str, most: int = 1024) -> DataFrame:
