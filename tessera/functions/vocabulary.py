@@ -130,3 +130,34 @@ FAMILIES = {
     "embedded_firmware": ["embedded", "firmware"], "product": ["product manager", "product owner"], "design": ["designer", "ux"], "sales": ["sales", "account executive"], "support": ["support engineer", "customer success"],
     "marketing": ["marketing", "content writer"], "finance": ["finance", "accountant"], "hr": ["recruiter", "human resources"], "legal": ["counsel", "legal"], "operations": ["operations", "logistics"], "management": ["team lead", "engineering manager", "director"],
 }
+
+# --- fixed values: parts of a listing card that are not its title
+CARD_EMPLOYMENT = r"full[\s-]?time|part[\s-]?time|temporary|permanent|contract|freelance"
+CARD_MODE = r"remote|hybrid|on[\s-]?site|in[\s-]?office"
+CARD_SENIORITY = r"senior|junior|jr\.?|sr\.?|mid[\s-]level|mid|intermediate|entry[\s-]level|associate|experienced|management"
+CARD_TRAILING_SENIORITY = r"senior|junior|jr\.?|sr\.?|mid[\s-]level|mid|entry[\s-]level|intermediate"
+CARD_CTA = r"apply(\s+(now|today|here))?|(read|learn|view|see)\s+more|view\s+(job|role|position|details)|more\s+details"
+CARD_PLACE_LABEL = r"\blocations?\b\s*:?|\boffices?\b\s*:"
+GENERIC_CARD = r"apply(\s+(now|today|here|for\s+this\s+(position|job|role)))?|(read|learn|view|see|find\s+out)\s+more|more\s+(details|info(rmation)?)|(view|open|show)\s+(job|role|position|details|page)|job\s+details|open\s+page|tell\s+me\s+more|external\s+post|details|view|register"
+PAGE_TITLE_PREFIX = r"(?i)^\s*(job\s+(opportunity|opening|posting|description)|career\s+opportunity|vacancy|position|job|role)\s*[:\-–—]\s*"
+WALL_TITLE = r"(?i)you have been blocked|attention required|just a moment|access denied|page not found|404|forbidden|error|security check|verify you are human|are you a robot"
+
+# --- fixed values: places abroad
+COUNTRIES = ["israel", "united states", "united states of america", "united kingdom", "england", "scotland", "germany", "france", "spain", "portugal", "italy", "ireland", "netherlands", "belgium", "switzerland", "austria", "poland", "ukraine", "romania", "bulgaria", "hungary", "czech republic", "serbia", "greece", "turkey", "cyprus", "sweden", "denmark", "norway", "finland", "canada", "mexico", "brazil", "argentina", "australia", "new zealand", "india", "china", "japan", "taiwan", "singapore", "south korea", "thailand", "vietnam", "philippines", "united arab emirates", "dubai", "saudi arabia", "south africa", "nigeria", "kenya", "egypt"]
+COUNTRY_CODES = r"USA?|U\.S\.A?\.?|UK|UAE"
+FOREIGN_CITIES = ["new york", "nyc", "brooklyn", "san francisco", "bay area", "silicon valley", "palo alto", "mountain view", "sunnyvale", "santa clara", "san jose", "los angeles", "san diego", "seattle", "bellevue", "portland", "denver", "boulder", "austin", "dallas", "houston", "atlanta", "miami", "orlando", "chicago", "detroit", "minneapolis", "boston", "philadelphia", "washington,? d\\.?c\\.?", "raleigh", "charlotte", "toronto", "vancouver", "montreal", "ottawa", "mexico city", "sao paulo", "buenos aires", "london", "manchester", "edinburgh", "glasgow", "bristol", "oxford", "dublin", "belfast", "paris", "lyon", "berlin", "munich", "hamburg", "frankfurt", "cologne", "stuttgart", "dusseldorf", "amsterdam", "rotterdam", "brussels", "luxembourg", "zurich", "geneva", "vienna", "copenhagen", "stockholm", "oslo", "helsinki", "madrid", "barcelona", "lisbon", "porto", "milan", "milano", "rome", "roma", "warsaw", "krakow", "prague", "budapest", "bucharest", "sofia", "belgrade", "zagreb", "athens", "istanbul", "kyiv", "kiev", "bangalore", "bengaluru", "hyderabad", "pune", "mumbai", "delhi", "gurgaon", "noida", "chennai", "singapore", "hong kong", "shanghai", "beijing", "shenzhen", "taipei", "seoul", "tokyo", "osaka", "sydney", "melbourne", "brisbane", "auckland", "dubai", "abu dhabi", "riyadh", "doha", "cairo", "nairobi", "johannesburg", "cape town"]
+US_STATES = ["AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "MD", "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ", "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA", "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY"]
+
+# --- fixed values: CV texts
+CV_EXPERIENCE_HEADERS = ["experience", "work experience", "employment"]
+CV_SKILLS_HEADERS = ["skills", "technical skills", "technologies", "tech stack", "core competencies"]
+CV_OTHER_HEADERS = ["education", "certifications", "languages", "summary", "about"]
+CV_MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t|tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
+CV_NOW = r"present|current|now|ongoing"
+CV_BULLET = r"^\s*[-*•●‣⁃�]\s+"
+CV_JOB_WORD = r"(?i)\b(engineer|engineering|developer|programmer|architect|scientist|researcher|analyst|manager|director|head|lead|chief|officer|president|executive|designer|writer|editor|marketer|recruiter|accountant|controller|counsel|attorney|advisor|consultant|coach|trainer|instructor|specialist|coordinator|administrator|technician|operator|representative|associate|intern|apprentice|founder|owner|sdet|devops|sre|qa|vp|cto|cfo|ceo|coo|ciso)\b"
+CV_CITY = r"(?i)\b(tel aviv|jerusalem|haifa|herzliya|ramat gan|petah tikva|netanya|beer sheva|new york|san francisco|london|berlin|austin|seattle|boston|remote)\b"
+
+# --- fixed values: ranges of the weight search
+SEARCH_WEIGHTS = {"must": (0.30, 0.60), "seniority": (0.10, 0.30), "nice": (0.05, 0.20), "evidence": (0.05, 0.20)}
+SEARCH_FAMILY_FIT = {"gate": (0.20, 0.40), "cap": (25, 45), "signature_bonus": (0.0, 20.0), "penalty": (0.0, 25.0), "adjacent": (0.40, 0.70)}
