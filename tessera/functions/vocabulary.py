@@ -157,6 +157,8 @@ CV_NOW = r"present|current|now|ongoing"
 CV_BULLET = r"^\s*[-*•●‣⁃�]\s+"
 CV_JOB_WORD = r"(?i)\b(engineer|engineering|developer|programmer|architect|scientist|researcher|analyst|manager|director|head|lead|chief|officer|president|executive|designer|writer|editor|marketer|recruiter|accountant|controller|counsel|attorney|advisor|consultant|coach|trainer|instructor|specialist|coordinator|administrator|technician|operator|representative|associate|intern|apprentice|founder|owner|sdet|devops|sre|qa|vp|cto|cfo|ceo|coo|ciso)\b"
 CV_CITY = r"(?i)\b(tel aviv|jerusalem|haifa|herzliya|ramat gan|petah tikva|netanya|beer sheva|new york|san francisco|london|berlin|austin|seattle|boston|remote)\b"
+EVIDENCE_MARKER = r"(?i)\b(\d+%|\$\d[\d,]*|\d+[kmb]\+?|production|owned|designed|led|architected|scaled|launched|shipped|built from scratch|reduced|increased|improved|optimized|delivered|drove|spearheaded)\b"
+CV_SENIORITY = [("head", r"(?i)\bhead of\b"), ("manager", r"(?i)\b(manager|vp|vice president|cto)\b"), ("principal", r"(?i)\bprincipal\b"), ("staff", r"(?i)\bstaff\b"), ("lead", r"(?i)\b(lead|tech lead|team lead)\b"), ("senior", r"(?i)\bsenior\b|\bsr\.?\b"), ("junior", r"(?i)\bjunior\b|\bjr\.?\b|\bentry.level\b|\bintern\b")]
 
 # --- fixed values: ranges of the weight search
 SEARCH_WEIGHTS = {"must": (0.30, 0.60), "seniority": (0.10, 0.30), "nice": (0.05, 0.20), "evidence": (0.05, 0.20)}

@@ -32,7 +32,7 @@ KINDS = [
 ]
 GENERIC = re.compile(GENERIC_TITLE)
 BULLET = re.compile(r"^\s*[-*•●‣⁃]\s*|^\s*\d+[.)]\s*")
-REQUIREMENT = T.StructType([T.StructField(n, T.IntegerType() if n == "years" else T.StringType()) for n in ("bucket", "kind", "text", "canonical", "years")])
+REQUIREMENT = T.StructType([T.StructField(n, T.IntegerType() if n == "years" else T.StringType()) for n in ("bucket", "kind", "text", "canonical", "years", "reads_as")])
 FOUND = T.StructType([T.StructField("requirements", T.ArrayType(REQUIREMENT)), T.StructField("years", T.IntegerType()), T.StructField("family", T.StringType()), T.StructField("confidence", T.StringType())])
 
 
@@ -120,13 +120,13 @@ def read_posting(titles: pa.Array, texts: pa.Array) -> pa.Array:
     for title, text in zip(titles.to_pylist(), texts.to_pylist()):
         title, text = title or "", text or ""
         bullets, own = sections(text), skills.within(text)
-        asked = [dict(zip(("bucket", "kind", "text", "canonical", "years"), r)) for b, line in bullets if b in ("must", "nice") for r in requirements_of(b, line, own)]
+        asked = [dict(zip(("bucket", "kind", "text", "canonical", "years"), r), reads_as=families.of(r[2]) if r[0] == "must" else None) for b, line in bullets if b in ("must", "nice") for r in requirements_of(b, line, own)]
         years = [int(m[1]) for b, line in bullets if b != "nice" and "year" in line.lower() for p in YEARS for m in p.finditer(line)]
         family, confidence = families.of(title), "title"
         if family is None and GENERIC.match(" ".join(title.split())):
             family, confidence = families.of(" ".join(line for b, line in bullets if b == "responsibility")) or families.of(text), "jd_fallback"
         rows.append({"requirements": asked, "years": max(years, default=None), "family": family, "confidence": confidence if family else "unknown"})
-    struct = pa.struct([("bucket", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("canonical", pa.string()), ("years", pa.int32())])
+    struct = pa.struct([("bucket", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("canonical", pa.string()), ("years", pa.int32()), ("reads_as", pa.string())])
     return pa.array(rows, pa.struct([("requirements", pa.list_(struct)), ("years", pa.int32()), ("family", pa.string()), ("confidence", pa.string())]))
 
 
@@ -203,12 +203,12 @@ def band(score: Column | str) -> Column:
     return out
 
 
-def final_score(must: Column, senior: Column, nice: Column, evidence: Column, bonus: Column, penalty: Column, unmet: Column, missing: Column, gap: Column, fit: Column) -> Column:
-    w, f = V.WEIGHTS, V.FAMILY_FIT
+def final_score(must: Column, senior: Column, nice: Column, evidence: Column, bonus: Column, penalty: Column, unmet: Column, missing: Column, gap: Column, fit: Column, w: dict = V.WEIGHTS, f: dict = V.FAMILY_FIT) -> Column:
+    """The score of its parts; ``w`` and ``f`` may hold columns, as a search for weights has them."""
     raw = w["must"] * must + w["seniority"] * senior + w["nice"] * nice + w["evidence"] * evidence
     own = F.greatest(F.lit(0), F.least(F.lit(100), F.bround(raw + bonus - penalty))).cast("int")
     score = F.bround(fit * gates(own, unmet, missing, gap)).cast("int")
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.when(fit < f["gate"], F.least(score, F.lit(f["cap"]))).otherwise(score)))
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.when(fit < f["gate"], F.least(score, F.lit(f["cap"]).cast("int"))).otherwise(score)))
 
 
 def decay(ended_years_ago: Column) -> Column:
@@ -246,14 +246,17 @@ def with_profiles(rows: DataFrame, profiles: DataFrame, most: int = 2000) -> Dat
     return rows.withColumn("__g", F.explode(F.sequence(F.lit(0), F.lit(63))).cast("long")).join(groups, "__g").drop("__g")
 
 
-def score_jobs(jobs: DataFrame, profiles: DataFrame, idf: DataFrame, matrix: DataFrame) -> DataFrame:
-    """Scores of ``jobs`` (id, title, description) for ``profiles`` (profile_id, skills array of (canonical, strength,
-    recency), signature array, family, families map, seniority, years, education, certifications, languages, places, roles,
-    evidence).
+def match(jobs: DataFrame, profiles: DataFrame, idf: DataFrame, matrix: DataFrame) -> DataFrame:
+    """The parts of a score of ``jobs`` (id, title, description) for ``profiles`` (profile_id, skills array of (canonical,
+    strength, recency), signature array, family, families map, seniority, years, education, certifications, languages,
+    places, roles, evidence).
 
-    (job_id, profile_id, score, band, coverage, gates, matched, confidence). All of a posting's requirements are matched
-    within its row: there is no shuffle of postings."""
+    (id, profile_id, must, senior, nice, evidence, signature, clashes, unmet, missing, gap, fit, named, chars); clashes are
+    (affinity, weight) of matched must-haves that read as another family than the posting's. All of a posting's
+    requirements are matched within its row: there is no shuffle of postings."""
     known = idf.agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("__idf"))  # one row, of a vocabulary
+    near = matrix.groupBy("a", "b").agg(F.max("affinity").alias("x")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0000", "a", "b"), "x"))).alias("__near"))
+    known = known.crossJoin(near)  # one row each, of vocabularies
     weights = profiles.select("profile_id", F.explode("families").alias("family", "weight"))
     people = profiles.join(fits(weights, matrix), "profile_id", "left").crossJoin(F.broadcast(known))
     people = people.select(*(F.col(c).alias(f"p_{c}") if c != "profile_id" else F.col(c) for c in people.columns))
@@ -274,7 +277,7 @@ def score_jobs(jobs: DataFrame, profiles: DataFrame, idf: DataFrame, matrix: Dat
         )
 
     weight = lambda r: F.when(r["kind"] == "skill", F.coalesce(F.try_element_at("p___idf", r["canonical"]), F.lit(1.0))).otherwise(F.lit(1.0))
-    rows = rows.withColumn("m", F.transform("requirements", lambda r: F.struct(r["bucket"].alias("bucket"), r["kind"].alias("kind"), r["canonical"].alias("canonical"), strength(r).alias("s"), weight(r).alias("w"))))
+    rows = rows.withColumn("m", F.transform("requirements", lambda r: F.struct(r["bucket"].alias("bucket"), r["kind"].alias("kind"), r["canonical"].alias("canonical"), r["reads_as"].alias("reads_as"), strength(r).alias("s"), weight(r).alias("w"))))
 
     def covered(bucket: str) -> Column:
         own = F.filter("m", lambda x: x["bucket"] == bucket)
@@ -286,10 +289,30 @@ def score_jobs(jobs: DataFrame, profiles: DataFrame, idf: DataFrame, matrix: Dat
     gap = seniority_level("p_seniority") - seniority_level("seniority")
     rows = rows.withColumns({"must": covered("must"), "nice": covered("nice"), "unmet": unmatched(["degree", "certification", "language", "location"]), "missing": unmatched(["skill"]), "gap": gap, "fit": family_fit(F.col("family"), F.col("p_fits"))})
     named = F.array_distinct(F.array_compact(F.transform("m", lambda x: x["canonical"])))
-    bonus = F.when(F.size(F.array_intersect(named, F.coalesce(F.col("p_signature"), F.array().cast("array<string>")))) >= 2, V.FAMILY_FIT["signature_bonus"]).otherwise(0.0) if "signature" in profiles.columns else F.lit(0.0)
-    rows = rows.withColumn("score", final_score(F.col("must"), seniority_fit(F.col("gap")), F.col("nice"), F.col("p_evidence"), bonus, F.lit(0.0), F.col("unmet"), F.col("missing"), F.col("gap"), F.col("fit")))
+    other = F.filter("m", lambda x: (x["bucket"] == "must") & (x["s"] != "none") & (x["reads_as"] != F.col("family")))
+    clashes = F.transform(other, lambda x: F.struct(F.coalesce(F.try_element_at("p___near", F.concat_ws("\u0000", x["reads_as"], F.col("family"))), F.lit(0.0)).alias("affinity"), strength_weight(x["s"]).alias("weight")))
+    own = F.coalesce(F.col("p_signature"), F.array().cast("array<string>")) if "signature" in profiles.columns else F.array().cast("array<string>")
     matched = F.array_sort(F.array_distinct(F.array_compact(F.transform("m", lambda x: F.when(x["s"] != "none", x["canonical"])))))
-    return rows.select(F.col("id").alias("job_id"), "profile_id", "score", band("score").alias("band"), F.col("must").alias("coverage"), gate_names(F.col("unmet"), F.col("missing"), F.col("gap"), F.col("fit")).alias("gates"), matched.alias("matched"), F.when(F.col("chars") >= V.FULL_CONFIDENCE_CHARS, "full").otherwise("title_only").alias("confidence"))
+    return rows.select("id", "profile_id", "must", seniority_fit(F.col("gap")).alias("senior"), "nice", F.col("p_evidence").alias("evidence"), (F.size(F.array_intersect(named, own)) >= 2).alias("signature"), clashes.alias("clashes"), "unmet", "missing", "gap", "fit", matched.alias("matched"), "chars")
+
+
+def penalty(clashes: Column, f: dict = V.FAMILY_FIT) -> Column:
+    """Taken off for must-haves of families that are not adjacent."""
+    far = F.filter(clashes, lambda x: x["affinity"] < f["adjacent"])
+    return F.coalesce(F.aggregate(far, F.lit(0.0), lambda a, x: a + x["weight"]), F.lit(0.0)) * f["penalty"]
+
+
+def total(w: dict = V.WEIGHTS, f: dict = V.FAMILY_FIT) -> Column:
+    """The score of a row of ``match``."""
+    bonus = F.when(F.col("signature"), f["signature_bonus"]).otherwise(0.0)
+    return final_score(F.col("must"), F.col("senior"), F.col("nice"), F.col("evidence"), bonus, penalty(F.col("clashes"), f), F.col("unmet"), F.col("missing"), F.col("gap"), F.col("fit"), w, f)
+
+
+def score_jobs(jobs: DataFrame, profiles: DataFrame, idf: DataFrame, matrix: DataFrame) -> DataFrame:
+    """Scores of ``jobs`` for ``profiles``, as ``match`` takes them: (job_id, profile_id, score, band, coverage, gates,
+    matched, confidence)."""
+    rows = match(jobs, profiles, idf, matrix).withColumn("score", total())
+    return rows.select(F.col("id").alias("job_id"), "profile_id", "score", band("score").alias("band"), F.col("must").alias("coverage"), gate_names(F.col("unmet"), F.col("missing"), F.col("gap"), F.col("fit")).alias("gates"), "matched", F.when(F.col("chars") >= V.FULL_CONFIDENCE_CHARS, "full").otherwise("title_only").alias("confidence"))
 
 
 def cache_key(*parts: Column) -> Column:
