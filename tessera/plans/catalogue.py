@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions import rules, text, urls
-from tessera.operators import export, jobs, listing, scoring, taxonomy
+from tessera.functions import rules, text, titles, urls
+from tessera.functions import vocabulary as V
+from tessera.operators import cv, export, jobs, listing, repairs, reports, scoring, taxonomy, tuning
 from tessera.plans import search as S
+from tessera.sources import inlined, retail
 from tessera.streaming import runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -520,3 +522,142 @@ def fuzzy_title(spark, sf):
 def export_rows(spark, sf):
     rows = t(spark, sf, "pages").select(urls.host("url").alias("display_name"), F.lit("Backend Engineer").alias("title"), "url", F.lit("Haifa").alias("city"), F.lit("Haifa, Israel").alias("location"), F.lit(None).cast("string").alias("work_mode"), F.lit("ok").alias("fetch_status"), F.lit("2026-01-01").alias("posted_at"))
     return export.export(rows)[0]
+
+
+# ---------------------------------------------------------------- titles, places and repairs
+
+
+@query("SELECT p_partkey, p_name AS title, 'Tel Aviv' AS location, 'Full-time' AS employment_type FROM part")
+def card_titles(spark, sf):
+    return t(spark, sf, "part").select("p_partkey", titles.card(F.concat("p_name", F.lit(" Full-time Tel Aviv"))).alias("c")).select("p_partkey", "c.*")
+
+
+@query("SELECT p_partkey, CASE WHEN length(p_name) >= 8 THEN p_name END AS title FROM part")
+def page_titles(spark, sf):
+    page = F.concat(F.lit("<title>"), "p_name", F.lit(" | Acme</title><h1>Careers</h1>"))
+    return t(spark, sf, "part").select("p_partkey", titles.authoritative(titles.detail_titles(page), F.concat("p_name", F.lit(" Remote"))).alias("title"))
+
+
+@query(f"SELECT n_nationkey, CASE WHEN lower(n_name) IN ({', '.join(repr(x) for x in V.COUNTRIES)}) THEN n_name ELSE 'Haifa' END AS location, CASE WHEN lower(n_name) IN ({', '.join(repr(x) for x in V.COUNTRIES)}) THEN NULL ELSE 'Haifa' END AS city, false AS is_remote FROM nation")
+def location_cascade(spark, sf):
+    none = F.lit(None).cast("string")
+    return t(spark, sf, "nation").select("n_nationkey", titles.infer_location("n_name", F.lit(""), none, F.lit("Haifa"), none).alias("x")).select("n_nationkey", "x.*")
+
+
+_NAV = "CASE o_orderkey % 3 WHEN 0 THEN 'About Us' WHEN 1 THEN 'Backend Engineer' ELSE 'Careers' END"
+
+
+@query(f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 <> 1 OR o_orderstatus = 'F' THEN 'closed' WHEN o_orderstatus = 'O' THEN 'new' ELSE 'seen' END AS status, CASE WHEN o_orderkey % 3 <> 1 AND o_orderstatus <> 'F' THEN 'not a job: site navigation' END AS closed_reason FROM orders")
+def close_navigation(spark, sf):
+    rows = postings(spark, sf).withColumns({"title": F.expr(_NAV.replace("o_orderkey", "id")), "closed_at": F.lit(None).cast("string"), "closed_reason": F.lit(None).cast("string")})
+    return repairs.close_navigation(rows, "1999-01-01").select("id", "status", "closed_reason")
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN p_name || ', London' ELSE p_name END AS title, CASE WHEN p_size % 2 = 0 THEN 'London' WHEN p_size % 3 = 0 THEN NULL ELSE 'Haifa' END AS location, CASE WHEN p_size % 2 = 0 THEN NULL ELSE 'Haifa' END AS city FROM part")
+def fix_locations(spark, sf):
+    rows = t(spark, sf, "part").selectExpr("p_partkey as id", "CASE WHEN p_size % 2 = 0 THEN p_name || ', London' ELSE p_name END AS title", "CASE WHEN p_size % 3 = 0 THEN 'NaN' ELSE 'Haifa' END AS location", "'Haifa' AS city")
+    return repairs.fix_locations(rows)
+
+
+@query("SELECT CASE WHEN page_id % 5 = 0 THEN 'broken' WHEN page_id % 5 = 1 THEN 'blocked' WHEN page_id % 5 = 2 THEN 'error' ELSE 'ok' END AS url_class, count(*) AS n FROM (SELECT url, min(page_id) AS page_id FROM pages GROUP BY 1) GROUP BY 1")
+def url_audit(spark, sf):
+    p = t(spark, sf, "pages").groupBy("url").agg(F.min("page_id").alias("page_id"))
+    status = F.expr("CASE page_id % 5 WHEN 0 THEN 404 WHEN 1 THEN 429 WHEN 2 THEN 500 ELSE 200 END").alias("status")
+    rows = p.select(F.col("page_id").alias("id"), "url", F.lit("new").alias("status"), *(F.lit(None).cast("string").alias(x) for x in ("closed_at", "closed_reason")))
+    return repairs.url_audit(rows, p.select("url", status), "now")[1]
+
+
+# ---------------------------------------------------------------- reports
+
+
+@query("SELECT count(*) AS total, count(DISTINCT c_mktsegment) AS departments, count(c_mktsegment) AS filled FROM customer")
+def department_coverage(spark, sf):
+    return reports.department_coverage(t(spark, sf, "customer").select(F.col("c_mktsegment").alias("department")))
+
+
+@query("WITH f AS (SELECT coalesce(lang, '(unknown)') AS family, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) SELECT family, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM documents), 1) AS pct, string_agg(CASE WHEN r <= 20 THEN doc_id::VARCHAR END, ',' ORDER BY doc_id) AS samples FROM f GROUP BY 1")
+def family_report(spark, sf):
+    rows = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("title"), F.col("lang").alias("family"))
+    return reports.family_report(rows).withColumn("samples", F.array_join("samples", ","))
+
+
+@query("SELECT count(*) FILTER (user_id % 3 = 0) AS checked, count(*) FILTER (user_id % 3 = 1) AS skipped, count(*) FILTER (user_id % 3 = 2) AS failures, count(*) FILTER (event_type = 'click')::BIGINT AS new, count(*) FILTER (event_type = 'error')::BIGINT AS closed FROM events")
+def run_stats(spark, sf):
+    e = t(spark, sf, "events").select(F.col("user_id").alias("company_id"), F.expr("CASE user_id % 3 WHEN 0 THEN 'checked' WHEN 1 THEN 'skipped' ELSE 'failed' END").alias("outcome"), (F.col("event_type") == "click").cast("int").alias("new"), (F.col("event_type") == "error").cast("int").alias("closed"))
+    return reports.run_stats(e)
+
+
+@query("WITH x AS (SELECT p_brand AS company_id, 'greenhouse:b' || (p_size % 3) AS board, count(*) AS n FROM part GROUP BY ALL) SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY n DESC, board) = 1")
+def best_board(spark, sf):
+    return reports.best_board(t(spark, sf, "part").selectExpr("p_brand AS company_id", "concat('https://boards.greenhouse.io/b', p_size % 3, '/jobs/', p_partkey) AS url"))
+
+
+@query("SELECT s_nationkey AS company_id, count(*) AS n, round(avg(CASE WHEN s_suppkey % 7 = 0 THEN 1 ELSE 0 END), 9) AS evident, round(avg(CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 0 END), 9) AS hinted, avg(CASE WHEN s_suppkey % 7 = 0 THEN 1 ELSE 0 END) >= 0.3 OR avg(CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 0 END) >= 0.3 AS healthy FROM supplier GROUP BY 1")
+def healthy_listings(spark, sf):
+    rows = t(spark, sf, "supplier").selectExpr("s_nationkey AS company_id", "s_suppkey % 7 = 0 AS evident", "false AS trusted", "CASE WHEN s_suppkey % 4 = 0 THEN 'https://x.io/careers/a' ELSE 'https://x.io/a' END AS url")
+    return reports.healthy(rows).withColumns({"evident": F.round("evident", 9), "hinted": F.round("hinted", 9)})
+
+
+@query("SELECT event_type AS node, user_id % 3 AS model, count(*) AS calls, sum(event_id % 10)::BIGINT AS tokens_in, sum(event_id % 7)::BIGINT AS tokens_out, sum(event_id % 5)::BIGINT AS seconds FROM events GROUP BY 1, 2")
+def cost_summary(spark, sf):
+    return reports.cost_summary(t(spark, sf, "events").selectExpr("event_type AS node", "user_id % 3 AS model", "event_id % 10 AS tokens_in", "event_id % 7 AS tokens_out", "event_id % 5 AS seconds"))
+
+
+@query("SELECT 'host' AS kind, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\\.', '') AS key, count(DISTINCT page_id) AS ids FROM pages GROUP BY 2 HAVING count(DISTINCT page_id) > 1")
+def duplicate_hosts(spark, sf):
+    return reports.duplicate_keys(t(spark, sf, "pages").select(F.col("page_id").alias("id"), F.lit("").alias("display_name"), F.col("url").alias("career_url")))
+
+
+@query("WITH s AS (SELECT source AS company_id, doc_id AS id, regexp_replace(trim(regexp_extract(coalesce(text, '') || chr(10) || 'Pays $' || doc_id || ' a year.', '[^.\n]*(?:[$€£₪]|USD|ILS|NIS)\s?\d[\d,.]*[^.\n]*')), '\.+$', '') AS snippet FROM documents) SELECT * FROM s WHERE snippet <> '' QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY id) <= 5")
+def salary_snippets(spark, sf):
+    rows = described(spark, sf).withColumn("description", F.concat(F.coalesce("description", F.lit("")), F.lit("\nPays $"), F.col("id").cast("string"), F.lit(" a year.")))
+    return reports.salary_snippets(rows)
+
+
+@query("SELECT p_partkey, regexp_replace(p_name, '(?i)(small|red)', '<mark>\\1</mark>', 'g') AS shown FROM part")
+def highlighted(spark, sf):
+    return t(spark, sf, "part").select("p_partkey", reports.highlight("p_name", "red small x").alias("shown"))
+
+
+@query("WITH b AS (SELECT l_orderkey AS id, max(l_quantity * 2) AS best FROM lineitem GROUP BY 1) SELECT o_orderkey AS id, coalesce(best, 0) AS best FROM orders LEFT JOIN b ON b.id = o_orderkey WHERE o_orderstatus <> 'F' AND o_orderkey % 2 = 0 AND coalesce(best, 0) >= 40")
+def ranked_at_host(spark, sf):
+    rows = postings(spark, sf).withColumn("url", F.expr("CASE WHEN id % 2 = 0 THEN 'https://www.Example.com/x' ELSE 'https://other.io' END"))
+    return reports.ranked_at(rows, scores(spark, sf), "example.com", 40).select("id", "best")
+
+
+# ---------------------------------------------------------------- sources in pages, and profiles
+
+
+@query("SELECT c_custkey, replace(lower(c_name), '#', '') AS a FROM (SELECT c_custkey, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS c_name FROM customer)")
+def board_slugs(spark, sf):
+    return t(spark, sf, "customer").select("c_custkey", F.get(retail.slugs("c_name"), F.lit(0)).alias("a"))
+
+
+@query("SELECT item_id AS page_id, 'Role ' || k AS title, 'https://x.example/j/' || k AS url, 'Haifa' AS location FROM benchmark, (VALUES (1), (2)) v(k)")
+def inline_postings(spark, sf):
+    items = F.array(*(F.struct(F.lit(f"Role {k}").alias("title"), F.lit(f"/j/{k}").alias("url"), F.lit("Haifa").alias("city")) for k in (1, 2)))
+    html = F.concat(F.lit('<script type="application/json">{"props":'), F.to_json(items), F.lit("}</script>"))
+    pages = t(spark, sf, "benchmark").select(F.col("item_id").alias("page_id"), F.lit("https://x.example/careers").alias("url"), html.alias("html"))
+    return inlined.inline_postings(pages).select("page_id", "title", "url", "location")
+
+
+@query("SELECT item_id AS page_id, 'lever' AS provider, 'acme' AS board, 2::BIGINT AS n, 1 AS place FROM benchmark")
+def embedded_boards(spark, sf):
+    html = F.lit('<a href="https://jobs.lever.co/acme/1"></a><script src="//jobs.lever.co/acme"></script><a href="https://boards.greenhouse.io/partner">p</a>')
+    return inlined.embedded_boards(t(spark, sf, "benchmark").select(F.col("item_id").alias("page_id"), html.alias("html"), F.lit("acme-security").alias("hint")))
+
+
+@query("SELECT c_custkey AS profile_id, 'backend' AS family, 2026 - (2010 + c_custkey % 15) AS years, CASE WHEN 2026 - (2010 + c_custkey % 15) <= 2 THEN 'junior' WHEN 2026 - (2010 + c_custkey % 15) <= 5 THEN 'mid' ELSE 'senior' END AS seniority, 75 AS evidence FROM customer")
+def cv_profiles(spark, sf):
+    body = F.concat(F.lit("Experience\nBackend Engineer | "), "c_name", F.lit(" | "), (2010 + F.col("c_custkey") % 15).cast("string"), F.lit(" - present\n- Designed Kafka services\n- Wrote text\nSkills: Python\n"))
+    idf = spark.createDataFrame([("kafka", 7.0)], "term string, idf double")
+    return cv.profiles(t(spark, sf, "customer").select(F.col("c_custkey").alias("profile_id"), body.alias("text")), idf, 2026).select("profile_id", "family", "years", "seniority", "evidence")
+
+
+@query()
+def weight_search(spark, sf):
+    d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id")
+    part = lambda k: (F.col("doc_id") % k).cast("int")
+    clashes = F.array().cast("array<struct<affinity:double,weight:double>>")
+    examples = d.select(F.col("doc_id").alias("id"), F.col("source").alias("profile_id"), part(101).alias("must"), part(71).alias("senior"), part(53).alias("nice"), part(97).alias("evidence"), (part(3) == 0).alias("signature"), clashes.alias("clashes"), F.lit(0).alias("unmet"), part(2).alias("missing"), part(3).alias("gap"), (F.col("doc_id") % 10 / 10).alias("fit"), F.when(F.col("quality") == 1, "fit").otherwise("not_fit").alias("label"), *(F.lit(None).cast("int").alias(x) for x in ("min_score", "max_score")))
+    return tuning.evaluate(examples, tuning.trials(spark, 50))
