@@ -103,6 +103,12 @@ class Families:
     def __init__(self, families: dict[str, list[str]] = V.FAMILIES):
         self.known = [(name, [(w.lower(), re.compile(word(w))) for w in words]) for name, words in families.items()]
 
+    def within(self, text: str) -> Families:
+        """The families whose keywords can occur in any part of the text."""
+        low, out = text.lower(), Families({})
+        out.known = [(name, own) for name, words in self.known if (own := [w for w in words if w[0] in low])]
+        return out
+
     def of(self, text: str) -> str | None:
         low, best = text.lower(), (0, 0, None)
         for name, words in self.known:
@@ -119,8 +125,8 @@ def read_posting(titles: pa.Array, texts: pa.Array) -> pa.Array:
     skills, families, rows = Skills(), Families(), []
     for title, text in zip(titles.to_pylist(), texts.to_pylist()):
         title, text = title or "", text or ""
-        bullets, own = sections(text), skills.within(text)
-        asked = [dict(zip(("bucket", "kind", "text", "canonical", "years"), r), reads_as=families.of(r[2]) if r[0] == "must" else None) for b, line in bullets if b in ("must", "nice") for r in requirements_of(b, line, own)]
+        bullets, own, near = sections(text), skills.within(text), families.within(text)
+        asked = [dict(zip(("bucket", "kind", "text", "canonical", "years"), r), reads_as=near.of(r[2]) if r[0] == "must" else None) for b, line in bullets if b in ("must", "nice") for r in requirements_of(b, line, own)]
         years = [int(m[1]) for b, line in bullets if b != "nice" and "year" in line.lower() for p in YEARS for m in p.finditer(line)]
         family, confidence = families.of(title), "title"
         if family is None and GENERIC.match(" ".join(title.split())):

@@ -608,7 +608,7 @@ def duplicate_hosts(spark, sf):
     return reports.duplicate_keys(t(spark, sf, "pages").select(F.col("page_id").alias("id"), F.lit("").alias("display_name"), F.col("url").alias("career_url")))
 
 
-@query("WITH s AS (SELECT source AS company_id, doc_id AS id, regexp_replace(trim(regexp_extract(coalesce(text, '') || chr(10) || 'Pays $' || doc_id || ' a year.', '[^.\n]*(?:[$€£₪]|USD|ILS|NIS)\s?\d[\d,.]*[^.\n]*')), '\.+$', '') AS snippet FROM documents) SELECT * FROM s WHERE snippet <> '' QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY id) <= 5")
+@query(r"WITH s AS (SELECT source AS company_id, doc_id AS id, regexp_replace(trim(regexp_extract(coalesce(text, '') || chr(10) || 'Pays $' || doc_id || ' a year.', '[^.\n]*(?:[$€£₪]|USD|ILS|NIS)\s?\d[\d,.]*[^.\n]*')), '\.+$', '') AS snippet FROM documents) SELECT * FROM s WHERE snippet <> '' QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY id) <= 5")
 def salary_snippets(spark, sf):
     rows = described(spark, sf).withColumn("description", F.concat(F.coalesce("description", F.lit("")), F.lit("\nPays $"), F.col("id").cast("string"), F.lit(" a year.")))
     return reports.salary_snippets(rows)
