@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import rules, text, titles, urls
 from tessera.functions import vocabulary as V
+from tessera.operators import companies as C
 from tessera.operators import cv, export, jobs, listing, repairs, reports, scoring, taxonomy, tuning
 from tessera.plans import search as S
 from tessera.sources import inlined, retail
@@ -661,3 +662,29 @@ def weight_search(spark, sf):
     clashes = F.array().cast("array<struct<affinity:double,weight:double>>")
     examples = d.select(F.col("doc_id").alias("id"), F.col("source").alias("profile_id"), part(101).alias("must"), part(71).alias("senior"), part(53).alias("nice"), part(97).alias("evidence"), (part(3) == 0).alias("signature"), clashes.alias("clashes"), F.lit(0).alias("unmet"), part(2).alias("missing"), part(3).alias("gap"), (F.col("doc_id") % 10 / 10).alias("fit"), F.when(F.col("quality") == 1, "fit").otherwise("not_fit").alias("label"), *(F.lit(None).cast("int").alias(x) for x in ("min_score", "max_score")))
     return tuning.evaluate(examples, tuning.trials(spark, 50))
+
+
+# ---------------------------------------------------------------- companies
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN c_custkey END AS company_id, CASE WHEN s_suppkey % 2 = 0 AND c_custkey IS NOT NULL THEN 'key' END AS matched_by FROM supplier LEFT JOIN customer ON c_custkey = s_suppkey")
+def registry_match(spark, sf):
+    known = companies(spark, sf).withColumn("career_url", F.lit(None).cast("string"))
+    wanted = t(spark, sf, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.format_string("Customer#%09d Ltd.", "s_suppkey")).otherwise(F.col("s_name")).alias("name"), F.lit(None).cast("string").alias("career_url"))
+    return C.resolve(wanted, known).select("s_suppkey", "company_id", "matched_by")
+
+
+@query("SELECT o_custkey AS company_id, o_orderkey AS id FROM orders QUALIFY o_orderpriority = min(o_orderpriority) OVER (PARTITION BY o_custkey)")
+def first_source(spark, sf):
+    return C.first_source(postings(spark, sf).select("company_id", "id", "title"), "title").select("company_id", "id")
+
+
+@query("WITH x AS (SELECT user_id AS company_id, CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 ELSE 2 END AS place, event_type AS strategy, max(value) > 60 AS healthy FROM events GROUP BY ALL) SELECT company_id, coalesce((min({'p': place, 's': strategy}) FILTER (healthy)).s, min({'p': place, 's': strategy}).s) AS strategy FROM x GROUP BY 1")
+def strategy_fallback(spark, sf):
+    e = t(spark, sf, "events").selectExpr("user_id AS company_id", "CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 ELSE 2 END AS place", "event_type AS strategy", "value")
+    return C.with_fallback(e.groupBy("company_id", "place", "strategy").agg((F.max("value") > 60).alias("healthy")).withColumn("failed", F.lit(False)))
+
+
+@query("SELECT p_partkey AS company_id, CASE p_size % 3 WHEN 0 THEN 'techmap_only' WHEN 1 THEN 'ats_api' ELSE 'html_listing' END AS kind, CASE WHEN p_size % 3 = 1 THEN 'lever:acme' END AS board FROM part")
+def synthesized_plans(spark, sf):
+    return C.synthesize(t(spark, sf, "part").selectExpr("p_partkey AS id", "CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'https://jobs.lever.co/Acme' ELSE 'https://acme.io/careers' END AS career_url"))
