@@ -187,3 +187,27 @@ def discovery(companies: DataFrame, plans: DataFrame, cooldown_days: int, today:
     old = F.date_diff(F.lit(today).cast("date"), F.col("derived_at").cast("date")) >= cooldown_days
     rank = F.when(F.col("status").isNull(), 0).when((F.col("status") == "stale") & old, 1).when((F.col("derived_by") == "rules") & (F.col("status") == "unverified"), 2)
     return joined.withColumn("__rank", rank).where("__rank is not null").orderBy("__rank", "id").limit(most).drop("__rank")
+
+
+def scores_wide(scores: DataFrame, profiles: list[str]) -> DataFrame:
+    """One row per posting with score_<profile> of the profiles named; null without a score."""
+    return scores.where(F.col("profile_id").isin(profiles)).groupBy("job_id").agg(*(F.max(F.when(F.col("profile_id") == p, F.col("score"))).alias(f"score_{p}") for p in profiles))
+
+
+def scores_long(wide: DataFrame) -> DataFrame:
+    """(job_id, profile_id, score) of columns score_<profile>, without nulls."""
+    names = [n for n in wide.columns if n.startswith("score_")]
+    pairs = F.array(*(F.struct(F.lit(n.removeprefix("score_")).alias("profile_id"), F.col(n).alias("score")) for n in names))
+    return wide.select("job_id", F.inline(pairs)).where("score is not null")
+
+
+def finish_run(history: DataFrame, run_id: str, now: str, status: str) -> DataFrame:
+    """The history with one run ended; runs that have ended already stay."""
+    hit = (F.col("id") == run_id) & F.col("ended_at").isNull()
+    return history.withColumn("status", F.when(hit, status).otherwise(F.col("status"))).withColumn("ended_at", F.when(hit, now).otherwise(F.col("ended_at")))
+
+
+def crash_orphans(history: DataFrame, running: list[str], now: str) -> DataFrame:
+    """Runs without an end that are not running are crashed."""
+    hit = F.col("ended_at").isNull() & ~F.col("id").isin(running)
+    return history.withColumn("status", F.when(hit, "crashed").otherwise(F.col("status"))).withColumn("ended_at", F.when(hit, now).otherwise(F.col("ended_at")))

@@ -205,6 +205,17 @@ def induce(labelled: DataFrame) -> DataFrame:
     return top.select("page_id", F.col("href_shape").alias("url_shape"), F.concat(F.lit(r"^https?://(www\.)?"), F.regexp_replace("host", r"\.", r"\\\\."), F.lit("/"), "low", F.lit("/")).alias("include_url"))
 
 
+def excludes(labelled: DataFrame, most: int = 10) -> DataFrame:
+    """(page_id, exclude_url): patterns of the shapes that rejected links have and accepted ones do not, the first ``most``
+    in the page's order (a plan keeps no more); shapes of query keys have none."""
+    shapes = labelled.where("href_shape is not null and href_shape not like '%|?%'").groupBy("page_id", "href_shape").agg(F.bool_or("is_job").alias("job"), F.min("index").alias("at"))
+    first = shapes.where("not job").withColumn("r", F.row_number().over(W.partitionBy("page_id").orderBy("at", "href_shape"))).where(F.col("r") <= most)
+    escaped = lambda x: F.regexp_replace(x, r"([^\w/])", r"\\$1")
+    part = F.split("href_shape", r"\|")
+    pattern = F.concat(F.lit(r"^https?://(www\.)?"), escaped(part[0]), F.lit("/"), F.when(part[1] != "", F.concat(escaped(part[1]), F.lit("/"))).otherwise(""), F.lit("[^/?#]+/?$"))
+    return first.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", pattern.alias("p")))), lambda x: x["p"]).alias("exclude_url"))
+
+
 def plan_holds(judged: DataFrame) -> DataFrame:
     """(page_id, holds): all labelled postings accepted and nothing else labelled accepted."""
     ok = F.col("verdict.accept")
