@@ -12,7 +12,7 @@ come; an empty table gives an empty result; other columns are ignored."""
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -118,21 +118,193 @@ def complete(histogram: dict[int, int], capacity: int, nodes: int = 2000) -> lis
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
-    """Best-fit decreasing on the histogram; the incumbent that completed bins must beat."""
-    return complete(histogram, capacity, nodes=capacity + 1)
+    """Best-fit decreasing, as (how often, piece lengths): each piece goes to the open bin with the least room for it.
+
+    Equal bins are one entry: pieces of one length fill the tightest bins one after the other, each as far as it goes."""
+    rooms: list[int] = []  # ascending, the rooms of ``open_bins``
+    open_bins: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
+
+    def put(times: int, own: tuple[int, ...], room: int) -> None:
+        if room not in open_bins:
+            insort(rooms, room)
+            open_bins[room] = []
+        open_bins[room].append((times, own))
+
+    for n, c in sorted(((n, c) for n, c in histogram.items() if c > 0), reverse=True):
+        while c:
+            i = bisect_left(rooms, n)
+            if i < len(rooms):
+                room = rooms[i]
+                times, own = open_bins[room].pop()
+                if not open_bins[room]:
+                    del rooms[i], open_bins[room]
+            else:
+                room, times, own = capacity, -(-c // (capacity // n)), ()
+            each = room // n
+            whole = min(times, c // each)
+            if whole:
+                put(whole, (*own, *[n] * each), room - each * n)
+            c -= whole * each
+            if whole < times:
+                if c:  # fewer than ``each`` are left
+                    put(1, (*own, *[n] * c), room - c * n)
+                if own and times > whole + (c > 0):
+                    put(times - whole - (c > 0), own, room)
+                c = 0
+    return [(times, list(own)) for room in rooms for times, own in open_bins[room]]
+
+
+def least(histogram: dict[int, int], capacity: int) -> int:
+    """No packing has fewer bins: Martello and Toth's bound L2, of which the volume bound is the case of no small piece left out."""
+    pieces_of, volume = np.zeros(capacity + 2, np.int64), np.zeros(capacity + 2, np.int64)
+    for n, c in histogram.items():
+        pieces_of[n + 1], volume[n + 1] = c, n * c
+    pieces_of, volume = pieces_of.cumsum(), volume.cumsum()  # [n]: of lengths under n
+    found, half = 0, capacity // 2
+    for k in {0, *(n for n in histogram if n <= half)}:
+        big = int(pieces_of[capacity + 1] - pieces_of[half + 1])
+        beside = int(pieces_of[capacity - k + 1] - pieces_of[half + 1]) * capacity - int(volume[capacity - k + 1] - volume[half + 1])
+        found = max(found, big + max(0, -(-(int(volume[half + 1] - volume[k]) - beside) // capacity)))
+    return found
+
+
+def completions(left: dict[int, int], capacity: int, big: int, spare: int, steps: int, most: int) -> tuple[list[list[tuple[int, int]]], int, bool]:
+    """Undominated fillings of the room beside ``big`` that waste no more than ``spare``, as (length, how many); steps made; whether those are all.
+
+    A filling is dominated where a piece left out could take the place of some of its pieces, or of none, and fit:
+    whatever packing has the filling has an equally good one with that piece in it. Least waste first, then fewest pieces."""
+    lengths = sorted(n for n, c in left.items() if c > 0 and n <= capacity - big)
+    sums = [0]
+    for n in lengths:
+        sums.append(sums[-1] + n * left[n])
+    there = sum(1 << n for n in lengths)
+    found: list[tuple[int, int, list[tuple[int, int]]]] = []
+    chosen: list[tuple[int, int]] = []
+    seen = 0
+
+    def dominated(room_left: int) -> bool:
+        any_sum, many, out = 1, 0, there  # bit s: some pieces, or two and more, are s long together
+        for n, k in chosen:
+            for _ in range(k):
+                many |= (many | any_sum & ~1) << n
+                any_sum |= any_sum << n
+            if k == left[n]:
+                out &= ~(1 << n)
+        if many & out:
+            return True
+        return any((any_sum << d) & out for d in range(1, room_left + 1))
+
+    def down(top: int, room_left: int) -> None:
+        nonlocal seen
+        seen += 1
+        if room_left <= spare and not dominated(room_left):
+            found.append((room_left, sum(k for _, k in chosen), chosen[:]))
+        i = min(top, bisect_right(lengths, room_left) - 1)
+        while i >= 0 and seen < steps:
+            if room_left - sums[i + 1] > spare:  # all that is left fills too little
+                return
+            n = lengths[i]
+            for k in range(min(left[n], room_left // n), 0, -1):
+                if seen >= steps:
+                    return
+                chosen.append((n, k))
+                down(i - 1, room_left - k * n)
+                chosen.pop()
+            i -= 1
+
+    down(len(lengths) - 1, capacity - big)
+    found.sort(key=lambda f: f[:2])
+    return [f for _, _, f in found[:most]], seen, seen < steps and len(found) <= most
+
+
+def branch(histogram: dict[int, int], capacity: int, best: list[tuple[int, list[int]]], bound: int, steps: int = 400_000, most: int = 16) -> list[tuple[int, list[int]]]:
+    """Bin completion: fewer bins than ``best`` if the search finds them, else ``best``.
+
+    The largest piece left branches over its undominated fillings, and over how often each is repeated (the whole run
+    first, then halves of it, then the rest). A branch is cut where its waste, over all bins so far, leaves no packing
+    with fewer bins than the incumbent. Passes allow 0, 1, 2, 4, ... choices other than the first one, so that an early
+    choice is undone as soon as a late one. It ends at ``bound``, when a pass leaves out nothing, or after ``steps``."""
+    volume = sum(n * c for n, c in histogram.items())
+    count = sum(t for t, _ in best)
+    each_steps = max(64, min(2000, steps // (4 * len(histogram))))
+    made, allowed = 0, 0
+    while count > bound and made < steps:
+        left, wasted, whole = {n: c for n, c in histogram.items() if c > 0}, 0, True
+        path: list[tuple[int, list[tuple[int, int]], int]] = []  # how often, (length, how many), waste
+
+        def options(strays: int) -> Iterator[tuple[int, list[tuple[int, int]], int]]:
+            nonlocal made, whole
+            big = max(left)
+            left[big] -= 1
+            spare = (count - 1) * capacity - volume - wasted
+            fill, seen, all_of = completions(left, capacity, big, spare, each_steps, most)
+            left[big] += 1
+            made, whole = made + seen, whole and all_of
+            runs = []
+            for f in fill:
+                own = dict(f)
+                own[big] = own.get(big, 0) + 1
+                waste = capacity - sum(n * k for n, k in own.items())
+                times = min(left[n] // k for n, k in own.items())
+                runs.append((min(times, spare // waste) if waste else times, list(own.items()), waste))
+            halves = [(t >> h, own, w) for h in range(max((t for t, _, _ in runs), default=0).bit_length()) for t, own, w in runs if t >> h]
+            yield from halves[: 1 if not strays else None]
+            if not strays:
+                whole = whole and len(halves) <= 1 and all(t <= 1 for t, _, _ in runs)
+                return
+            for t, own, w in runs:
+                tried = {t >> h for h in range(t.bit_length())}
+                yield from ((x, own, w) for x in range(t, 0, -1) if x not in tried)
+
+        stack = [[options(allowed), allowed, 0]]  # the choices, other choices allowed, choices made
+        while stack and made < steps:
+            frame = stack[-1]
+            if len(path) == len(stack):  # the last choice comes back
+                times, own, waste = path.pop()
+                wasted -= times * waste
+                for n, k in own:
+                    left[n] = left.get(n, 0) + k * times
+            choice = next(frame[0], None)
+            if choice is None:
+                stack.pop()
+                continue
+            made += 1
+            times, own, waste = choice
+            frame[2] += 1
+            path.append(choice)
+            wasted += times * waste
+            for n, k in own:
+                left[n] -= k * times
+                if not left[n]:
+                    del left[n]
+            if (count - 1) * capacity < volume + wasted:
+                stack.append([iter(()), 0, 0])
+            elif left:
+                strays = frame[1] - (frame[2] > 1)
+                stack.append([options(strays), strays, 0])
+            else:
+                best = [(t, [n for n, k in o for _ in range(k)]) for t, o, _ in path]
+                count = sum(t for t, _ in best)
+                if count <= bound:
+                    return best
+                stack.append([iter(()), 0, 0])
+        if whole and not stack:
+            return best
+        allowed = max(1, 2 * allowed)
+    return best
 
 
 def solve(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
-    """The fewest bins found. Searches end where the volume bound is met."""
+    """The fewest bins found, from best-fit decreasing on. Searches end where no packing has fewer."""
     if not histogram:
         return []
-    bound = -(-sum(n * c for n, c in histogram.items()) // capacity)
+    bound = least(histogram, capacity)
     best = best_fit(histogram, capacity)
     for nodes in (2_000, 20_000):
         if sum(t for t, _ in best) <= bound:
-            break
+            return best
         best = min(best, complete(histogram, capacity, nodes), key=lambda b: sum(t for t, _ in b))
-    return best
+    return branch(histogram, capacity, best, bound)
 
 
 def slots(bins: list[tuple[int, list[int]]]) -> dict[int, tuple[np.ndarray, ...]]:

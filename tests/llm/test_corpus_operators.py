@@ -264,6 +264,41 @@ def test_bin_completion_against_brute_force():
         assert sum(k for k, _ in bins) <= fewest(lengths, capacity) + 1
 
 
+def counted(bins, histogram, capacity):
+    used = {}
+    for times, own in bins:
+        assert times > 0 and sum(own) <= capacity
+        for n in own:
+            used[n] = used.get(n, 0) + times
+    assert used == histogram
+    return sum(t for t, _ in bins)
+
+
+@pytest.mark.parametrize("m", [1, 10, 1000])
+def test_skewed_lengths_are_packed_perfectly(m):
+    histogram = {n: m for n in (224, 288, 352, 736, 64, 896)} | {768: 2 * m}
+    assert counted(packing.solve(histogram, 2048), histogram, 2048) == 2 * m
+
+
+def test_best_fit_bound_and_branches_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(150):
+        capacity = rng.choice([10, 20, 37])
+        lengths = sorted((rng.randint(1, capacity) for _ in range(rng.randint(1, 10))), reverse=True)
+        histogram = {n: lengths.count(n) for n in lengths}
+        rooms = []
+        for n in lengths:
+            fit = [r for r in rooms if r >= n]
+            if fit:
+                rooms.remove(min(fit))
+            rooms.append((min(fit) if fit else capacity) - n)
+        assert counted(packing.best_fit(histogram, capacity), histogram, capacity) == len(rooms)
+        assert packing.least(histogram, capacity) <= fewest(lengths, capacity)
+        worst = [(1, [n]) for n in lengths]
+        assert counted(packing.branch(histogram, capacity, worst, 0), histogram, capacity) == fewest(lengths, capacity)
+
+
+
 # ---------------------------------------------------------------- 6: language
 
 
