@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,4 +77,98 @@ def chunks(texts: DataFrame, size: int = 900) -> DataFrame:
     return texts.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(F.col("text"), i * size + 1, F.lit(size)))).alias("chunk", "text"))
 
 
-__all__ = ["bm25", "chunks", "export", "matches", "similar_pairs", "suspicions"]
+def _counts(terms: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, chunk, w) to (id, chunk, len, terms, tf): the tokens, and how often each of ``terms`` is among them, by its number."""
+    known = pa.array(terms, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = b.column("w")
+            lengths = pc.list_value_length(w).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = pc.index_in(w.flatten(), known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            row, at = row[at >= 0], at[at >= 0]
+            both, tf = np.unique(row * max(len(terms), 1) + at, return_counts=True)
+            row, at = both // max(len(terms), 1), both % max(len(terms), 1)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(lengths)))]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (at, tf)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("chunk"), pa.array(lengths), *lists], ["id", "chunk", "len", "terms", "tf"])
+
+    return run
+
+
+def _sums(terms: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A partition's chunks with each term, all its chunks (-1) and their tokens (-2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, tokens = np.zeros(terms, np.int64), 0, 0
+        for b in batches:
+            df += np.bincount(b.column("terms").flatten().to_numpy(), minlength=terms)
+            n, tokens = n + b.num_rows, tokens + int(b.column("len").to_numpy().sum())
+        there = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([*there, -1, -2], pa.int32()), pa.array([*df[there], n, tokens], pa.int64())], ["t", "n"])
+
+    return run
+
+
+def _best(asked: list[np.ndarray], idf: np.ndarray, mean: float, k: int, k1: float, b: float, block: int = 256) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The ``k`` best passages of a partition for each query; of equal scores, the first by id and chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple[float, int, int]]] = [[] for _ in asked]
+        least = np.zeros(len(asked))
+        for rows in batches:
+            ids, chunk, lengths = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("id", "chunk", "len"))
+            tf = rows.column("tf").flatten().to_numpy().astype(np.float64)
+            at = rows.column("terms").flatten().to_numpy()
+            row = np.repeat(np.arange(len(ids)), pc.list_value_length(rows.column("terms")).to_numpy(zero_copy_only=False))
+            there, place = np.unique(at, return_inverse=True)
+            weights = np.zeros((len(ids), len(there)))
+            weights[row, place] = idf[at] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[row] / mean))
+            where = np.full(len(idf), -1)
+            where[there] = np.arange(len(there))
+            for first in range(0, len(asked), block):
+                has = np.zeros((len(there), min(block, len(asked) - first)))
+                for q, own in enumerate(asked[first : first + block]):
+                    own = where[own]
+                    has[own[own >= 0], q] = 1
+                scores = np.round(weights @ has, 6)
+                hit = (scores > 0) & (scores >= least[first : first + block])
+                for q in np.flatnonzero(hit.any(axis=0)):
+                    i = np.flatnonzero(hit[:, q])
+                    if len(i) > k:
+                        i = i[np.lexsort((chunk[i], ids[i], -scores[i, q]))[:k]]
+                    found = best[first + q] + [(-float(scores[j, q]), int(ids[j]), int(chunk[j])) for j in i]
+                    best[first + q] = sorted(found)[:k]
+                    if len(best[first + q]) == k:
+                        least[first + q] = -best[first + q][-1][0]
+        out = [(q, i, c, -s) for q, own in enumerate(best) for s, i, c in own]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.float64()))], ["__q", "id", "chunk", "score"])
+
+    return run
+
+
+def bm25_chunks(texts: DataFrame, queries: DataFrame, k: int = 4, size: int = 900, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, id, chunk, score, rank): ``bm25`` of every query (query_id, text) over the chunks of every text (id, text).
+
+    The queries' words go to the tasks; a chunk is scored against all queries where it is, and a task passes on its k
+    best for each. Texts are read twice: for how many chunks have a word, and for the scores."""
+    spark = texts.sparkSession
+    asked = queries.select("query_id", F.array_distinct(search_tokens("text")).alias("w")).collect()
+    terms = sorted({x for r in asked for x in r.w})
+    place = {x: i for i, x in enumerate(terms)}
+    pieces = chunks(texts, size).select(F.col("id").cast("long").alias("id"), F.col("chunk").cast("int").alias("chunk"), search_tokens("text").alias("w"))
+    counts = pieces.mapInArrow(_counts(terms), "id long, chunk int, len long, terms array<int>, tf array<int>")
+    seen = {r.t: r.n for r in counts.mapInArrow(_sums(len(terms)), "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}  # the queries' words and two more
+    df, n = np.array([seen.get(i, 0) for i in range(len(terms))]), seen.get(-1, 0)
+    idf, mean = np.log(1 + (n - df + 0.5) / (df + 0.5)), seen.get(-2, 0) / max(n, 1)
+    of = [np.array([place[x] for x in r.w], np.int64) for r in asked]
+    best = counts.where(F.size("terms") > 0).mapInArrow(_best(of, idf, mean, k, k1, b), "__q long, id long, chunk int, score double")
+    w = W.partitionBy("__q").orderBy(F.desc("score"), "id", "chunk")
+    top = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    names = spark.createDataFrame([(i, r.query_id) for i, r in enumerate(asked)], f"__q long, query_id {queries.schema['query_id'].dataType.simpleString()}")
+    return top.join(names, "__q").select("query_id", "id", "chunk", "score", F.col("rank").cast("long").alias("rank"))
+
+
+__all__ = ["bm25", "bm25_chunks", "chunks", "export", "matches", "similar_pairs", "suspicions"]

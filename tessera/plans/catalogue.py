@@ -232,6 +232,13 @@ def bm25_topk(spark, sf):
     return export.bm25(b.select(F.col("item_id").alias("passage_id"), "text"), asked).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query()
+def bm25_passages(spark, sf):
+    """Every benchmark item's whole text against the chunks of all documents."""
+    asked = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return export.bm25_chunks(t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), asked)
+
+
 # ---------------------------------------------------------------- taxonomy
 
 

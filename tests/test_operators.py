@@ -162,6 +162,42 @@ def test_bm25(spark):
     assert export.chunks(spark.createDataFrame([(1, "x" * 2000)], "id int, text string")).count() == 3
 
 
+def test_bm25_chunks_against_brute_force(spark):
+    import math
+    import random
+    import re
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdé9", k=3)) for _ in range(60)]
+    texts = [(i, " ".join(rng.choices(words, k=rng.randint(0, 200)))) for i in range(40)] + [(40, None), (41, "")]
+    texts += [(50 + i, texts[3][1]) for i in range(6)]  # copies: equal scores
+    asked = [(i, " ".join(rng.choices(words, k=30))) for i in range(25)] + [(25, "zzzzz"), (26, None)]
+    got = export.bm25_chunks(spark.createDataFrame(texts, "id long, text string").repartition(3), spark.createDataFrame(asked, "query_id long, text string"), 4, 90).collect()
+    cut = {(i, j): re.findall(r"[^\W_]+", x[90 * j : 90 * j + 90].replace("é", "e")) for i, x in ((i, x or "") for i, x in texts) for j in range(max(1, -(-len(x) // 90)))}
+    mean = sum(map(len, cut.values())) / len(cut)
+    want = set()
+    for q, x in asked:
+        score = {}
+        for w in set((x or "").replace("é", "e").split()):
+            df = sum(w in c for c in cut.values())
+            for at, c in cut.items():
+                if w in c:
+                    tf = c.count(w)
+                    score[at] = score.get(at, 0) + math.log(1 + (len(cut) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(c) / mean))
+        want |= {(q, *at, round(s, 5), k + 1) for k, (at, s) in enumerate(sorted(((at, round(s, 6)) for at, s in score.items()), key=lambda y: (-y[1], y[0]))[:4])}
+    assert {(r.query_id, r.id, r.chunk, round(r.score, 5), r["rank"]) for r in got} == want
+
+
+def test_bm25_passages_asks_every_item_of_all_documents(spark, tmp_path):
+    from tessera.plans import catalogue
+
+    asked = [(i, " ".join(["common"] * 14) + f" tail{i}") for i in range(30)]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, "x " * 900 + f"tail{i}") for i in range(30)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.query_id, r.id, r.chunk) for r in catalogue.QUERIES["bm25_passages"](spark, str(tmp_path)).collect()}
+    assert got == {(i, i, 2) for i in range(30)}  # by the last word of the item, in the last chunk of its document
+
+
 def test_boards(spark):
     payload = {"jobs": [{"title": " A  B ", "absolute_url": "u", "location": {"name": ""}, "offices": [{"name": "TLV"}], "content": "&lt;p&gt;x&lt;/p&gt;", "updated_at": "2026-01-02T00"}, {"title": ""}]}
     rows = spark.createDataFrame([("c", "b", None, json.dumps(payload)), ("c", "b", None, "{broken"), ("c", "b", None, None)], "company_id string, board string, board_url string, payload string")
