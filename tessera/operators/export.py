@@ -171,4 +171,53 @@ def bm25_chunks(texts: DataFrame, queries: DataFrame, k: int = 4, size: int = 90
     return top.join(names, "__q").select("query_id", "id", "chunk", "score", F.col("rank").cast("long").alias("rank"))
 
 
-__all__ = ["bm25", "bm25_chunks", "chunks", "export", "matches", "similar_pairs", "suspicions"]
+def _blocks(prefix: str, size: int = 1024) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Up to ``size`` rows (vec_id, embedding) in one, by id: their ids and the doubles of their vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, size):
+                part = b.slice(at, size)
+                ids, vectors = part.column("vec_id").to_numpy(), part.column("embedding")
+                matrix = vectors.flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
+                order = np.argsort(ids, kind="stable")
+                yield pa.RecordBatch.from_arrays([pa.array([ids[order].tobytes()]), pa.array([matrix[order].tobytes()])], [f"{prefix}_ids", f"{prefix}_vectors"])
+
+    return run
+
+
+def _nearest(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The ``k`` best of a block of vectors for each query of a block; of equal scores, the first by id; without a score, last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                asked, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["v_ids"], np.int64)
+                q, v = (np.frombuffer(row[f"{x}_vectors"]).reshape(len(n), -1) for x, n in (("q", asked), ("v", ids)))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    scores = np.round(q @ v.T / np.sqrt((q * q).sum(1)[:, None] * (v * v).sum(1)), 6)
+                scores[np.isnan(scores)] = -2.0
+                scores[asked[:, None] == ids] = -3.0
+                at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                found = np.take_along_axis(scores, at, axis=1)
+                keep = found > -3
+                score = pa.array(found[keep], pa.float64(), mask=found[keep] == -2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(asked[:, None], at.shape)[keep]), pa.array(ids[at][keep]), score], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, vec_id, score): the ``k`` most similar of ``vectors`` to each of ``queries`` (both vec_id, embedding), itself excepted.
+
+    Blocks of queries meet blocks of vectors, and only the best of a block for each query are passed on."""
+    sides = []
+    for rows, x in ((queries, "q"), (vectors, "v")):
+        rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null")
+        sides.append(rows.mapInArrow(_blocks(x), f"{x}_ids binary, {x}_vectors binary"))
+    best = sides[1].crossJoin(sides[0]).mapInArrow(_nearest(k), "query_id long, vec_id long, score double")  # blocks of both
+    w = W.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), "vec_id")
+    return best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("query_id", "vec_id", "score")
+
+
+__all__ = ["bm25", "bm25_chunks", "chunks", "cosine_topk", "export", "matches", "similar_pairs", "suspicions"]

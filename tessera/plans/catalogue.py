@@ -364,6 +364,13 @@ def embedding_cosine_topk(spark, sf):
     return both.withColumn("r", F.row_number().over(w)).where("r <= 5").select("query_id", "vec_id", "score")
 
 
+@query()
+def embedding_cosine_search(spark, sf):
+    """The five nearest of all vectors for every vector whose id is divisible by 20."""
+    e = t(spark, sf, "embeddings").select("vec_id", "embedding")
+    return export.cosine_topk(e.where("vec_id % 20 = 0"), e)
+
+
 # ---------------------------------------------------------------- state
 
 

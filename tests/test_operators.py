@@ -198,6 +198,28 @@ def test_bm25_passages_asks_every_item_of_all_documents(spark, tmp_path):
     assert got == {(i, i, 2) for i in range(30)}  # by the last word of the item, in the last chunk of its document
 
 
+def test_embedding_cosine_search_against_brute_force(spark, tmp_path):
+    import random
+
+    import numpy as np
+
+    from tessera.plans import catalogue
+
+    rng = random.Random(6)
+    rows = [(i, [float(rng.randint(-3, 3)) for _ in range(4)]) for i in range(130)]  # small whole numbers: many equal scores
+    rows[47] = (47, [0.0] * 4)
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.query_id, r.vec_id, r.score) for r in catalogue.QUERIES["embedding_cosine_search"](spark, str(tmp_path)).collect()}
+    v = np.array([x for _, x in rows])
+    want = set()
+    for q in range(0, 130, 20):
+        with np.errstate(invalid="ignore"):
+            s = np.round(v @ v[q] / np.sqrt((v * v).sum(1) * (v[q] * v[q]).sum()), 6)
+        best = sorted((i for i in range(130) if i != q), key=lambda i: (np.inf if np.isnan(s[i]) else -s[i], i))[:5]
+        want |= {(q, i, float(s[i])) for i in best}
+    assert got == want and len({q for q, _, _ in got}) == 7
+
+
 def test_boards(spark):
     payload = {"jobs": [{"title": " A  B ", "absolute_url": "u", "location": {"name": ""}, "offices": [{"name": "TLV"}], "content": "&lt;p&gt;x&lt;/p&gt;", "updated_at": "2026-01-02T00"}, {"title": ""}]}
     rows = spark.createDataFrame([("c", "b", None, json.dumps(payload)), ("c", "b", None, "{broken"), ("c", "b", None, None)], "company_id string, board string, board_url string, payload string")
