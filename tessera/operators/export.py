@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,6 +60,125 @@ def similar_pairs(texts: DataFrame, least: float = 0.8, prefix: int = 300) -> Da
     return full.where((like >= least) | (F.col("ha") == F.col("hb"))).select("company_id", "a", "b")
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written as Parquet under ``spark.checkpoint.dir`` and read again; kept in the executors where that is unset."""
+    root = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        return df.persist()
+    path = f"{root.rstrip('/')}/tessera/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _buckets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """How often the words of a partition, by their hash, fall into each of ``size`` buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(size, np.int64)
+        for b in batches:
+            seen += np.bincount(b.column("w").flatten().to_numpy() & (size - 1), minlength=size)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], ["bucket", "n"])
+
+    return run
+
+
+def _prefixes(often: np.ndarray, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rarest words of each set, so many that two sets at least ``least`` similar share one: (company_id, id, n, t, place)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, n = b.column("w").flatten().to_numpy(), pc.list_value_length(b.column("w")).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((words, often[words & (len(often) - 1)], row))
+            place = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
+            keep = place < (n - np.ceil(least * n - 1e-9).astype(np.int64) + 1)[row]
+            at = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([b.column("company_id").take(at), b.column("id").take(at), pa.array(n[row[keep]]), pa.array(words[order][keep]), pa.array(place[keep])], ["company_id", "id", "n", "t", "place"])
+
+    return run
+
+
+#: Longs of a set's parities: bit i is whether an odd number of its words has the hash i.
+PARITIES = 8
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each text once and in order, and a key of the set: null if it is empty."""
+    for b in batches:
+        w, n = b.column("w").flatten().to_numpy(), pc.list_value_length(b.column("w")).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((w, row))
+        w, row = w[order], row[order]
+        new = np.ones(len(w), bool)
+        new[1:] = (w[1:] != w[:-1]) | (row[1:] != row[:-1])
+        w, row = w[new], row[new]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(n)))]).astype(np.int32)
+        keys = [hashlib.md5(w[x:y].tobytes()).hexdigest() if y > x else None for x, y in zip(ends, ends[1:])]
+        odd = np.bincount(row * 64 * PARITIES + (w >> 20 & 64 * PARITIES - 1), minlength=len(n) * 64 * PARITIES).astype(np.uint8) & 1
+        odd = np.packbits(odd).view(np.int64).reshape(len(n), PARITIES)
+        cols = [b.column("company_id"), b.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(w)), b.column("head"), pa.array(keys, pa.string())]
+        yield pa.RecordBatch.from_arrays([*cols, *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(PARITIES))], ["company_id", "id", "w", "head", "words", *(f"s{i}" for i in range(PARITIES))])
+
+
+def _alike(least: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The pairs of a group whose sets, which come along, are at least ``least`` similar."""
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        words = {i: frozenset(w) for i, w in zip(sets["id"].to_pylist(), sets["w"].to_pylist())}
+        keep = []
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
+            both = len(words[a] & words[b])
+            keep.append(both / (len(words[a]) + len(words[b]) - both) >= least)
+        found = pairs.filter(pa.array(keep, pa.bool_()))
+        return pa.table({"company_id": found["company_id"], "kind": pa.array(["like"] * len(found), pa.string()), "a": found["a"], "b": found["b"]})
+
+    return run
+
+
+def similar_classes(texts: DataFrame, least: float = 0.8, prefix: int = 300, buckets: int = 1 << 18, at_once: int = 20_000) -> DataFrame:
+    """(company_id, kind, a, b): what ``similar_pairs`` finds, without a pair for each two copies.
+
+    ``words`` and ``head``: b has the word set, or the beginning, of a, the smallest id that has it. ``like``: a and b are
+    the smallest ids of word sets at least ``least`` similar. Two texts are a pair where they have the same beginning, or
+    the same word set that is not empty, or where the smallest ids of their word sets are ``like``. Words are compared by
+    their 64-bit hashes. Which words count as rare is counted in buckets; it decides how many candidates there are only. About
+    ``at_once`` candidates are compared together."""
+    kind = {f.name: f.dataType.simpleString() for f in texts.schema}
+    rows = texts.where("company_id is not null").select("company_id", "id", F.transform(search_tokens("text"), lambda x: F.xxhash64(x)).alias("w"), F.sha2(F.substring("text", 1, prefix), 256).alias("head"))
+    rows = stored(rows.mapInArrow(_sets, f"company_id {kind['company_id']}, id {kind['id']}, w array<long>, head string, words string, " + ", ".join(f"s{i} long" for i in range(PARITIES))), "word-sets")
+    keys = rows.select("company_id", "id", F.explode(F.create_map(F.lit("words"), "words", F.lit("head"), "head")).alias("kind", "key")).where("key is not null")
+    first = keys.groupBy("company_id", "kind", "key").agg(F.min("id").alias("a"))
+    member = stored(keys.join(first, ["company_id", "kind", "key"]).where(F.col("id") != F.col("a")).select("company_id", "kind", "a", F.col("id").alias("b")), "copies")
+    copies = member.where("kind = 'words'").select("company_id", F.col("b").alias("id"))
+    sets = rows.where("words is not null").select("company_id", "id", "w").join(copies, ["company_id", "id"], "left_anti")
+    often = np.zeros(buckets, np.int64)
+    for r in rows.select("w").mapInArrow(_buckets(buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").collect():  # at most ``buckets`` rows
+        often[r.bucket] = r.n
+    rare = sets.mapInArrow(_prefixes(often, least), f"company_id {kind['company_id']}, id {kind['id']}, n long, t long, place long")
+    a, b = rare.alias("a"), rare.alias("b")
+    shared = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))  # no more words can be shared from the first shared one on
+    enough = shared * (1 + least) >= least * (F.col("a.n") + F.col("b.n")) - 1e-6
+    met = a.join(b, (F.col("a.company_id") == F.col("b.company_id")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.id") < F.col("b.id")) & enough)
+    pairs = stored(met.select(F.col("a.company_id").alias("company_id"), F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "candidates")
+    odd = rows.select("company_id", "id", F.size("w").alias("n"), *(f"s{i}" for i in range(PARITIES)))
+    sides = [odd.toDF("company_id", x, f"{x}n", *(f"{x}s{i}" for i in range(PARITIES))) for x in "ab"]
+    differ = sum((F.bit_count(F.col(f"as{i}").bitwiseXOR(F.col(f"bs{i}"))) for i in range(PARITIES)), F.lit(0))  # at least as many words are in one set only
+    near = pairs.join(sides[0], ["company_id", "a"]).join(sides[1], ["company_id", "b"]).where(differ * (1 + least) <= (1 - least) * (F.col("an") + F.col("bn")) + 1e-6)
+    pairs = stored(near.select("company_id", "a", "b"), "near")
+    lowest = pairs.groupBy("company_id", F.col("b").alias("a")).agg(F.min("a").alias("m"))
+    further = lowest.select("company_id", F.col("a").alias("m"), F.col("m").alias("least_m"))
+    lowest = lowest.join(further, ["company_id", "m"], "left").select("company_id", "a", F.coalesce("least_m", "m").alias("m"))
+    own = ["company_id", "m", "part"]  # sets go once to each part of their group, not once to each of its pairs
+    dealt = stored(pairs.join(lowest, ["company_id", "a"], "left").select("company_id", F.coalesce("m", "a").alias("m"), "a", "b"), "groups")
+    parts = dealt.groupBy("company_id", "m").agg(F.ceil(F.count("*") / at_once).alias("parts"))
+    dealt = dealt.join(parts, ["company_id", "m"]).select("company_id", "m", F.pmod(F.xxhash64("b"), "parts").alias("part"), "a", "b")
+    need = dealt.select(*own, F.explode(F.array("a", "b")).alias("id")).distinct().join(rows.select("company_id", "id", "w"), ["company_id", "id"])
+    need = need.select(*(F.col(x).alias(f"n_{x}") for x in own), "id", "w")
+    like = dealt.groupBy(*own).cogroup(need.groupBy(*(f"n_{x}" for x in own))).applyInArrow(_alike(least), f"company_id {kind['company_id']}, kind string, a {kind['id']}, b {kind['id']}")
+    return member.unionByName(like)
+
+
 def bm25(passages: DataFrame, queries: DataFrame, k: int = 4, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, passage_id, score, rank): the k best of ``passages`` (passage_id, text) for ``queries`` (query_id, text)."""
     tokens = passages.select("passage_id", search_tokens("text").alias("w")).withColumn("len", F.size("w"))
@@ -220,4 +341,4 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame
     return best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("query_id", "vec_id", "score")
 
 
-__all__ = ["bm25", "bm25_chunks", "chunks", "cosine_topk", "export", "matches", "similar_pairs", "suspicions"]
+__all__ = ["bm25", "bm25_chunks", "chunks", "cosine_topk", "export", "matches", "similar_classes", "similar_pairs", "suspicions"]

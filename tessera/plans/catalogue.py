@@ -527,6 +527,12 @@ def jaccard_pairs(spark, sf):
     return export.similar_pairs(t(spark, sf, "benchmark").select(F.lit("all").alias("company_id"), F.col("item_id").alias("id"), "text"), 0.2)
 
 
+@query()
+def jaccard_documents(spark, sf):
+    """Copies and near-copies among all documents of a source, at the audit's threshold."""
+    return export.similar_classes(described(spark, sf).select("company_id", "id", F.col("description").alias("text")))
+
+
 @query()
 def fuzzy_title(spark, sf):
     p = t(spark, sf, "part").select("p_name").distinct()

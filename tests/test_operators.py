@@ -155,6 +155,38 @@ def test_similar_pairs_against_brute_force(spark):
     assert got == {(i, j) for i, a in texts for j, b in texts if i < j and (like(a, b) >= 0.6 or a == b)}
 
 
+@pytest.mark.parametrize("least", [0.5, 0.8])
+def test_similar_classes_hold_the_pairs_of_brute_force(spark, least):
+    import random
+
+    rng = random.Random(3)
+    texts = [("cd"[i % 2], i, " ".join(rng.choices("abcdefghijkl", k=rng.randint(3, 14)))) for i in range(80)]
+    texts += [("c", 100 + i, texts[4][2]) for i in range(30)]  # copies
+    texts += [("d", 200 + i, "z " * 40 + f"end{i}") for i in range(4)] + [("c", 300, ""), ("c", 301, ""), ("c", 302, None), (None, 303, "a b")]
+    got = export.similar_classes(spark.createDataFrame(texts, "company_id string, id long, text string"), least, 30, at_once=50).collect()
+    assert sum(r.kind == "words" for r in got if r.company_id == "c" and r.b >= 100) == 30  # a row a copy, not a pair for each two
+    words = {x: set((x or "").split()) for _, _, x in texts}
+    first = {k: {(r.company_id, r.b): r.a for r in got if r.kind == k} for k in ("words", "head")}
+    like = {(r.company_id, r.a, r.b) for r in got if r.kind == "like"}
+    for i, (c, a, x) in enumerate(texts):
+        for d, b, y in texts[i + 1 :]:
+            if c == d:
+                w = sorted(first["words"].get((c, n), n) for n in (a, b))
+                found = first["head"].get((c, a), a) == first["head"].get((c, b), b) or w[0] == w[1] or (c, *w) in like
+                both = words[x] | words[y]
+                assert found == (c is not None and ((x is not None and y is not None and x[:30] == y[:30]) or bool(both) and len(words[x] & words[y]) / len(both) >= least)), (x, y)
+
+
+def test_jaccard_documents_finds_a_near_copy(spark, tmp_path):
+    from tessera.plans import catalogue
+
+    long = [f"word{i}" for i in range(200)]
+    rows = [(1, " ".join(long), "s"), (2, " ".join(["new", *long[1:]]), "s"), (3, " ".join(long), "s"), (4, " ".join(["other", *long[1:]]), "r")]
+    spark.createDataFrame([(i, x, "en", c, len(x)) for i, x, c in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in catalogue.QUERIES["jaccard_documents"](spark, str(tmp_path)).collect()}
+    assert got == {("s", "words", 1, 3), ("s", "head", 1, 3), ("s", "like", 1, 2)}
+
+
 def test_bm25(spark):
     p = spark.createDataFrame([(1, "python spark data"), (2, "java"), (3, "python python")], "passage_id int, text string")
     q = spark.createDataFrame([(1, "python")], "query_id int, text string")
