@@ -675,13 +675,22 @@ def cv_profiles(spark, sf):
     return cv.profiles(t(spark, sf, "customer").select(F.col("c_custkey").alias("profile_id"), body.alias("text")), idf, 2026).select("profile_id", "family", "years", "seniority", "evidence")
 
 
-@query()
-def weight_search(spark, sf):
+def _labelled(spark, sf):
     d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id")
     part = lambda k: (F.col("doc_id") % k).cast("int")
     clashes = F.array().cast("array<struct<affinity:double,weight:double>>")
-    examples = d.select(F.col("doc_id").alias("id"), F.col("source").alias("profile_id"), part(101).alias("must"), part(71).alias("senior"), part(53).alias("nice"), part(97).alias("evidence"), (part(3) == 0).alias("signature"), clashes.alias("clashes"), F.lit(0).alias("unmet"), part(2).alias("missing"), part(3).alias("gap"), (F.col("doc_id") % 10 / 10).alias("fit"), F.when(F.col("quality") == 1, "fit").otherwise("not_fit").alias("label"), *(F.lit(None).cast("int").alias(x) for x in ("min_score", "max_score")))
-    return tuning.evaluate(examples, tuning.trials(spark, 50))
+    return d.select(F.col("doc_id").alias("id"), F.col("source").alias("profile_id"), part(101).alias("must"), part(71).alias("senior"), part(53).alias("nice"), part(97).alias("evidence"), (part(3) == 0).alias("signature"), clashes.alias("clashes"), F.lit(0).alias("unmet"), part(2).alias("missing"), part(3).alias("gap"), (F.col("doc_id") % 10 / 10).alias("fit"), F.when(F.col("quality") == 1, "fit").otherwise("not_fit").alias("label"), *(F.lit(None).cast("int").alias(x) for x in ("min_score", "max_score")))
+
+
+@query()
+def weight_search(spark, sf):
+    return tuning.evaluate(_labelled(spark, sf), tuning.trials(spark, 50))
+
+
+@query()
+def weight_search_best(spark, sf):
+    """The best of all 500 trials."""
+    return tuning.search(_labelled(spark, sf))
 
 
 # ---------------------------------------------------------------- companies

@@ -97,3 +97,12 @@ def test_search_against_brute_force(spark):
     assert best.precision_at_10 == pytest.approx(max(p for r, p, _ in want.values() if not r))
     with pytest.raises(ValueError):
         tuning.evaluate(ex, table, (10, 30), most=3)
+
+
+def test_weight_search_best_is_of_500_trials(spark, tmp_path):
+    from tessera.plans import catalogue
+
+    spark.range(120).selectExpr("id AS doc_id", "concat('s', id % 2) AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(120).selectExpr("id AS doc_id", "cast(id % 3 = 0 AS int) AS quality").write.parquet(f"{tmp_path}/labels.parquet")
+    (best,) = catalogue.QUERIES["weight_search_best"](spark, str(tmp_path)).collect()
+    assert best.evaluated + best.rejected_trials == 500
