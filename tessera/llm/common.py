@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,15 @@ def crc32_mod(column: str, modulus: int) -> Column:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local master, whose tasks all run on this machine, may do without."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        if not getattr(spark.sparkContext, "_tessera_root", None):
-            spark.sparkContext._tessera_root = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        root = spark.sparkContext._tessera_root
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not getattr(context, "_tessera_root", None):
+            context._tessera_root = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        root = context._tessera_root
     return root.rstrip("/")
 
 
@@ -61,9 +64,36 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
-    """Rows of an Arrow batch: long texts are common, so few rows bound a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Rows of an Arrow batch, for results that are computed after the operator has returned: long texts are common, so
+    few rows bound a worker's memory. A session that allows fewer already keeps its setting."""
+    if not 0 < int(spark.conf.get(BATCH)) <= rows:
+        spark.conf.set(BATCH, str(rows))
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Rows of an Arrow batch while the block runs; the session's setting comes back after it."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with as many underscores in front as it takes to clash with no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
