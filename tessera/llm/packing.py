@@ -2,8 +2,11 @@
 
 Only longer documents are cut, so a piece has one of ``capacity`` lengths and the number of pieces of each length
 says all that packing needs. That histogram - at most ``capacity`` rows however large the corpus - goes to the
-driver, where bins are completed branch-and-bound around the largest piece left, and each filling found is used as
-often as the histogram allows. Pieces then find their places from their rank among the pieces of their length,
+driver. Best-fit decreasing is the first incumbent; then bins are completed branch-and-bound: the largest piece left
+branches over its undominated fillings, and a branch is cut where its waste leaves no packing with fewer bins than the
+incumbent. Equal bins are made together, as often as the histogram allows and in shorter runs after that, so the work
+follows the number of lengths and not of pieces. The problem is NP-hard: the search is exact where it ends by itself,
+and ``STEPS`` steps bound it; the result is never worse than best-fit decreasing. Pieces then find their places from their rank among the pieces of their length,
 which per-partition counts give without sorting or gathering equal lengths.
 
 Defined cases: a null text is empty and is one piece with the end id alone; repeated rows and ids are packed as they
@@ -22,25 +25,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_rows, table, written
+from tessera.llm.common import batch_rows, table, written
 from tessera.llm.encoders import REMEMBER, encoder
 
-PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECE = "piece int, start long, length long, ids_crc32 long"
+#: Search steps of a packing, and undominated fillings that a bin branches over.
+STEPS, MOST = 2_000_000, 16
 
 
 def _cut(path: str, capacity: int, end_id: int, keep_ids: bool, remember: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.asarray([end_id], "<u4").tobytes()
         for b in batches:
-            texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
+            texts, ids = b.column("text").to_pylist(), b.column("doc_id")
             for i in range(0, len(texts), 64):
                 out: list[tuple] = []
-                for doc_id, body in zip(ids[i : i + 64], encoder(path, True, remember).ids(texts[i : i + 64])):
+                for at, body in enumerate(encoder(path, True, remember).ids(texts[i : i + 64]), i):
                     body += end
                     for k, a in enumerate(range(0, len(body), 4 * capacity)):
                         part = body[a : a + 4 * capacity]
-                        out.append((doc_id, k, a // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None))
+                        out.append((at, k, a // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None))
                 cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+                cols[0] = ids.take(cols[0])
                 yield pa.RecordBatch.from_arrays(cols[: 6 if keep_ids else 5], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if keep_ids else 5])
 
     return run
@@ -48,73 +54,8 @@ def _cut(path: str, capacity: int, end_id: int, keep_ids: bool, remember: int) -
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, keep_ids: bool = False, remember: int = REMEMBER) -> DataFrame:
     """The pieces of each document: its ids and the end id, cut where longer than ``capacity``. ``remember``: chunks a worker keeps."""
-    arrow_rows(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(_cut(tokenizer, capacity, end_id, keep_ids, remember), PIECE + ", ids binary" * keep_ids)
-
-
-def fillings(lengths: list[int], counts: list[int], room: int, nodes: int) -> list[int]:
-    """Indexes (repeats allowed) of a filling of ``room`` with the least waste found, largest pieces first.
-
-    The search is depth-first over ascending ``lengths``. Its first leaf is the best-fit filling, the incumbent. At
-    each step a piece that fits exactly dominates all else; otherwise the largest that fits is tried before smaller
-    ones. A branch is pruned where even its whole rest could not beat the incumbent's waste; the search ends at no
-    waste or after ``nodes`` steps."""
-    best, best_waste, seen = [], room, 0
-    left = counts[:]
-    sums = [0]
-    for n, c in zip(lengths, counts):
-        sums.append(sums[-1] + n * c)
-    chosen: list[int] = []
-
-    def down(top: int, room_left: int) -> bool:
-        nonlocal best, best_waste, seen
-        seen += 1
-        if room_left < best_waste:
-            best, best_waste = chosen[:], room_left
-            if not best_waste:
-                return True
-        i = min(top, bisect_right(lengths, room_left) - 1)
-        while i >= 0 and seen < nodes:
-            if not left[i]:
-                i -= 1
-                continue
-            if room_left - sums[i + 1] >= best_waste:  # all that is left fills too little
-                return False
-            left[i] -= 1
-            chosen.append(i)
-            done = down(i, room_left - lengths[i])
-            chosen.pop()
-            left[i] += 1
-            if done:
-                return True
-            i -= 1
-        return False
-
-    down(len(lengths) - 1, room)
-    return best
-
-
-def complete(histogram: dict[int, int], capacity: int, nodes: int = 2000) -> list[tuple[int, list[int]]]:
-    """Bins as (how often, piece lengths): the largest piece left is completed with the best filling found, and the
-    bin is repeated while the histogram lasts, so at most one distinct bin is made for each length used up."""
-    left = {n: c for n, c in sorted(histogram.items()) if c > 0}
-    bins: list[tuple[int, list[int]]] = []
-    while left:
-        big = max(left)
-        left[big] -= 1
-        lengths = [n for n in left if left[n]]
-        chosen = [lengths[i] for i in fillings(lengths, [left[n] for n in lengths], capacity - big, nodes)]
-        left[big] += 1
-        own = [big, *chosen]
-        need = {n: own.count(n) for n in own}
-        times = min(left[n] // k for n, k in need.items())
-        for n, k in need.items():
-            left[n] -= k * times
-            if not left[n]:
-                del left[n]
-        bins.append((times, own))
-    return bins
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(_cut(tokenizer, capacity, end_id, keep_ids, remember), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {PIECE}" + ", ids binary" * keep_ids)
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
@@ -194,30 +135,41 @@ def completions(left: dict[int, int], capacity: int, big: int, spare: int, steps
             return True
         return any((any_sum << d) & out for d in range(1, room_left + 1))
 
-    def down(top: int, room_left: int) -> None:
-        nonlocal seen
-        seen += 1
-        if room_left <= spare and not dominated(room_left):
-            found.append((room_left, sum(k for _, k in chosen), chosen[:]))
-        i = min(top, bisect_right(lengths, room_left) - 1)
-        while i >= 0 and seen < steps:
+    def choices(top: int, room_left: int) -> Iterator[tuple[int, int]]:
+        """Which length comes next, and how often; long lengths and long runs first."""
+        for i in range(min(top, bisect_right(lengths, room_left) - 1), -1, -1):
             if room_left - sums[i + 1] > spare:  # all that is left fills too little
                 return
-            n = lengths[i]
-            for k in range(min(left[n], room_left // n), 0, -1):
-                if seen >= steps:
-                    return
-                chosen.append((n, k))
-                down(i - 1, room_left - k * n)
-                chosen.pop()
-            i -= 1
-
-    down(len(lengths) - 1, capacity - big)
+            for k in range(min(left[lengths[i]], room_left // lengths[i]), 0, -1):
+                yield i, k
+
+    room, stack = capacity - big, []
+    while seen < steps:
+        if len(stack) == len(chosen):  # a filling not seen before
+            seen += 1
+            if room <= spare and not dominated(room):
+                found.append((room, sum(k for _, k in chosen), chosen[:]))
+                if not room and len(found) >= most:
+                    break
+            stack.append(choices(stack[-1][1] - 1 if stack else len(lengths) - 1, room))
+            stack[-1] = [stack[-1], 0]
+        step = next(stack[-1][0], None)
+        if step is None:
+            stack.pop()
+            if not stack:
+                break
+            n, k = chosen.pop()
+            room += n * k
+            continue
+        stack[-1][1] = step[0]
+        n = lengths[step[0]]
+        chosen.append((n, step[1]))
+        room -= n * step[1]
     found.sort(key=lambda f: f[:2])
-    return [f for _, _, f in found[:most]], seen, seen < steps and len(found) <= most
+    return [f for _, _, f in found[:most]], seen, not stack and len(found) <= most
 
 
-def branch(histogram: dict[int, int], capacity: int, best: list[tuple[int, list[int]]], bound: int, steps: int = 400_000, most: int = 16) -> list[tuple[int, list[int]]]:
+def branch(histogram: dict[int, int], capacity: int, best: list[tuple[int, list[int]]], bound: int, steps: int = STEPS, most: int = MOST) -> list[tuple[int, list[int]]]:
     """Bin completion: fewer bins than ``best`` if the search finds them, else ``best``.
 
     The largest piece left branches over its undominated fillings, and over how often each is repeated (the whole run
@@ -226,7 +178,7 @@ def branch(histogram: dict[int, int], capacity: int, best: list[tuple[int, list[
     choice is undone as soon as a late one. It ends at ``bound``, when a pass leaves out nothing, or after ``steps``."""
     volume = sum(n * c for n, c in histogram.items())
     count = sum(t for t, _ in best)
-    each_steps = max(64, min(2000, steps // (4 * len(histogram))))
+    each_steps = max(256, min(20_000, 10 * steps // len(histogram)))
     made, allowed = 0, 0
     while count > bound and made < steps:
         left, wasted, whole = {n: c for n, c in histogram.items() if c > 0}, 0, True
@@ -237,7 +189,7 @@ def branch(histogram: dict[int, int], capacity: int, best: list[tuple[int, list[
             big = max(left)
             left[big] -= 1
             spare = (count - 1) * capacity - volume - wasted
-            fill, seen, all_of = completions(left, capacity, big, spare, each_steps, most)
+            fill, seen, all_of = completions(left, capacity, big, spare, each_steps, most if strays else 1)  # where no other choice is open, the first one will do
             left[big] += 1
             made, whole = made + seen, whole and all_of
             runs = []
@@ -294,17 +246,13 @@ def branch(histogram: dict[int, int], capacity: int, best: list[tuple[int, list[
     return best
 
 
-def solve(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
-    """The fewest bins found, from best-fit decreasing on. Searches end where no packing has fewer."""
+def solve(histogram: dict[int, int], capacity: int, steps: int = STEPS) -> list[tuple[int, list[int]]]:
+    """The fewest bins found in ``steps`` steps, from best-fit decreasing on. The search ends where no packing has fewer."""
     if not histogram:
         return []
     bound = least(histogram, capacity)
     best = best_fit(histogram, capacity)
-    for nodes in (2_000, 20_000):
-        if sum(t for t, _ in best) <= bound:
-            return best
-        best = min(best, complete(histogram, capacity, nodes), key=lambda b: sum(t for t, _ in b))
-    return branch(histogram, capacity, best, bound)
+    return best if sum(t for t, _ in best) <= bound else branch(histogram, capacity, best, bound, steps)
 
 
 def slots(bins: list[tuple[int, list[int]]]) -> dict[int, tuple[np.ndarray, ...]]:
@@ -359,7 +307,8 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pack(cut: DataFrame, capacity: int) -> DataFrame:
     """``cut`` (with a column length) plus sequence_id and offset."""
     numbered = cut.mapInArrow(_numbered, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", __part int, __local long")
-    numbered = written(numbered, "pieces")  # a partition's ranks must not change if a lost executor's work is redone
+    with batch_rows(cut.sparkSession):
+        numbered = written(numbered, "pieces")  # a partition's ranks must not change if a lost executor's work is redone
     counts = written(numbered.groupBy("length", "__part").agg(F.count("*").alias("__n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("__n").alias("n")).collect()}  # at most `capacity` rows
     places = slots(solve(histogram, capacity))
