@@ -6,15 +6,19 @@ own work. The reader walks a file record by record. Where a check fails (member,
 digest), it searches on for the next gzip member or version line that starts a sound record, logs the bytes between
 as a quarantined gap with the reason, and goes on from there.
 
-Defined cases: null html is an empty payload; a null url leaves out the target; null page ids stay null and are never
-referred to; repeated rows are records of their own, and all rows with the largest id of their payload are responses;
-an empty table gives an empty result; other columns are ignored."""
+Within a gzip member the same search runs over its decompressed bytes: sound records before and after a bad one are
+given, and so are those before the place where a member breaks off; gaps inside are logged by their place in the
+decompressed bytes (``inner``, ``inner_length``), a broken member as a gap of the file as well. A member is unpacked
+as it is read, so memory holds a window and one record, however large the member.
+
+Defined cases: null html is an empty payload; a null url leaves out the target; null page ids stay null, are never
+referred to, and have record ids numbered within their file; repeated rows are records of their own, and all rows with
+the largest id of their payload are responses; an empty table gives an empty result; other columns are ignored."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -25,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_rows, scratch, table, written
+from tessera.llm.common import batch_rows, scratch, table, written
 
 ROLL_BYTES, WINDOW, LEVEL = 64 << 20, 1 << 18, 3
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/"
 DATE = "1970-01-01T00:00:00Z"  # reruns make equal files
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-RECORD = "path string, kind string, offset long, length long, reason string, type string, uri string, record_id string, refers_to_id string, payload_digest string, payload_bytes long"
+RECORD = "path string, kind string, offset long, length long, reason string, type string, uri string, record_id string, refers_to_id string, payload_digest string, payload_bytes long, inner long, inner_length long"
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -46,11 +50,11 @@ def digest(payload: bytes) -> str:
 # ---------------------------------------------------------------- writing
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """A response record, or a revisit record that refers to another page's response, as one gzip member."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, unnamed: str = "none") -> bytes:
+    """A response record, or a revisit record that refers to another page's response, as one gzip member; ``unnamed`` names a page without id."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'none-' + uuid.uuid4().hex if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{unnamed if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
     if url:
         head.append("WARC-Target-URI: " + "".join(c if c > " " else f"%{ord(c):02X}" for c in url))
     if refers_to is not None:
@@ -69,6 +73,8 @@ def _write(root: str, roll: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         def close() -> pa.RecordBatch:
             out.close()
             name = f"part-{task.partitionId():06d}-{n:04d}.warc.gz"
+            if at.get_file_info(f"{where}/{name}").type != pafs.FileType.NotFound:
+                at.delete_file(f"{where}/{name}")  # an earlier attempt's; not every file system replaces it in a move
             at.move(f"{where}/.{task.taskAttemptId()}-{n}", f"{where}/{name}")
             return pa.RecordBatch.from_arrays([pa.array([f"{root}/{name}"]), pa.array([count], pa.int64()), pa.array([size], pa.int64())], ["path", "records", "bytes"])
 
@@ -76,7 +82,7 @@ def _write(root: str, roll: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
             for page_id, url, html, refers_to in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to"))):
                 if out is None:
                     out, count, size = at.open_output_stream(f"{where}/.{task.taskAttemptId()}-{n}"), 0, 0
-                data = record(page_id, url, html.encode(), refers_to)
+                data = record(page_id, url, html.encode(), refers_to, f"none-{task.partitionId()}-{n}-{count}")
                 out.write(data)
                 count, size = count + 1, size + len(data)
                 if size >= roll:
@@ -103,10 +109,10 @@ def with_references(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 def write_archives(pages: DataFrame, root: str, roll: int = ROLL_BYTES, least_bytes: int = 0) -> DataFrame:
     """Write ``pages`` (page_id, url, html) to archives in the folder ``root``; (path, records, bytes) of each file."""
-    arrow_rows(pages.sparkSession)
     at, where = filesystem(root)
     at.create_dir(where, recursive=True)
-    return written(with_references(pages, least_bytes).mapInArrow(_write(root, roll), "path string, records long, bytes long"), "archives")
+    with batch_rows(pages.sparkSession):
+        return written(with_references(pages, least_bytes).mapInArrow(_write(root, roll), "path string, records long, bytes long"), "archives")
 
 
 # ---------------------------------------------------------------- reading
@@ -142,20 +148,101 @@ class Source:
             self.start, self.data = at, self.file.read(max(n, WINDOW))
         return self.data[at - self.start : at - self.start + n]
 
-    def find(self, what: bytes, at: int) -> int:
-        while at < self.size:
-            data = self.read(at, WINDOW)
+
+class Unpacked:
+    """Decompressed bytes of the gzip member at ``at``, by place, unpacked as they are asked for; ``forget`` drops what lies before a place.
+
+    After the end, ``end`` is the place after the member, or ``broken`` says why there is none."""
+
+    def __init__(self, source: Source, at: int):
+        self.source, self.start, self.data, self.end, self.broken = source, 0, bytearray(), None, None
+        self.unpack, self.crc = zlib.decompressobj(-15), 0  # without zlib's own check of the trailer, which would withhold the last bytes
+        head = source.read(at, WINDOW)
+        flags, self.place = head[3] if len(head) > 9 else 0, 10
+        if flags & 4:
+            self.place += 2 + int.from_bytes(head[10:12], "little")
+        for flag in (8, 16):  # a name, a comment
+            if flags & flag:
+                self.place = head.find(b"\0", self.place) + 1 or len(head)
+        self.place += at + (2 if flags & 2 else 0)
+
+    def _add(self, out: bytes) -> None:
+        self.data += out
+        self.crc = zlib.crc32(out, self.crc)
+
+    def _more(self, most: int) -> bool:
+        if self.end is not None or self.broken:
+            return False
+        packed = self.unpack.unconsumed_tail
+        if not packed:
+            packed = self.source.read(self.place, WINDOW)
+            self.place += len(packed)
+        if not packed:
+            self.broken = "gzip: member is cut short"
+            return False
+        before = self.unpack.copy()
+        try:
+            self._add(self.unpack.decompress(packed, most))
+        except zlib.error as e:
+            self.broken = f"gzip: {str(e)[:60]}"
+            while most:  # what comes before the fault, in ever smaller steps
+                step = before.copy()
+                try:
+                    out = step.decompress(packed, most)
+                except zlib.error:
+                    most //= 2
+                    continue
+                if not out:
+                    break
+                self._add(out)
+                before, packed = step, step.unconsumed_tail
+            return False
+        if self.unpack.eof:
+            at = self.place - len(self.unpack.unused_data)
+            trailer = self.source.read(at, 8)
+            if trailer != self.crc.to_bytes(4, "little") + (self.start + len(self.data) & 0xFFFFFFFF).to_bytes(4, "little"):
+                self.broken = "gzip: member is cut short" if len(trailer) < 8 else "gzip: incorrect data check"
+                return False
+            self.end = at + 8
+        return True
+
+    def read(self, at: int, n: int) -> bytes:
+        while self.start + len(self.data) < at + n and self._more(max(4096, min(at + n - self.start - len(self.data), WINDOW))):
+            pass
+        return bytes(self.data[at - self.start : at - self.start + n])
+
+    def forget(self, at: int) -> None:
+        del self.data[: at - self.start]
+        self.start = max(self.start, at)
+
+
+class Signatures:
+    """The next place of each of some signatures, looked for only when passed."""
+
+    def __init__(self, read: Callable[[int, int], bytes], *signatures: bytes):
+        self.read, self.places = read, dict.fromkeys(signatures, -2)
+
+    def after(self, at: int, forget: Callable[[int], None] = lambda at: None) -> int:
+        """The first one at ``at`` or later, or -1."""
+        for what, place in self.places.items():
+            if place != -1 and place < at:
+                self.places[what] = self._find(what, at, forget)
+        return min((p for p in self.places.values() if p >= 0), default=-1)
+
+    def _find(self, what: bytes, at: int, forget: Callable[[int], None]) -> int:
+        while data := self.read(at, WINDOW):
             i = data.find(what)
             if i >= 0:
                 return at + i
             if len(data) < WINDOW:
                 return -1
             at += len(data) - len(what) + 1
+            forget(at)
         return -1
 
 
-def parse(read: Callable[[int, int], bytes], size: int, at: int) -> tuple[Record, int]:
-    """The record at ``at`` of a run of bytes and the place after it. Raises Broken where a check fails."""
+def parse(read: Callable[[int, int], bytes], size: int | None, at: int) -> tuple[Record, int]:
+    """The record at ``at`` of a run of bytes (of ``size``, if that is known) and the place after it. Raises Broken where a check fails."""
     if read(at, len(VERSION)) != VERSION:
         raise Broken("no version line")
     n = 4096
@@ -172,7 +259,7 @@ def parse(read: Callable[[int, int], bytes], size: int, at: int) -> tuple[Record
         raise Broken("no content length")
     start = at + end + 4
     stop = start + int(length)
-    if stop > size:
+    if size is not None and stop > size:
         raise Broken("block is cut short")
     if read(stop, 4) != b"\r\n\r\n":
         raise Broken("no end of record after the block")
@@ -183,83 +270,109 @@ def parse(read: Callable[[int, int], bytes], size: int, at: int) -> tuple[Record
     return found, stop + 4
 
 
-def member(source: Source, at: int) -> tuple[list[Record], int]:
-    """The records of the gzip member at ``at`` and the place after it. Raises Broken."""
-    unpack, parts, place = zlib.decompressobj(31), [], at
-    try:
-        while not unpack.eof:
-            data = source.read(place, WINDOW)
-            if not data:
-                raise Broken("member is cut short")
-            parts.append(unpack.decompress(data))
-            if place == at and len(parts[0]) >= len(VERSION) and not parts[0].startswith(VERSION):
-                raise Broken("member does not start with a version line")
-            place += len(data)
-    except zlib.error as e:
-        raise Broken(f"gzip: {str(e)[:60]}") from None
-    content = b"".join(parts)
-    found, i = [], 0
-    while i < len(content):
-        one, i = parse(lambda a, n: content[a : a + n], len(content), i)
-        found.append(one)
-    if not found:
-        raise Broken("member is empty")
-    return found, place - len(unpack.unused_data)
-
-
-def records_at(source: Source, at: int) -> tuple[list[Record], int]:
-    if source.read(at, 3) == MAGIC:
-        return member(source, at)
-    one, end = parse(source.read, source.size, at)
-    return [one], end
-
-
-def salvage(file, size: int) -> Iterator[tuple[int, int, Record | None, str | None]]:
-    """(place, length, record, reason) of all records and of all quarantined gaps (record None), in file order."""
-    source, at = Source(file, size), 0
-    while at < size:
+@dataclass
+class Found:
+    """A record, or a gap (``record`` None): its place and length in the file, and in its member's decompressed bytes where
+    the member holds more than the one record. A record that shares its member has no length in the file."""
+
+    place: int
+    length: int | None
+    record: Record | None
+    reason: str | None = None
+    inner: int | None = None
+    inner_length: int | None = None
+
+
+def inside(content: Unpacked, place: int) -> Iterator[Found]:
+    """The records and the gaps of a member's decompressed bytes, in order."""
+    at, lost, why = 0, None, None
+    lines = Signatures(content.read, VERSION)
+    while content.read(at, 1):
         try:
-            found, end = records_at(source, at)
+            one, end = parse(content.read, None, at)
         except Broken as e:
-            reason, next_at, places = str(e), at + 1, {MAGIC: -2, VERSION: -2}
-            while True:
-                for what in places:  # the next place of each signature, looked for only when passed
-                    if places[what] != -1 and places[what] < next_at:
-                        places[what] = source.find(what, next_at)
-                ahead = [p for p in places.values() if p >= 0]
-                if not ahead:
-                    yield at, size - at, None, reason
-                    return
-                next_at = min(ahead)
-                try:
-                    found, end = records_at(source, next_at)
-                    break
-                except Broken:
-                    next_at += 1
-            yield at, next_at - at, None, reason
-            at = next_at
-        for one in found:
-            yield at, end - at, one, None
+            lost, why = (at, str(e)) if lost is None else (lost, why)
+            if at == 0 and not content.read(0, len(VERSION)).startswith(VERSION[: len(content.read(0, len(VERSION)))]) and content.end is None:
+                break  # no archive: a stray signature, which is not worth unpacking
+            at = lines.after(at + 1, content.forget)
+            if at < 0:
+                break
+            continue
+        if lost is not None:
+            yield Found(place, None, None, why, lost, at - lost)
+            lost = None
+        yield Found(place, None, one, None, at, end - at)
         at = end
+        content.forget(at)
+    if lost is not None:
+        yield Found(place, None, None, content.broken or why, lost, content.start + len(content.data) - lost)
+
+
+def salvage(file, size: int) -> Iterator[Found]:
+    """All records and all quarantined gaps, in file order."""
+    source = Source(file, size)
+    ahead = Signatures(lambda at, n: source.read(at, min(n, size - at)) if at < size else b"", MAGIC, VERSION)
+    at, lost, why = 0, None, None  # lost: where the open gap began
+    while 0 <= at < size:
+        end, sound, held, reason = None, False, [], None
+        if source.read(at, 3) == MAGIC:
+            content = Unpacked(source, at)
+            for item in inside(content, at):
+                if item.record is not None and not sound:
+                    sound = True
+                    if lost is not None:
+                        yield Found(lost, at - lost, None, why)
+                        lost = None
+                held.append(item)
+                if sound and len(held) > 1:  # several: they share the member, and their inner places tell them apart
+                    yield from held[:-1]
+                    held = held[-1:]
+            while content._more(WINDOW):  # the trailer's check
+                content.forget(content.start + len(content.data))
+            end, reason = content.end, content.broken or next((x.reason for x in held if x.reason), "member is empty")
+            if sound:
+                last = held[-1]
+                if end is not None and last.record is not None and last.inner == 0:
+                    last = Found(at, end - at, last.record)  # the member's only record
+                yield last
+            if end is not None and not sound:  # a whole member without a sound record
+                lost, why, at = (at, reason, end) if lost is None else (lost, why, end)
+                continue
+        else:
+            try:
+                one, end = parse(source.read, size, at)
+                if lost is not None:
+                    yield Found(lost, at - lost, None, why)
+                    lost = None
+                yield Found(at, end - at, one)
+            except Broken as e:
+                reason = str(e)
+        if end is not None:
+            at = end
+            continue
+        lost, why = (at, reason) if lost is None else (lost, why)
+        at = ahead.after(at + 1)
+    if lost is not None:
+        yield Found(lost, size - lost, None, why)
 
 
 def _read(with_payload: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = [x.split()[0] for x in RECORD.split(", ")] + ["payload"] * with_payload
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.binary()][: len(names)]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, *[pa.int64()] * 3, pa.binary()][: len(names)]
 
     def rows(path: str) -> Iterator[tuple]:
         at, where = filesystem(path)
         with at.open_input_file(where) as file:
-            for place, length, one, reason in salvage(file, file.size()):
-                if one is None:
-                    yield path, "gap", place, length, reason, None, None, None, None, None, None, None
+            for x in salvage(file, file.size()):
+                if x.record is None:
+                    yield path, "gap", x.place, x.length, x.reason, None, None, None, None, None, None, x.inner, x.inner_length, None
                     continue
-                h, body = one.headers, one.payload
+                h, body = x.record.headers, x.record.payload
                 own = h.get("warc-type") != "revisit"
-                stated = one.block.split(b"\r\n\r\n")[0].lower().partition(b"content-length:")[2].split(b"\r\n")[0].strip()
+                stated = x.record.block.split(b"\r\n\r\n")[0].lower().partition(b"content-length:")[2].split(b"\r\n")[0].strip()
                 n = len(body) if own else int(stated) if stated.isdigit() else None
                 sha1 = digest(body) if own else h.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                yield path, "record", place, length, None, h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-record-id"), h.get("warc-refers-to"), sha1, n, body
+                yield path, "record", x.place, x.length, None, h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-record-id"), h.get("warc-refers-to"), sha1, n, x.inner, x.inner_length, body
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
