@@ -1,8 +1,9 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
-A line is normalised (trimmed, white space runs made one space, lower-cased, digits made 0) and hashed. A line found in more than
-``max_docs`` distinct documents of one host is removed there. A document is rejected when too little is left of it:
-fewer than ``min_words`` words, or less than ``min_share`` of its words.
+A line is normalised (white space runs made one space, trimmed, lower-cased, digits made 0) and hashed. A line found in
+more than ``max_share`` of one host's documents, and in more than ``max_docs``, is removed there; the count is a floor
+only, so that a few copies on a small host are not taken for boilerplate. A document is rejected when too little is left
+of it: fewer than ``min_words`` words, or less than ``min_share`` of its words.
 
 The host of a document is its ``source``. Lines are counted with partial sums before the shuffle, so a line that a
 third of all documents hold is a few rows per task when it arrives.
@@ -17,14 +18,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import SPACE, WORD, table, written
 
-MAX_DOCS, MIN_WORDS, MIN_SHARE = 100, 10, 0.3
+MAX_SHARE, MAX_DOCS, MIN_WORDS, MIN_SHARE = 0.05, 5, 10, 0.3
 SYMBOLS = r"[#*$%&|<>]"
 
 
 def repeated_words(words: Column, width: int = 5) -> Column:
     """Words within windows of ``width`` words that occur twice or more among ``words``, the first occurrence included.
 
-    Window hashes are sorted as plain numbers to see whether any repeats; only then are they sorted with their places."""
+    Words are hashed once, as column ``__hashes``, and windows by the hashes of their words. Window hashes are compared as
+    plain numbers to see whether any repeats; only then are they sorted with their places."""
     n = F.size(words)
 
     def covered(hashes: Column) -> Column:
@@ -40,13 +42,13 @@ def repeated_words(words: Column, width: int = 5) -> Column:
 
         return F.element_at(F.transform(F.array(placed), of), 1)
 
-    hashes = F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.xxhash64(F.slice(words, i, width)))
+    hashes = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*(F.get("__hashes", i + k) for k in range(width))))
     some = F.size(F.array_distinct("__windows")) < F.size("__windows")
     return hashes, F.when(some, covered(F.col("__windows"))).otherwise(F.lit(0)).cast("long")
 
 
 def line_key(line: Column) -> Column:
-    return F.xxhash64(F.lower(F.regexp_replace(F.regexp_replace(F.trim(line), SPACE + "+", " "), "[0-9]", "0")))
+    return F.xxhash64(F.lower(F.regexp_replace(F.trim(F.regexp_replace(line, SPACE + "+", " ")), "[0-9]", "0")))
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
@@ -59,6 +61,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("__lines", F.filter(F.split("__text", "\n"), lambda x: x.rlike(WORD)))
     rows = rows.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
     hashes, repeated = repeated_words(F.col("__words"))
+    rows = rows.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
     rows = rows.withColumn("__windows", F.when(F.col("n_words") >= 6, hashes).otherwise(F.array().cast("array<bigint>")))
     rows = rows.withColumn("n_repeat_words", repeated)
     lines = F.transform("__lines", lambda x: F.struct(line_key(x).alias("hash"), F.regexp_count(x, F.lit(WORD)).alias("words")))
@@ -69,11 +72,13 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def line_frequency(docs: DataFrame, max_docs: int = MAX_DOCS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
+def line_frequency(docs: DataFrame, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
     """Base statistics of each document, its words in lines that are too frequent on its host, and whether it is kept."""
     rows = written(with_statistics(docs).withColumn("__row", F.monotonically_increasing_id()), "lines")
     each = rows.select("host", F.explode(F.array_distinct("lines.hash")).alias("hash"))
-    frequent = each.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
+    hosts = rows.groupBy(F.col("host").alias("of")).agg(F.greatest(F.count("*") * max_share, F.lit(float(max_docs))).alias("limit"))
+    found = each.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
+    frequent = found.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > F.col("limit"))
     frequent = written(frequent.select(F.col("host").alias("__host"), F.col("hash").alias("__hash")), "frequent-lines")
     lines = rows.select("__row", "host", F.explode("lines").alias("line")).select("__row", "host", "line.hash", "line.words")
     hit = lines.join(frequent, F.col("host").eqNullSafe(F.col("__host")) & (F.col("hash") == F.col("__hash")))
@@ -101,11 +106,13 @@ covered AS (
   FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM windows WHERE c > 1) GROUP BY rid),
 lines AS (
   SELECT rid, host, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
-         md5(lower(regexp_replace(regexp_replace(trim(line), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g'))) AS k
+         md5(lower(regexp_replace(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]', '0', 'g'))) AS k
   FROM (SELECT rid, host, unnest(string_split(t, chr(10))) AS line FROM words)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dups AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY rid),
-frequent AS (SELECT host, k FROM lines GROUP BY host, k HAVING count(DISTINCT rid) > 100),
+hosts AS (SELECT host, greatest(count(*) * 0.05::DOUBLE, 5) AS most FROM docs GROUP BY host),
+counted AS (SELECT host, k, count(DISTINCT rid) AS n FROM lines GROUP BY host, k),
+frequent AS (SELECT c.host, c.k FROM counted c JOIN hosts h ON c.host IS NOT DISTINCT FROM h.host WHERE c.n > h.most),
 lost AS (
   SELECT l.rid, sum(l.n) AS n_line_words FROM lines l JOIN frequent f ON l.k = f.k AND l.host IS NOT DISTINCT FROM f.host GROUP BY l.rid),
 stats AS (
