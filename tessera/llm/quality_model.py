@@ -5,7 +5,8 @@ documents (``sample`` rows, chosen by a hash of the id) and flattened into array
 documents by vectorised traversal.
 
 Defined cases: a null text is empty and gets a score like any other; labels that are null or repeated are harmless;
-without labels, or with one kind only, every score is the share of label 1 (0.5 without any); an empty table gives an
+documents with one id stand for it by the
+least of their statistics; without labels, or with one kind only, every score is the share of label 1 (0.5 without any); an empty table gives an
 empty result; other columns are ignored by ``score_column``'s callers and kept by ``keep_good``."""
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import arrow_rows, crc32_mod, slices, table, text_buffer
+from tessera.llm.common import arrow_rows, batch_rows, crc32_mod, slices, table, text_buffer
 
 SAMPLE, THRESHOLD = 20_000, 0.3
 _CLASSES = [b" \t\r\x0b\x0c", b"\n", bytes(range(97, 123)), bytes(range(65, 91)), b"0123456789", b".", b",", b"!?", b"|", b"#$%&*<>@^~\\", b"'\"()[]{}", b"-_/+=:;`", bytes(range(194, 245)), bytes(range(128, 194))]
@@ -47,6 +48,8 @@ def statistics(texts: pa.Array) -> np.ndarray:
         word = kind > 1
         begin = word.copy()
         begin[1:] &= ~word[:-1] | (owner[1:] != owner[:-1])
+        if len(begin) and a > offsets[first]:  # a cut within a text: a word that goes on has been counted
+            begin[0] &= CLASS[data[a - 1]] <= 1
         starts[first : first + here] += np.bincount(owner[begin] - first, minlength=here)
     size = np.diff(offsets).astype(float)
     distinct, repeated, upper, longest = (np.zeros(n) for _ in range(4))
@@ -137,14 +140,14 @@ def statistics_udf(texts: pa.Array) -> pa.Array:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     """Trees from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality): about ``sample`` labelled documents at most."""
-    arrow_rows(docs.sparkSession)
     marked = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("double").alias("quality"))
     share = sample / max(marked.count(), 1)
     if share < 1:
         marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     marked = marked.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     taken = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(marked), "doc_id")  # about `sample` rows at most
-    seen = taken.select("doc_id", "quality", statistics_udf("text").alias("x")).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    with batch_rows(docs.sparkSession):  # of rows with one id, the least statistics stand for it, so reruns agree
+        seen = taken.select("doc_id", "quality", statistics_udf("text").alias("x")).groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("x").alias("x")).toPandas().sort_values("doc_id")
     x = np.array(seen["x"].tolist(), np.float32).reshape(-1, N_FEATURES)
     return grow(x, seen["quality"].to_numpy(float))
 
@@ -169,6 +172,7 @@ def keep_good(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> Da
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document; labels are learned only where crc32(doc_id) mod 5 is not 0."""
+    arrow_rows(spark)
     docs = table(spark, sf_dir, "documents")
     scored = docs.select("doc_id", (crc32_mod("doc_id", 5) == 0).alias("held_out"), score_column(fit_tables(spark, docs, sf_dir)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
