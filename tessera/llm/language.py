@@ -2,16 +2,21 @@
 
 Each language has a byte context tree of orders 0 to 3, frozen after training. In a context seen n times with t
 different next bytes, a byte seen c times costs -log2(c / (n + t)) bits, and an escape to the next shorter context
--log2(t / (n + t)); bytes already excluded by a longer context count no more. As nothing changes while scoring, the
-exact cost of every byte after every context is tabled once for all languages, and a text's code length in each
-language is a sum of table entries. The language of the shortest code is predicted.
+-log2(t / (n + t)); bytes already excluded by a longer context count no more. A text's code length in a language is the
+sum of its bytes' costs, and the language of the shortest code is predicted.
 
-Trees come from a bounded sample: about ``per_lang`` documents of each language, chosen by a hash of the id, whole.
-``table_mb`` bounds the table: the contexts of order 3 that were seen most are kept, the others escape to order 2.
+Trees are sparse: sorted arrays of the grams that were seen and their counts, and for each context its totals and what
+is left of the next shorter context's totals after exclusion. As nothing changes while scoring, the exact cost of every
+gram that any language of a block of ``BLOCK`` languages has seen is tabled once, in a hash table of grams; other grams
+are costed from the trees when they turn up. So memory follows the grams seen, for any number of languages, and no
+context is left out.
+
+Trees come from a bounded sample: about ``per_lang`` documents of each language, chosen by a hash of id and text, whole.
+Rows with equal id and text are in it together; the driver gets their distinct grams, not their rows.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; null languages are not learned from;
-without anything to learn from, all is ``und``; repeated rows and ids are harmless; an empty table gives an empty
-result; other columns are ignored by ``predict``'s callers and kept by ``keep_known``."""
+without anything to learn from, all is ``und``; repeated rows and ids, and null ids, are harmless; an empty table gives
+an empty result; other columns are ignored by ``predict``'s callers and kept by ``keep_known``."""
 
 from __future__ import annotations
 
@@ -24,9 +29,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import arrow_rows, crc32_mod, slices, table, text_buffer
+from tessera.llm.common import arrow_rows, batch_rows, crc32_mod, slices, table, text_buffer
 
-ORDER, PER_LANG, TABLE_MB = 3, 2000, 192
+ORDER, PER_LANG, BLOCK = 3, 2000, 8
 PAD = 10  # a text begins as if after line feeds
 RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -55,34 +60,135 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kinds), pa.string()), pa.array(kinds.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each of ``wanted`` in sorted ``keys``, and whether it is there."""
+    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+
+
+class Tree:
+    """The context tree of one language, from its grams of ORDER + 1 bytes (as big-endian numbers) and their counts."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        self.grams, self.counts = [], []  # by order: sorted grams of order + 1 bytes
+        for k in range(ORDER + 1):
+            keys, where = np.unique(grams.astype(np.int64) & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            self.grams.append(keys.astype(np.uint32))
+            self.counts.append(np.bincount(where, counts, len(keys)).astype(np.int64))
+        self.contexts, self.total, self.kinds = [], [], []  # by order: sorted contexts of that many bytes
+        self.rest_total, self.rest_kinds = [], []  # what the next shorter context has besides the bytes seen here
+        for k in range(ORDER + 1):
+            contexts, where = np.unique(self.grams[k] >> 8, return_inverse=True)
+            total, kinds = np.bincount(where, self.counts[k], len(contexts)), np.bincount(where, minlength=len(contexts))
+            self.contexts.append(contexts.astype(np.uint32))
+            self.total.append(total)
+            self.kinds.append(kinds)
+            if k:
+                short = self.grams[k] & np.uint32((1 << 8 * k) - 1)
+                at, _ = _at(self.grams[k - 1], short)
+                up, _ = _at(self.contexts[k - 1], contexts & ((1 << 8 * (k - 1)) - 1))
+                self.rest_total.append(self.total[k - 1][up] - np.bincount(where, self.counts[k - 1][at], len(contexts)))
+                self.rest_kinds.append(self.kinds[k - 1][up] - kinds)
+            else:
+                self.rest_total.append(np.zeros(len(contexts)))
+                self.rest_kinds.append(256 - kinds)
+
+    def costs(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each gram after the bytes before it."""
+        cost = np.zeros(len(grams))
+        open_, excluded = np.arange(len(grams)), np.full(len(grams), -1)  # grams not settled; the longer context escaped from
+        for k in range(ORDER, -1, -1):
+            if not len(open_):
+                return cost
+            gram = grams[open_] & np.uint32((1 << 8 * (k + 1)) - 1)
+            context, known = _at(self.contexts[k], gram >> np.uint32(8))
+            if not len(self.contexts[k]):
+                continue
+            total = np.where(known, self.total[k][context], 0)
+            kinds = np.where(known, self.kinds[k][context], 0)
+            after = excluded >= 0
+            if after.any():
+                total[after], kinds[after] = self.rest_total[k + 1][excluded[after]], self.rest_kinds[k + 1][excluded[after]]
+            at, hit = _at(self.grams[k], gram)
+            hit &= total > 0
+            with np.errstate(divide="ignore", invalid="ignore"):
+                step = np.where(hit, self.counts[k][at], kinds) / (total + kinds)
+                cost[open_] -= np.where(total > 0, np.log2(step), 0)
+            excluded = np.where(known, context, -1)[~hit]
+            open_ = open_[~hit]
+        unseen = 256 - (self.kinds[0][0] if len(self.kinds[0]) else 0)
+        cost[open_] += np.log2(max(unseen, 1))
+        return cost
+
+
+class Costs:
+    """The costs in some languages of all grams that any of them has seen, in a hash table; of other grams, from the trees."""
+
+    def __init__(self, trees: list[Tree]):
+        self.trees = trees
+        grams = np.unique(np.concatenate([t.grams[ORDER] for t in trees]))
+        self.table = np.column_stack([t.costs(grams) for t in trees]).astype(np.float32)
+        self.bits = max(4, int(np.ceil(np.log2(4 * max(len(grams), 1)))))
+        self.key, self.row = np.zeros(1 << self.bits, np.uint32), np.full(1 << self.bits, -1, np.int32)
+        rows, slot = np.arange(len(grams), dtype=np.int32), self._slot(grams)
+        while len(rows):  # each free slot takes one gram, the others move on
+            free = np.flatnonzero(self.row[slot] < 0)
+            taken, first = np.unique(slot[free], return_index=True)
+            self.row[taken], self.key[taken] = rows[free[first]], grams[rows[free[first]]]
+            rest = np.ones(len(rows), bool)
+            rest[free[first]] = False
+            rows, slot = rows[rest], slot[rest] + 1 & (1 << self.bits) - 1
+
+    def _slot(self, grams: np.ndarray) -> np.ndarray:
+        return (grams * np.uint32(2654435769) >> np.uint32(32 - self.bits)).astype(np.int64)
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        """grams x languages."""
+        slot = self._slot(grams)
+        row = self.row[slot]
+        wrong = np.flatnonzero((row >= 0) & (self.key[slot] != grams))
+        at = slot[wrong]
+        while len(wrong):
+            at = at + 1 & (1 << self.bits) - 1
+            row[wrong] = self.row[at]
+            more = (row[wrong] >= 0) & (self.key[at] != grams[wrong])
+            wrong, at = wrong[more], at[more]
+        new = row < 0
+        if not new.any():
+            return self.table[row]
+        out = self.table[np.maximum(row, 0)] if len(self.table) else np.zeros((len(grams), len(self.trees)), np.float32)
+        kinds, where = np.unique(grams[new], return_inverse=True)
+        out[new] = np.column_stack([t.costs(kinds) for t in self.trees])[where]
+        return out
+
+
 @dataclass
 class Model:
-    """Costs in bits by context, byte and language; and the context of any three bytes."""
+    """The languages, and the costs of blocks of them."""
 
     langs: list[str]
-    symbol: np.ndarray  # byte -> symbol; unseen bytes share the last
-    state: np.ndarray  # three symbols -> context
-    cost: np.ndarray  # (contexts x symbols) x languages
+    blocks: list[Costs]
 
     def code_lengths(self, texts: pa.Array) -> np.ndarray:
         """Bits of each text in each language."""
         data, offsets = text_buffer(texts)
         out = np.zeros((len(offsets) - 1, len(self.langs)))
-        s, pad = len(np.unique(self.symbol)), self.symbol[PAD]
         for a, b, first, owner, lead in slices(offsets, 1 << 20, ORDER):
-            sym = self.symbol[data[a:b]].astype(np.int64)
+            sym = data[a:b].astype(np.uint32)
             begin = np.ones(len(owner), bool)
             begin[1:] = owner[1:] != owner[:-1]
-            context = np.zeros(len(sym), np.int64)
             since = np.arange(len(sym)) - np.maximum.accumulate(np.where(begin, np.arange(len(sym)), 0))
-            for k in range(ORDER, 0, -1):  # a byte before the text's first is a pad
-                before = np.full(len(sym), pad, np.int64)
-                before[k:] = np.where(since[k:] >= k, sym[:-k], pad)
-                context = context * s + before
-            cost = self.cost[self.state[context] * s + sym][lead:]
+            gram = sym.copy()
+            for k in range(1, ORDER + 1):  # a byte before the text's first is a pad
+                before = np.full(len(sym), PAD, np.uint32)
+                before[k:] = np.where(since[k:] >= k, sym[:-k], PAD)
+                gram |= before << np.uint32(8 * k)
+            gram = gram[lead:]
             starts = np.flatnonzero(begin)  # the first byte of a piece counts as one; a piece with a lead has no other
-            if len(cost):
-                out[owner[starts]] += np.add.reduceat(cost, starts, axis=0, dtype=np.float64)
+            for i, block in enumerate(self.blocks):
+                if len(gram):
+                    cost = block.of(gram)
+                    out[owner[starts], i * BLOCK : i * BLOCK + cost.shape[1]] += np.add.reduceat(cost, starts, axis=0, dtype=np.float64)
         return out
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -98,80 +204,25 @@ class Model:
         return [self.langs[k] if ok else "und" for k, ok in zip(best, known)], np.where(known, score, 0.0)
 
 
-def _rows(by_order: list[tuple[np.ndarray, np.ndarray]], contexts: np.ndarray, orders: np.ndarray, s: int) -> np.ndarray:
-    """Cost of each symbol after each context: by_order[k] has the sorted keys (context of k symbols, symbol) and counts."""
-    cost, spent = np.zeros((len(contexts), s), np.float32), np.zeros(len(contexts))
-    out = np.zeros((len(contexts), s), bool)  # excluded, and thereby settled
-    for k in range(ORDER, -1, -1):
-        keys, n = by_order[k]
-        own = (contexts % s**k)[:, None] * s + np.arange(s)[None, :]
-        at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-        count = np.where(keys[at] == own, n[at], 0) if len(keys) else np.zeros_like(own)
-        count[(orders < k)] = 0
-        count[out] = 0
-        total, kinds = count.sum(1), (count > 0).sum(1)
-        seen = count > 0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            cost = np.where(seen, spent[:, None] - np.log2(count / np.maximum(total + kinds, 1)[:, None]), cost)
-            spent = np.where(total > 0, spent - np.log2(kinds / np.maximum(total + kinds, 1)), spent)
-        out |= seen
-    rest = np.maximum(256 - out.sum(1), 1)
-    return np.where(out, cost, (spent + np.log2(rest))[:, None]).astype(np.float32)
-
-
-def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], table_mb: int = TABLE_MB) -> Model:
+def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     """The model of each language's counts (grams of ORDER + 1 bytes, how often)."""
     langs = sorted(counts)
-    every = np.unique(np.concatenate([counts[x][0] for x in langs])) if langs else np.zeros(0, np.int64)
-    seen = np.unique(np.concatenate([every >> (8 * k) & 255 for k in range(ORDER + 1)] + [np.array([PAD])])) if len(every) else np.array([PAD])
-    s = len(seen) + 1
-    symbol = np.full(256, s - 1, np.uint8 if s <= 256 else np.int16)
-    symbol[seen] = np.arange(len(seen))
-    if not langs:
-        return Model([], symbol, np.zeros(s**ORDER, np.int32), np.zeros((s, 0), np.float32))
-    trees: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-    tops: dict[int, int] = {}
-    for lang in langs:
-        gram, n = counts[lang]
-        key = np.zeros(len(gram), np.int64)
-        for k in range(ORDER, -1, -1):
-            key = key * s + symbol[gram >> (8 * k) & 255]
-        trees[lang] = []
-        for k in range(ORDER + 1):  # contexts of k symbols
-            kinds, where = np.unique(key % s ** (k + 1), return_inverse=True)
-            trees[lang].append((kinds, np.bincount(where, n).astype(np.int64)))
-        full, where = np.unique(key // s, return_inverse=True)
-        for c, v in zip(full.tolist(), np.bincount(where, n).tolist()):
-            tops[c] = tops.get(c, 0) + int(v)
-    two = np.unique(np.concatenate([trees[x][ORDER - 1][0] // s for x in langs]))
-    room = max(0, table_mb * 1_000_000 // (4 * s * len(langs)) - s - len(two))
-    three = np.array(sorted(tops, key=lambda c: (-tops[c], c))[:room], np.int64)
-    contexts = np.concatenate([np.arange(s), two, three])
-    orders = np.repeat([1, ORDER - 1, ORDER], [s, len(two), len(three)])
-    state = np.tile(np.arange(s, dtype=np.int32), s ** (ORDER - 1))
-    by_two = np.full(s**2, -1, np.int32)
-    by_two[two] = s + np.arange(len(two))
-    state = np.where(np.tile(by_two, s) >= 0, np.tile(by_two, s), state)
-    state[three] = s + len(two) + np.arange(len(three))
-    cost = np.empty((len(contexts), s, len(langs)), np.float32)
-    for j, lang in enumerate(langs):
-        for a in range(0, len(contexts), 4096):
-            cost[a : a + 4096, :, j] = _rows(trees[lang], contexts[a : a + 4096], orders[a : a + 4096], s)
-    return Model(langs, symbol, state, cost.reshape(-1, len(langs)))
-
-
-def fit(docs: DataFrame, per_lang: int = PER_LANG, table_mb: int = TABLE_MB) -> Model:
+    trees = [Tree(*counts[x]) for x in langs]
+    return Model(langs, [Costs(trees[i : i + BLOCK]) for i in range(0, len(trees), BLOCK)])
+
+
+def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     """A model of ``docs`` (doc_id, text, lang)."""
-    arrow_rows(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     many = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
     wanted = F.lit(False)
     for lang, n in many.items():
-        wanted = wanted | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1, per_lang / n))))
-    grams = rows.where(wanted).select("lang", "text").mapInArrow(_grams, "lang string, gram long, n long")
-    found = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # bounded by the sample
+        wanted = wanted | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(1_000_000 * min(1, per_lang / n))))
+    with batch_rows(docs.sparkSession):
+        grams = rows.where(wanted).select("lang", "text").mapInArrow(_grams, "lang string, gram long, n long")
+        found = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # the distinct grams of a bounded sample
     found = found.sort_values(["lang", "gram"])
-    return build({lang: (g["gram"].to_numpy(), g["n"].to_numpy()) for lang, g in found.groupby("lang")}, table_mb)
+    return build({lang: (g["gram"].to_numpy(), g["n"].to_numpy()) for lang, g in found.groupby("lang")})
 
 
 def predict(spark: SparkSession, model: Model, text: str = "text") -> Column:
@@ -194,6 +245,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned only where crc32(doc_id) mod 4 is not 2."""
+    arrow_rows(spark)
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(crc32_mod("doc_id", 4) != 2))
     found = docs.select("doc_id", (crc32_mod("doc_id", 4) == 2).alias("held_out"), predict(spark, model).alias("p"))
