@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import arrow_rows, table, written
+from tessera.llm.common import batch_rows, fresh, table, written
 
 THRESHOLD, SEGMENT, BLOCK = 4, 31, 4096
 
@@ -179,26 +179,27 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -
     """Edges (a, b) that connect whatever fingerprints of ``distinct`` (fp) are linked, through links of at most ``threshold`` bits."""
     if threshold > 4:
         raise ValueError("two segments with a Hamming code each cover thresholds up to 4")
-    arrow_rows(distinct.sparkSession, 20_000)
     copies = distinct.select("fp").mapInArrow(_replicate, "anchor long, fp long")
-    n = distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    by_anchor = copies.repartition(int(n), "anchor").sortWithinPartitions("anchor")
-    found = written(by_anchor.mapInArrow(_link(["anchor"], block, threshold), LINKS), "simhash-links")
+    with batch_rows(distinct.sparkSession, 20_000):
+        found = written(copies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_link(["anchor"], block, threshold), LINKS), "simhash-links")
     edges = found.where("a is not null").select("a", "b")
     hot = found.where("anchor is not null").select("anchor", "fp", "block")
     if hot.isEmpty():
         return edges
-    blocks = hot.groupBy("anchor").agg((F.max("block") + 1).alias("n"))
+    blocks = written(hot.groupBy("anchor").agg((F.max("block") + 1).alias("n")), "simhash-hot")
     paired = hot.join(blocks, "anchor").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     paired = paired.select("anchor", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp")
-    by_pair = paired.repartition(int(n), "anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
-    more = written(by_pair.mapInArrow(_link(["anchor", "i", "j"], 2 * block, threshold), LINKS), "simhash-blocks")
+    by_pair = paired.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
+    with batch_rows(distinct.sparkSession, 20_000):
+        more = written(by_pair.mapInArrow(_link(["anchor", "i", "j"], 2 * block, threshold), LINKS), "simhash-blocks")
     return edges.unionByName(more.select("a", "b"))
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of ``edges`` (a, b) reaches. Alternating large and small stars;
-    each round is written, and the driver sees one count and checksum of it."""
+    each round is written, and the driver sees one count and checksum of it. The least neighbours are written before they
+    are joined: broadcast while they are small, and beyond that a plain shuffle side, so that adaptive execution can
+    split a node with very many neighbours."""
     mark = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     edges = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = written(edges, "stars")
@@ -206,9 +207,10 @@ def connected(edges: DataFrame) -> DataFrame:
     while seen != (now := mark(edges)):
         seen = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-least")
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        large = written(large.distinct(), "stars")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "star-least")
         small = large.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         edges = written(small.distinct(), "stars")
@@ -223,14 +225,14 @@ def component_ids(prints: DataFrame, row: str = "doc_id") -> DataFrame:
     labels = connected(links(distinct))
     joined = distinct.join(labels, F.col("fp") == F.col("node"), "left").withColumn("__label", F.coalesce("label", "fp"))
     joined = joined.select("fp", "__least", "__label")
-    first = joined.groupBy("__label").agg(F.min("__least").alias("__first"))
+    first = written(joined.groupBy("__label").agg(F.min("__least").alias("__first")), "component-first")  # known size: see connected
     return written(joined.join(first, "__label").select("fp", F.col("__first.id").alias("component_id"), F.col("__first.row").alias("component_row")), "components")
 
 
 def components(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every document."""
-    arrow_rows(docs.sparkSession)
-    prints = written(docs.select("doc_id", fingerprint(F.col("text").cast("string")).alias("fp")), "prints")
+    with batch_rows(docs.sparkSession):
+        prints = written(docs.select("doc_id", fingerprint(F.col("text").cast("string")).alias("fp")), "prints")
     return prints.join(component_ids(prints), "fp").select("doc_id", "fp", "component_id")
 
 
@@ -239,11 +241,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows are numbered as they are written; the numbers of the rows that stay are hashed, and texts pass them once,
     dealt out by number and unsorted."""
-    arrow_rows(docs.sparkSession)
-    rows = written(docs.withColumn("__fp", fingerprint(F.col("text").cast("string"))).withColumn("__row", F.monotonically_increasing_id()), "printed")
-    ids = component_ids(rows.select("doc_id", F.col("__fp").alias("fp"), "__row"), "__row")
-    chosen = ids.select(F.col("component_row").alias("__kept")).distinct()
-    return rows.join(chosen.hint("shuffle_hash"), F.col("__row") == F.col("__kept"), "left_semi").select(*docs.columns)
+    print_, row, kept = fresh(docs, "__fp", "__row", "__kept")
+    with batch_rows(docs.sparkSession):
+        rows = written(docs.withColumn(print_, fingerprint(F.col("text").cast("string"))).withColumn(row, F.monotonically_increasing_id()), "printed")
+    ids = component_ids(rows.select("doc_id", F.col(print_).alias("fp"), F.col(row).alias("row")), "row")
+    chosen = ids.select(F.col("component_row").alias(kept)).distinct()
+    return rows.join(chosen.hint("shuffle_hash"), F.col(row) == F.col(kept), "left_semi").select(*docs.columns)
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Each training-data operator against brute force, with nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
+import hashlib
 import io
+import os
 import random
 import re
 import zlib
@@ -74,16 +76,59 @@ def test_warc_salvage(packed):
     data[starts[6] : starts[6] + 10] = b"\0" * 10  # a lost header
     data = bytes(data[:-9]) + b""  # a file cut short
     found = list(warc.salvage(io.BytesIO(data), len(data)))
-    assert sum(n for _, n, _, _ in found) == len(data)  # every byte is in a record or a gap
-    assert [r.headers["warc-record-id"] for _, _, r, _ in found if r] == [f"<urn:page:{i}>" for i in range(12) if i not in (3, 6, 11)]
-    assert [at for at, _, r, _ in found if r is None] == [starts[3], starts[6], starts[11]]
-    assert all(reason for _, _, r, reason in found if r is None)
+    assert sum(x.length for x in found if x.inner is None) == len(data)  # every byte is in a record or a gap
+    lost = (3, 6) if packed else (3, 6, 11)  # of the last member only the trailer is cut off, and its record is whole
+    assert [x.record.headers["warc-record-id"] for x in found if x.record] == [f"<urn:page:{i}>" for i in range(12) if i not in lost]
+    assert [x.place for x in found if x.record is None and x.inner is None] == [starts[3], starts[6], starts[11]]
+    assert all(x.reason for x in found if x.record is None)
+
+
+def names(found):
+    return [int(x.record.headers["warc-record-id"][10:-1]) for x in found if x.record]
+
+
+def test_warc_salvage_inside_members():
+    rng = random.Random(3)
+    plain = [zlib.decompress(warc.record(i, "http://x", bytes(rng.choices(range(97, 123), k=700)), None), 31) for i in range(9)]
+    bad = bytearray(plain[4])
+    bad[-60] ^= 0xFF  # its digest differs
+    whole = b"".join([*plain[:4], bytes(bad), *plain[5:]])
+    packed = zlib.compressobj(6, zlib.DEFLATED, 31)
+    one = packed.compress(whole) + packed.flush()
+    single = warc.record(20, "http://x", b"alone", None)
+    data = one + single
+    found = list(warc.salvage(io.BytesIO(data), len(data)))
+    assert names(found) == [0, 1, 2, 3, 5, 6, 7, 8, 20]
+    gap = [x for x in found if x.record is None]
+    assert [(x.place, x.inner, x.inner_length) for x in gap] == [(0, sum(map(len, plain[:4])), len(bad))] and "digest" in gap[0].reason
+    assert found[-1].place == len(one) and found[-1].length == len(single)
+
+    cut = one[: len(one) * 2 // 3] + single  # the member breaks off
+    found = list(warc.salvage(io.BytesIO(cut), len(cut)))
+    assert names(found)[:4] == [0, 1, 2, 3] and names(found)[-1] == 20
+    assert any(x.record is None and x.inner is None and x.place == 0 and x.length == len(cut) - len(single) for x in found)
+
+    trailer = one[:-8] + bytes(4) + one[-4:] + single  # all records sound, the member's own sum wrong
+    found = list(warc.salvage(io.BytesIO(trailer), len(trailer)))
+    assert names(found) == [0, 1, 2, 3, 5, 6, 7, 8, 20] and any("gzip" in (x.reason or "") for x in found)
+
+
+def test_warc_large_member_in_little_memory():
+    import tracemalloc
+
+    packed = zlib.compressobj(1, zlib.DEFLATED, 31)
+    plain = zlib.decompress(warc.record(1, "http://x", b"ab" * 50_000, None), 31)
+    data = b"".join(packed.compress(plain) for _ in range(400)) + packed.flush()  # 40 MB unpacked
+    tracemalloc.start()
+    assert sum(1 for x in warc.salvage(io.BytesIO(data), len(data)) if x.record) == 400
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
 
 
 def test_warc_salvage_garbage():
-    for data in (b"", b"nothing here", b"\x1f\x8b\x08" * 50, b"WARC/1.0\r\nContent-Length: 5\r\n\r\nab"):
+    for data in (b"", b"nothing here", b"\x1f\x8b\x08" * 50, b"WARC/1.0\r\nContent-Length: 5\r\n\r\nab", b"WARC/1.0\r\nContent-Length: 99999999999\r\n\r\nab", zlib.compress(b"x" * 9999, wbits=31)):
         found = list(warc.salvage(io.BytesIO(data), len(data)))
-        assert all(r is None for _, _, r, _ in found) and sum(n for _, n, _, _ in found) == len(data)
+        assert all(x.record is None for x in found) and sum(x.length or 0 for x in found if x.inner is None) == len(data)
 
 
 # ---------------------------------------------------------------- 2: quality rules
@@ -103,7 +148,7 @@ def test_quality_rules(spark, sample):
     rng = random.Random(3)
     common = "Subscribe to our letter today please"
     rows = [(1000 + i, f"{common}\n{words(rng, 3 if i % 2 else 40)}", "en", "h1") for i in range(8)] + [(2000, "a b c d e f a b c d e g a b c d e\n\nx\nx\n # | <x>", "en", "h2")] + sample
-    got = quality_rules.line_frequency(docs(spark, rows, True), max_docs=5, min_words=10, min_share=0.5).collect()
+    got = quality_rules.line_frequency(docs(spark, rows, True), max_share=0.05, max_docs=5, min_words=10, min_share=0.5).collect()
     assert len(got) == len(rows)
     want = sorted(((i if i is not None else -1), *brute_base(t)) for i, t, _, _ in rows)
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
@@ -113,6 +158,19 @@ def test_quality_rules(spark, sample):
     assert quality_rules.line_frequency(docs(spark, [])).count() == 0
 
 
+def test_line_limit_is_a_share_of_the_host_and_folds_white_space(spark):
+    rng = random.Random(5)
+    variants = ["Share this  page 1 now", "\tShare this page 2 now", " share\tTHIS page 3 now\r", "Share this page 44 now"]
+    rows = [(i, f"{words(rng, 30)}\n{variants[i % 3]}" if i < 24 else words(rng, 30), "en", "big") for i in range(400)]
+    rows += [(1000 + i, f"{words(rng, 30)}\n{variants[i % 3]}" if i < 24 else words(rng, 30), "en", None) for i in range(500)]
+    rows += [(2000 + i, f"{words(rng, 30)}\n{variants[0]}", "en", "small") for i in range(5)]
+    got = {r.doc_id: r for r in quality_rules.line_frequency(docs(spark, rows)).collect()}
+    assert all(got[i].n_line_words == (5 if i < 24 else 0) for i in range(400))  # 24 of 400 are over 5 %
+    assert all(got[1000 + i].n_line_words == 0 for i in range(500))  # 24 of 500 are not
+    assert all(got[2000 + i].n_line_words == 0 for i in range(5))  # the floor
+    assert all(r.kept for r in got.values())
+
+
 # ---------------------------------------------------------------- 3: quality classifier
 
 
@@ -157,6 +215,46 @@ def test_statistics_do_not_depend_on_batches(monkeypatch):
     assert np.allclose(whole[[0, 1, 2, 4]][:, keep], cut[[0, 1, 2, 4]][:, keep])
 
 
+def test_statistics_against_brute_force_over_cuts(monkeypatch):
+    rng = random.Random(8)
+    texts = ["x" * 300, "", "one two\nthree  four\none two", "é" * 90 + " b", *("".join(rng.choices("ab \n,.X1é", k=rng.randint(1, 400))) for _ in range(60))]
+    for most in (1 << 21, 64, 7):
+        monkeypatch.setattr(quality_model, "slices", lambda o, most=most: slices(o, most))
+        x = quality_model.statistics(pa.array(texts))
+        for t, row in zip(texts, x):
+            raw = t.encode()
+            n_words = len(re.findall(rb"[^ \t\r\x0b\x0c\n]+", raw))
+            lines = raw.split(b"\n")
+            k = quality_model.KINDS
+            assert np.allclose(row[k : k + 2], [np.log1p(len(raw)), np.log1p(n_words)], rtol=1e-5)
+            assert np.isclose(row[k + 6], np.log1p(max(map(len, lines))) if raw else 0, rtol=1e-5)
+            assert np.isclose(row[1], raw.count(b"\n") / max(len(raw), 1), rtol=1e-5)
+            assert np.isclose(row[k + 5], (len(lines) - len(set(lines)) if raw else 0) / (raw.count(b"\n") + 1), rtol=1e-5)
+
+
+def test_first_tree_takes_the_best_split():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 9, (300, 3)).astype(np.float32)
+    y = ((x[:, 1] > 4) | (rng.random(300) < 0.1)).astype(float)
+    trees = quality_model.grow(x, y, trees=1, depth=1, l2=1.0)
+    p = y.mean()
+    g, h = y - p, np.full(len(y), p * (1 - p))
+    gain = {(j, c): sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (x[:, j] <= c, x[:, j] > c)) for j in range(3) for c in range(8)}
+    f, c = max(gain, key=gain.get)
+    assert trees.feature[0, 0] == f and ((x[:, f] <= trees.cut[0, 0]) == (x[:, f] <= c)).all()
+    for leaf, m in enumerate((x[:, f] <= c, x[:, f] > c)):
+        assert np.isclose(trees.value[0, leaf], 0.2 * g[m].sum() / (h[m].sum() + 1))
+
+
+def test_fit_is_the_same_on_reruns_with_repeated_ids(spark):
+    rng = random.Random(9)
+    rows = [(i % 40, words(rng, rng.randint(3, 40)), "en", "s") for i in range(160)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    a = quality_model.fit(docs(spark, rows).repartition(6), labels)
+    b = quality_model.fit(docs(spark, rows[::-1]).repartition(3), labels)
+    assert all(np.array_equal(p, q) for p, q in ((a.feature, b.feature), (a.cut, b.cut), (a.value, b.value)))
+
+
 # ---------------------------------------------------------------- 4: token counts
 
 
@@ -186,6 +284,7 @@ def test_digest_cache(spark, sample):
     stored = spark.read.parquet(cache)
     assert stored.select("content").distinct().count() == len({x or "" for _, x, _, _ in sample})
     n = stored.count()
+    assert n == len({x or "" for _, x, _, _ in sample})  # one encode a digest
     tokens.count_tokens(d, path, cache)
     assert spark.read.parquet(cache).count() == n  # all hits
     spark.createDataFrame([(bytes(32), "another", 9)], tokens.CACHE).write.mode("append").parquet(cache)
@@ -193,6 +292,17 @@ def test_digest_cache(spark, sample):
     assert tokens.count_tokens(docs(spark, []), path, cache).count() == 0
 
 
+@pytest.mark.parametrize("slots", [tokens.SLOTS, 1 << 15, 8])
+def test_equal_rows_are_encoded_once(spark, slots):
+    path = tokenizers.path("byte_bpe_50k.json")
+    rows = [(1, "the same text", "en", "s")] * 500 + [(None, "no id here", "en", "s")] * 300 + [(i, f"text number {i % 40}", "en", "s") for i in range(60)] + [(None, f"lone {i}", "en", "s") for i in range(50)]
+    cache = tokens.open_cache(spark, scratch(spark, "cache"))
+    spark.createDataFrame([(hashlib.sha256(b"lone 3").digest(), tokens.tokenizer_version(path), 77)], tokens.CACHE).write.mode("append").parquet(cache)
+    got = tokens.count_tokens(docs(spark, rows).repartition(5), path, cache, slots=slots).collect()
+    assert len(got) == len(rows) and sum(r.n_tokens == 77 for r in got) == 1  # a stored count is not made again
+    assert spark.read.parquet(cache).count() == len({t for _, t, _, _ in rows})
+
+
 # ---------------------------------------------------------------- 5: packing
 
 
@@ -225,6 +335,13 @@ def test_packing(spark, sample):
     n = check_packing(got, 256)
     assert n <= -(-sum(w[3] for w in want) // 256) + 1
     assert packing.pack_documents(docs(spark, []), path, 256).count() == 0
+    named = spark.createDataFrame([("a", "x y z"), ("b", None), (None, "x"), ("a", "x y z")], "doc_id string, text string")
+    assert sorted((r.doc_id or "", r.length) for r in packing.pack_documents(named, path, 256).collect()) == [("", 2), ("a", 4), ("a", 4), ("b", 1)]
+
+
+def test_many_empty_texts_are_packed(spark):
+    rows = spark.range(5000).selectExpr("id AS doc_id", "'' AS text")
+    assert check_packing(packing.pack_documents(rows, tokenizers.path("word_bpe_49k.json"), 2048).collect(), 2048) == 3
 
 
 def fewest(lengths, capacity):
@@ -252,16 +369,39 @@ def test_bin_completion_against_brute_force():
     rng = random.Random(2)
     for _ in range(150):
         capacity = rng.choice([10, 20, 37])
-        lengths = sorted((rng.randint(1, capacity) for _ in range(rng.randint(1, 9))), reverse=True)
+        lengths = sorted((rng.randint(1, capacity) for _ in range(rng.randint(1, 12))), reverse=True)
         histogram = {n: lengths.count(n) for n in lengths}
-        bins = packing.solve(histogram, capacity)
-        used = {}
-        for times, own in bins:
-            assert sum(own) <= capacity
-            for n in own:
-                used[n] = used.get(n, 0) + times
-        assert used == histogram
-        assert sum(k for k, _ in bins) <= fewest(lengths, capacity) + 1
+        assert counted(packing.solve(histogram, capacity), histogram, capacity) == fewest(lengths, capacity)
+
+
+def test_never_worse_than_best_fit_and_no_recursion():
+    rng = random.Random(11)
+    for histogram in ({1: 5000}, {2: 1500}, {1: 3000, 2047: 4}, {2: 1500, 3: 7, 2046: 1}, *({rng.randint(1, 2048): rng.randint(1, 400) for _ in range(60)} for _ in range(5))):
+        made = counted(packing.solve(histogram, 2048, 20_000), histogram, 2048)
+        assert packing.least(histogram, 2048) <= made <= counted(packing.best_fit(histogram, 2048), histogram, 2048)
+
+
+def test_undominated_fillings_against_brute_force():
+    from itertools import product
+
+    rng = random.Random(6)
+    for _ in range(60):
+        capacity = rng.choice([12, 20])
+        lengths = sorted(rng.sample(range(1, capacity), rng.randint(1, 5)))
+        left = {n: rng.randint(1, 3) for n in lengths}
+        big = capacity - rng.randint(1, capacity - 1)
+        room = capacity - big
+        every = [dict(zip(lengths, c)) for c in product(*(range(left[n] + 1) for n in lengths)) if sum(n * k for n, k in zip(lengths, c)) <= room]
+        got, _, whole = packing.completions(left, capacity, big, room, 10**6, 10**6)
+        assert whole
+        key = lambda d: tuple(sorted((n, k) for n, k in d if k))
+        kept = {key(f) for f in got}
+        assert kept <= {key(d.items()) for d in every}
+        for d in every:  # nothing that fits can be added to a kept filling
+            if key(d.items()) in kept:
+                waste = room - sum(n * k for n, k in d.items())
+                assert not any(d[n] < left[n] and n <= waste for n in lengths)
+        assert min(room - sum(n * k for n, k in d.items()) for d in every) == min(room - sum(n * k for n, k in f) for f in got)
 
 
 def counted(bins, histogram, capacity):
@@ -342,6 +482,23 @@ def test_ppm_costs_are_exact():
     assert np.allclose(model.code_lengths(pa.array(texts))[:, 0], [bits(x) for x in texts], rtol=1e-5)
 
 
+def test_many_languages_leave_no_context_out():
+    rng = random.Random(12)
+    counts, own = {}, {}
+    for j in range(40):  # five blocks
+        letters = "".join(rng.sample("abcdefghijklmnopqrstuvwxyzäöüßñéèà", 12))
+        text = words(rng, 400, letters)
+        data, place, _ = language.padded(*text_buffer(pa.array([text])))
+        gram = sum(data[place - 3 + k].astype(np.int64) << (8 * (3 - k)) for k in range(4))
+        counts[f"l{j:02d}"], own[f"l{j:02d}"] = np.unique(gram, return_counts=True), words(rng, 30, letters)
+    model = language.build(counts)
+    assert len(model.blocks) == 5 and model.predict(pa.array([own[x] for x in model.langs]))[0] == model.langs
+    whole = model.code_lengths(pa.array([own[x] for x in model.langs]))
+    for j in (0, 7, 8, 39):  # a language costs the same alone and among others
+        alone = language.build({model.langs[j]: counts[model.langs[j]]})
+        assert np.allclose(alone.code_lengths(pa.array([own[x] for x in model.langs]))[:, 0], whole[:, j], rtol=1e-5)
+
+
 def test_language_long_texts_are_whole(monkeypatch):
     rng = random.Random(1)
     data, place, _ = language.padded(*text_buffer(pa.array([words(rng, 300)])))
@@ -396,24 +553,148 @@ def test_neighbours_recall_and_cases(spark):
     assert neighbours.nearest(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") % 100 == 0).count() == 2
 
 
+def test_neighbours_repeated_rows_and_other_lengths(spark):
+    rng = np.random.default_rng(5)
+    base = [(i, rng.normal(size=6).tolist()) for i in range(1, 60)]
+    rows = [(100, [0.1] * 6), (100, [5.0] * 6), (200, [0.2] * 6), (200, [0.2] * 6), *base, (300, [1.0, 2.0]), (301, [1.0, 2.5]), (302, [9.0, 2.5]), (400, [7.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") % 100 == 0, sure=0.999999).collect()
+    want = []
+    for q, v in [r for r in rows if r[0] % 100 == 0]:
+        near = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), i) for i, w in rows if i != q and len(w) == len(v))[:10]
+        want += [(q, k + 1, i, round(d, 9)) for k, (d, i) in enumerate(near)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("leaf_rows", [8192, 512])
+def test_neighbours_verify_few_vectors_where_they_cluster(spark, leaf_rows):
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(60, 32))
+    m = (centres[rng.integers(0, 60, 6000)] + 0.3 * rng.normal(size=(6000, 32))).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>")
+    found = neighbours.searched(df, F.col("vec_id") % 100 == 0, leaf_rows=leaf_rows).cache()
+    assert neighbours.verified_share(found, len(m)) < 0.15
+    got = {}
+    for r in found.where("vec_id is not null").withColumn("r", F.row_number().over(neighbours.best())).where("r <= 10").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, 6000, 100):
+        d = ((m - m[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hit / 600 >= 0.9
+
+
 def test_chi_square():
     assert abs(neighbours.chi_square(15.507, 8) - 0.95) < 1e-4 and abs(neighbours.chi_square(neighbours.reach(0.9)) - 0.9) < 1e-9
 
 
+def test_walk_is_in_order_of_projected_distance():
+    rng = np.random.default_rng(3)
+    points, q = rng.normal(size=(700, 4)), rng.normal(size=4)
+    given = list(neighbours.Tree(points).walk(q))
+    far, rows = np.concatenate([f for f, _ in given]), np.concatenate([r for _, r in given])
+    assert sorted(rows.tolist()) == list(range(700)) and (np.diff(far) >= 0).all() and np.allclose(far, ((points[rows] - q) ** 2).sum(1))
+
+
 # ---------------------------------------------------------------- 8: HTML
 
-PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/a>Home</a></li></ul></nav><!-- ad -->
-<div class="ad">Buy, now! Cheap.</div><div class="cookie-notice"><p>We use cookies, you know. All of them.</p></div><article><h1>The title</h1><p><b>First, para.<br>more<p>Second &amp; last &lt;b&gt;, it is.</p><ul><li>One, thing.</li></ul><p>Short</p>
-<form><input name=q><button>Go</button></form></article><aside><p>Side, text. Here.</p></aside><section id="comments"><p>Great, post! I agree. Really, truly.</p></section><footer>&copy; x</footer></body></html>"""
+PROSE = "The first thing to say, and it is said, is this: a text goes on. It has commas, stops, and more than a few words."
+
+
+def page_of(main, before="", after=""):
+    return f"<html><head><title>T</title><style>p{{}}</style><script>var t='</p>';</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/a>Home</a></li></ul></nav><!-- ad -->{before}{main}{after}<aside><p>Side, text. Here.</p></aside><form><input name=q><button>Go</button></form><footer>&copy; x</footer></body></html>"
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div", "section", "td"])
+def test_html_main_text(tag):
+    main = f"<{tag}><h1>The title, and more.</h1><p><b>{PROSE}<br>more<p>Second &amp; last &lt;b&gt;, it is. {PROSE}</p><p>Short</p><ul><li>One, thing. {PROSE}</li></ul><p>{PROSE}</p></{tag}>"
+    main = f"<table><tr>{main}</tr></table>" if tag == "td" else main
+    want = ["The title, and more.", f"{PROSE} more", f"Second & last <b>, it is. {PROSE}", "Short", f"One, thing. {PROSE}", PROSE]
+    assert html_text.main_text(page_of(main, "<div class=ad>Buy, now! Cheap.</div>", "<div class=x><p>We use cookies.</p></div>")) == "\n\n".join(want)
+
+
+def test_html_ratio_decides():
+    """A block as long as the article but without its punctuation, or within links, is not content; by text length alone it would be."""
+    tags = " ".join(f"tag{i}" for i in range(60))
+    links = "".join(f"<a href=/{i}>linked words, number {i}.</a> " for i in range(20))
+    page = page_of(f"<div class=a><h2>Head, line.</h2><p>{PROSE}</p><p>{PROSE}</p></div>", f"<div class=cloud>{tags}</div>", f"<div class=more>{links}</div>")
+    want = "\n\n".join(["Head, line.", PROSE, PROSE])
+    assert html_text.main_text(page) == want
+    fuse = html_text.fuse
+    try:
+        html_text.fuse = lambda chars, marks, nodes, linked: chars
+        assert "tag7" in html_text.main_text(page)
+    finally:
+        html_text.fuse = fuse
+
 
+def brute_ratios(page):
+    """Every path by its labels, every sum and mean by a walk over all blocks."""
+    found, paths = html_text.blocks(page)
 
-def test_html_main_text():
-    assert html_text.main_text(PAGE) == "The title\n\nFirst, para. more\n\nSecond & last <b>, it is.\n\nOne, thing.\n\nShort"
+    def chain(p):
+        out = []
+        while p:
+            out.append(paths.label[p])
+            p = paths.parent[p]
+        return tuple(reversed(out))
+
+    def fused(texts):
+        chars = sum(len(t) for t, _ in texts)
+        return chars * (html_text.FLOOR + sum(len(html_text.PUNCTUATION.findall(t)) * (1 - k / len(t)) for t, k in texts) / len(texts)) * (1 - sum(k for _, k in texts) / chars)
+
+    rows = [(chain(p), t, k) for t, p, k in found]
+    out = {}
+    for path in {c for c, _, _ in rows}:
+        levels = [[(t, k) for c, t, k in rows if c == path], [(t, k) for c, t, k in rows if c[:-1] == path[:-1]]]
+        if len(path) > 1:
+            levels.append([(t, k) for c, t, k in rows if c[:-1] == path[:-2]])
+        parts = [(w, fused(x)) for w, x in zip(html_text.WEIGHTS, levels) if x]
+        out[path] = sum(w * f for w, f in parts) / sum(w for w, _ in parts)
+    return {c: out[c] for c, _, _ in rows}, rows
+
+
+def test_html_ratios_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(80):
+        tags = ["div", "p", "ul", "li", "section", "h2", "blockquote", "a", "b", "div class=x", "div class=y", "td", "table"]
+        page = "".join(rng.choice([f"<{rng.choice(tags)}>", f"</{rng.choice(tags).split()[0]}>", PROSE[: rng.randint(1, 80)], " word. ", "x, "]) for _ in range(rng.randint(1, 120)))
+        ratios, rows = brute_ratios(page)
+        threshold = np.std(list(ratios.values())) if ratios else 0
+        if any(abs(r - threshold) < 1e-9 for r in ratios.values()):
+            continue
+        assert html_text.main_text(page) == "\n\n".join(t for c, t, _ in rows if ratios[c] >= threshold)
+
+
+@pytest.mark.parametrize("page", ["<svg>" * 200_000, "<div>x" * 170_000, "<ul><li><ul>" + "<div>" * 60_000 + "<li></li>" * 60_000, "<p>x" * 250_000, "<b>" * 150_000 + "</i>" * 150_000, "<table><tr><td>x" * 60_000])
+def test_html_time_is_linear(page):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 6  # quadratic work would take minutes
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test tables")
+def test_html_quality_without_article_elements():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    right = kept = wanted = given = 0
+    for p in pages:
+        body = re.search(r"<article>(.*)</article>", p, re.S)[1]
+        want = [x for x, _, _ in html_text.blocks(f"<div>{body}</div>")[0]]
+        got = html_text.main_text(re.sub(r"(</?)article", r"\1div", p)).split("\n\n")
+        right += got == want
+        kept += sum(len(x) for x in want if x in got)
+        wanted, given = wanted + sum(map(len, want)), given + sum(map(len, got))
+    assert right / len(pages) > 0.93 and kept / wanted > 0.995 and kept / given > 0.99
 
 
 def test_html_without_article():
-    page = '<body><div id=menu><a href=x>Home</a> <a href=y>About</a></div><div class=wrap><div class=text><h2>Head</h2><p>One, two, three. Four, five.</p><p>Six, seven; eight. Nine.</p></div><div class="sidebar"><p>Other, things. Here.</p></div></div><div>© 2020</div></body>'
-    assert html_text.main_text(page) == "Head\n\nOne, two, three. Four, five.\n\nSix, seven; eight. Nine."
+    page = '<body><div id=menu><a href=x>Home</a> <a href=y>About</a></div><div class=wrap><div class=text><h2>Head, line.</h2><p>One, two, three. Four, five. Six and seven. Eight, nine.</p><p>Six, seven; eight. Nine. Ten and more, and more, of it.</p></div><div class="sidebar"><p>Other.</p></div></div><div>© 2020</div></body>'
+    assert html_text.main_text(page) == "Head, line.\n\nOne, two, three. Four, five. Six and seven. Eight, nine.\n\nSix, seven; eight. Nine. Ten and more, and more, of it."
 
 
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<!--", "<script>x", "<a href='", "</p></div>", "<p>" * 3000, "<div>" * 2000 + "x", "<x y=\"" * 2000])
@@ -422,7 +703,7 @@ def test_html_odd_pages(page):
 
 
 def test_html_table(spark):
-    df = spark.createDataFrame([(1, "u", PAGE, "c"), (2, None, None, "c"), (None, "u", "<p>Plain, text.</p>", "c"), (4, "u", "<p>" + "word, " * 50000 + "</p>", "c")], "page_id long, url string, html string, text string")
+    df = spark.createDataFrame([(1, "u", page_of(f"<p>{PROSE}</p>"), "c"), (2, None, None, "c"), (None, "u", "<p>Plain, text.</p>", "c"), (4, "u", "<p>" + "word, " * 50000 + "</p>", "c")], "page_id long, url string, html string, text string")
     got = {r.page_id: r.text for r in html_text.extract(df).collect()}
     assert got[2] == "" and got[None] == "Plain, text." and len(got[4]) == 300000 - 1
     assert html_text.extract(df.limit(0)).count() == 0
@@ -459,10 +740,10 @@ def brute_mix(rows):
         copies = int(target[s] // sums[s]) if sums[s] else 0
         budget, done = target[s] - copies * sums[s], 0
         for h in sorted(own):
-            n = sum(k for _, k in own[h])
-            more = 1 if done + n <= budget or n <= 2 * (budget - done) else 0
+            n, among = sum(k for _, k in own[h]), len(own[h])
+            more = among if done + n <= budget or not n else max(0, min(among, int((budget - done) * among / n + 0.5)))
             done += n
-            out += [(-1 if i is None else i, k, sums[s], round(target[s], 6), k * (copies + more) if sums[s] else 0) for i, k in own[h]]
+            out += [(-1 if i is None else i, k, sums[s], round(target[s], 6), k * (copies + (j < more)) if sums[s] else 0) for j, (i, k) in enumerate(own[h])]
     return sorted(out)
 
 
@@ -474,6 +755,21 @@ def test_mixing(spark, sample):
     assert [r.taken for r in mixing.mix(docs(spark, [(1, None, None, None), (2, "", None, "s")])).collect()] == [0, 0]
 
 
+def test_mixing_equal_rows_come_near_their_target(spark):
+    rows = [(1, "ten words are here and all of them are equal", "en", "a")] * 1000 + [(None, "one two three", "en", "b")] * 700 + [(i, "a b c d", "en", "c") for i in range(300)]
+    d = docs(spark, rows).repartition(7)
+    got = mixing.mix(d).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in got) == brute_mix(rows)
+    for s in ("a", "b", "c"):
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 10
+    clash = d.withColumn("__source", F.lit("x")).withColumn("mix_hash", F.lit("y")).withColumn("p_below", F.lit("z")).withColumn("Mix_Times", F.lit(1))
+    mixed = mixing.apply_mix(clash)
+    assert mixed.columns == clash.columns and {(r["__source"], r.mix_hash, r.p_below) for r in mixed.select("__source", "mix_hash", "p_below").distinct().collect()} == {("x", "y", "z")}
+    n = {r.source: r.n for r in mixed.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert n == {s: sum(r.taken // r["size"] for r in got if r.source == s) for s in ("a", "b", "c")}
+
+
 def test_apply_mix_repeats_rows(spark, sample):
     d = docs(spark, sample, True)
     mixed = mixing.apply_mix(d)
@@ -559,8 +855,9 @@ def test_anchors_cover():
 
 def test_keep_one(spark, sample):
     d = docs(spark, [*sample, (5, sample[5][1], "en", "s1")], True)
+    d = d.withColumn("__row", F.lit("mine")).withColumn("__FP", F.lit("mine")).withColumn("__kept", F.lit(3)).withColumn("row", F.lit(4))
     kept = simhash.keep_one(d)
-    assert kept.columns == d.columns
+    assert kept.columns == d.columns and [tuple(r) for r in kept.select("__row", "__FP", "__kept", "row").distinct().collect()] == [("mine", "mine", 3, 4)]
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(ids))
     assert set(ids) == {r.component_id for r in simhash.components(d).collect()}
