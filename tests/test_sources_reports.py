@@ -10,7 +10,7 @@ def test_inline_postings(spark):
     jobs = [{"title": "Dev", "url": "/j/1", "location": {"name": "Haifa"}, "description": "<p>a</p> b"}, {"name": "QA", "link": "https://jobs.lever.co/x/2", "team": ["R&D"]}, {"title": "Dev again", "url": "/j/1", "city": "x"}, {"title": "Partner", "url": "https://other.example/1", "city": "x"}]
     page = f'<script type="application/json">{json.dumps({"a": [1], "posts": [{"title": "Blog", "url": "/b"}], "jobs": jobs})}</script><script id="__NEXT_DATA__">{{broken</script>'
     rows = spark.createDataFrame([(1, "https://www.acme.io/careers", page), (2, "https://acme.io", None), (3, None, "<p>x</p>")], "page_id int, url string, html string")
-    got = [(r.page_id, r.title, r.url, r.location, r.description, r.department) for r in inlined.inline_postings(rows).collect()]
+    got = sorted((r.page_id, r.title, r.url, r.location, r.description, r.department) for r in inlined.inline_postings(rows).collect())
     assert got == [(1, "Dev", "https://www.acme.io/j/1", "Haifa", "a b", None), (1, "QA", "https://jobs.lever.co/x/2", None, "", "R&D")]
 
 
@@ -21,11 +21,67 @@ def test_embedded_boards(spark):
     assert got == {(1, 1): ("lever", "acme", 2), (1, 2): ("greenhouse", "acme", 1), (2, 1): ("lever", "acme", 2), (2, 2): ("greenhouse", "acme", 1), (2, 3): ("greenhouse", "mentee", 1)}
 
 
-def test_balanced_arrays(spark):
+def test_inline_postings_by_brute_force(spark):
+    """Random nested data: the walk over the decoded value, written plainly, against the rows and their expressions."""
+    import random
+    from urllib.parse import urljoin, urlsplit
+
+    rng = random.Random(5)
+
+    def value(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.2:
+            return rng.choice(["x", "", 3, None, True])
+        if kind < 0.55:
+            return [value(depth - 1) if rng.random() < 0.2 else posting(depth - 1) for _ in range(rng.randint(0, 4))]
+        return {rng.choice("abcdef"): value(depth - 1) for _ in range(rng.randint(0, 3))}
+
+    def posting(depth):
+        x = {"title": rng.choice(["Dev", "QA", "", "Ops"]), "url": rng.choice(["/j/1", "/j/2", "https://jobs.lever.co/a/3", "https://else.example/4", "https://sub.acme.io/5"])}
+        if rng.random() < 0.8:
+            x[rng.choice(["city", "team", "location"])] = rng.choice(["Haifa", ["R&D"], {"name": "TLV"}])
+        if rng.random() < 0.3:
+            x["more"] = value(depth)
+        return x
+
+    def good(x):
+        return isinstance(x, dict) and any(k in x for k in inlined.CONTEXT_KEYS) and inlined.label(x.get("title") or x.get("name")) and x.get("url")
+
+    def walk(x):
+        if isinstance(x, list):
+            own = [i for i in x if good(i)]
+            if len(own) >= max(2, int(0.8 * len(x))):
+                return own
+            return [p for i in x for p in walk(i)]
+        return [p for i in x.values() for p in walk(i)] if isinstance(x, dict) else []
+
+    pages, want = [], set()
+    for k in range(150):
+        data = {"root": value(4)}
+        pages.append((k, "https://www.acme.io/careers", f'<p>x</p><script type="application/json">{json.dumps(data)}</script>'))
+        seen = set()
+        for p in walk(data):
+            url = urljoin("https://www.acme.io/careers", p["url"])
+            host = urlsplit(url).netloc
+            if url not in seen and (host in ("www.acme.io", "sub.acme.io") or "lever.co" in host):
+                seen.add(url)
+                want.add((k, p["title"], url))
+    got = {(r.page_id, r.title, r.url) for r in inlined.inline_postings(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()}
+    assert got == want and len(want) > 20
+
+
+def test_object_arrays(spark):
+    import time
+
     text = 'x = [{"a": "]}"}, {"b": [1]}]; y = [1]; z = [ {"c": 1} ]; [{"open": 1'
-    assert inlined.balanced_arrays(text) == ['[{"a": "]}"}, {"b": [1]}]', '[ {"c": 1} ]'] and inlined.balanced_arrays(None) == []
+    assert inlined.object_arrays(text) == ['[{"a": "]}"}, {"b": [1]}]', '[ {"c": 1} ]'] and inlined.object_arrays(None) == []
     got = spark.createDataFrame([(text,), ("[{bad}]",), (None,)], "p string").select(inlined.longest_array("p")).collect()
     assert [r[0] for r in got] == ['[{"a": "]}"}, {"b": [1]}]', None, None]
+    began = time.process_time()
+    for deep in ('[{"a":' * 20_000, '[{"a": 1}, ' * 20_000, '[{"a":' * 20_000 + "bad" + "}]" * 20_000, '[{"a": 1}, ' * 20_000 + "x" + "]" * 20_000, '["' * 50_000):
+        inlined.object_arrays(deep)
+    assert inlined.object_arrays('[{"a": bad, "b": [{"c": 1}]}] [{"d": 2}]') == ['[{"c": 1}]', '[{"d": 2}]']
+    assert time.process_time() - began < 5
 
 
 def test_retail(spark):
