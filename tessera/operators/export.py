@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import rules, urls
-from tessera.functions.text import collapse, export_company, matches, search_tokens
+from tessera.functions.text import collapse, export_company, search_tokens
 from tessera.operators.jobs import prefer
 
 
@@ -40,26 +40,6 @@ def suspicions(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("reasons", reasons).where(F.size("reasons") > 0).orderBy(F.desc(F.size("reasons")), "id")
 
 
-def similar_pairs(texts: DataFrame, least: float = 0.8, prefix: int = 300) -> DataFrame:
-    """(company_id, a, b) of equal beginnings or word sets at least ``least`` similar within a company.
-
-    Candidates meet on a shared word out of the few rarest of either set that must be shared (prefix filtering)."""
-    rows = texts.select("company_id", "id", F.array_distinct(search_tokens("text")).alias("w"), F.substring("text", 1, prefix).alias("head"))
-    df = rows.select("company_id", F.explode("w").alias("t")).groupBy("company_id", "t").agg(F.count("*").alias("df"))
-    placed = rows.select("company_id", "id", F.size("w").alias("n"), F.explode("w").alias("t")).join(df, ["company_id", "t"])
-    rank = F.row_number().over(W.partitionBy("company_id", "id").orderBy("df", "t"))
-    rare = placed.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("company_id", "id", "t")
-    a, b = rare.alias("a"), rare.alias("b")
-    by_word = a.join(b, (F.col("a.company_id") == F.col("b.company_id")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.company_id").alias("company_id"), F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    x, y = rows.alias("x"), rows.alias("y")
-    by_head = x.join(y, (F.col("x.company_id") == F.col("y.company_id")) & (F.col("x.head") == F.col("y.head")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.company_id").alias("company_id"), F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    pairs = by_word.unionByName(by_head).distinct()
-    left, right = rows.select("company_id", F.col("id").alias("a"), F.col("w").alias("wa"), F.col("head").alias("ha")), rows.select("company_id", F.col("id").alias("b"), F.col("w").alias("wb"), F.col("head").alias("hb"))
-    full = pairs.join(left, ["company_id", "a"]).join(right, ["company_id", "b"])
-    like = F.size(F.array_intersect("wa", "wb")) / F.greatest(F.size(F.array_union("wa", "wb")), F.lit(1))
-    return full.where((like >= least) | (F.col("ha") == F.col("hb"))).select("company_id", "a", "b")
-
-
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet under ``spark.checkpoint.dir`` and read again; kept in the executors where that is unset."""
     root = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -137,7 +117,8 @@ def _alike(least: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 
 def similar_classes(texts: DataFrame, least: float = 0.8, prefix: int = 300, buckets: int = 1 << 18, at_once: int = 20_000) -> DataFrame:
-    """(company_id, kind, a, b): what ``similar_pairs`` finds, without a pair for each two copies.
+    """(company_id, kind, a, b) of equal beginnings and of word sets at least ``least`` similar within a company, without a
+    pair for each two copies.
 
     ``words`` and ``head``: b has the word set, or the beginning, of a, the smallest id that has it. ``like``: a and b are
     the smallest ids of word sets at least ``least`` similar. Two texts are a pair where they have the same beginning, or
@@ -341,4 +322,4 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame
     return best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("query_id", "vec_id", "score")
 
 
-__all__ = ["bm25", "bm25_chunks", "chunks", "cosine_topk", "export", "matches", "similar_classes", "similar_pairs", "suspicions"]
+__all__ = ["bm25", "bm25_chunks", "chunks", "cosine_topk", "export", "similar_classes", "suspicions"]

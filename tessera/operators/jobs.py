@@ -136,9 +136,10 @@ def prune_scores(scores: DataFrame, profiles: list[str]) -> DataFrame:
 
 
 def refresh_contacts(companies: DataFrame, contacts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Contacts (company, name, position, url) by company key: the companies with counts, and the contact rows."""
+    """Contacts (company, name, position, url) by company key: the companies with counts, and the contact rows. Contacts without
+    a name are none, and equal rows are one."""
     keyed = companies.select(F.col("id").alias("company_id"), normalize_company("display_name").alias("__key"))
-    rows = contacts.withColumn("__key", normalize_company("company")).join(keyed, "__key").select("company_id", "name", "position", "url").dropDuplicates(["company_id", "name", "position"])
+    rows = contacts.withColumn("__key", normalize_company("company")).join(keyed, "__key").select("company_id", "name", "position", "url").where("name is not null and name != ''").distinct()
     counts = rows.groupBy(F.col("company_id").alias("id")).agg(F.count("*").cast("int").alias("connection_count"))
     return companies.drop("connection_count").join(counts, "id", "left").na.fill(0, ["connection_count"]), rows
 

@@ -16,6 +16,7 @@ from tessera.functions import rules, text, titles, urls
 from tessera.functions import vocabulary as V
 from tessera.operators import companies as C
 from tessera.operators import cv, export, jobs, listing, repairs, reports, scoring, taxonomy, tuning
+from tessera.plans import index
 from tessera.plans import search as S
 from tessera.sources import inlined, retail
 from tessera.streaming import runs
@@ -63,8 +64,27 @@ def sources(spark, sf):
     return t(spark, sf, "documents").groupBy(F.col("source").alias("id")).agg(F.count("*").cast("int").alias("connection_count")).select("id", F.col("id").alias("display_name"), "connection_count")
 
 
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def maintained(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that the engine keeps beside the ones it is made from: built once for a folder of tables, then read."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _kept:
+        _kept[key] = export.stored(build(), name)
+    return _kept[key]
+
+
 def engine(spark, sf):
-    return S.Search(postings(spark, sf), companies(spark, sf), None, scores(spark, sf))
+    """Search over the postings, with the best score of each kept as a table."""
+    own = scores(spark, sf)
+    return S.Search(postings(spark, sf), companies(spark, sf), None, own, best=maintained(spark, sf, "best-scores", lambda: S.best_scores(own)))
+
+
+def text_search(spark, sf):
+    """Search over the described postings, with their tokens kept as an index."""
+    own = described(spark, sf)
+    return S.Search(own, sources(spark, sf), index=maintained(spark, sf, "search-index", lambda: index.build(own)))
 
 
 BASE = """WITH c AS (SELECT c_custkey AS company_id, c_name AS display_name, c_mktsegment AS industry, c_nationkey AS connection_count FROM customer),
@@ -148,7 +168,7 @@ def facet_totals(spark, sf):
     return own.facet_totals(S.Filters(status="open")).where(F.col("dimension").isin("company", "city", "industry"))
 
 
-@query("SELECT lang AS value, lang AS label, count(*) AS n, 4 AS total FROM documents GROUP BY 1 HAVING lang IS NOT NULL")
+@query("SELECT lang AS value, lang AS label, count(*) AS n, (SELECT count(DISTINCT lang) FROM documents) AS total FROM documents GROUP BY 1 HAVING lang IS NOT NULL")
 def facet_language(spark, sf):
     own = S.Search(described(spark, sf), sources(spark, sf))
     return own.facet(S.Filters(language="en"), "language")
@@ -169,12 +189,6 @@ def scored_profiles(spark, sf):
     return engine(spark, sf).profiles()
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (o_orderstatus <> 'F') AS open, (SELECT count(*) FROM customer WHERE c_nationkey > 0) AS connected FROM orders")
-def dashboard(spark, sf):
-    counts = postings(spark, sf).agg(F.count("*").alias("total"), F.count_if(F.col("status") != "closed").alias("open"))
-    return counts.crossJoin(companies(spark, sf).agg(F.count_if(F.col("connection_count") > 0).alias("connected")))  # one row each
-
-
 @query("SELECT d.doc_id AS id, coalesce(l.toxic, 0) = 1 AS hidden FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.toxic, 0) = 0")
 def state_filter(spark, sf):
     state = t(spark, sf, "labels").select(F.col("doc_id").alias("job_id"), *(F.lit(False).alias(x) for x in ("liked", "sent", "reached_out")), (F.col("toxic") == 1).alias("hidden"))
@@ -194,22 +208,22 @@ def _phrase(tokens: str, words: list[str]) -> str:
 
 @query(f"SELECT doc_id AS id FROM documents WHERE list_contains({tok('text')}, 'the') AND list_contains({tok('text')}, 'this')")
 def fts_and(spark, sf):
-    return S.Search(described(spark, sf), sources(spark, sf)).rows(S.Filters(q="The this")).select("id")
+    return text_search(spark, sf).rows(S.Filters(q="The this")).select("id")
 
 
 @query(f"SELECT doc_id AS id FROM documents WHERE list_contains({tok('substr(text, 1, 60)')}, 'und')")
 def fts_title(spark, sf):
-    return S.Search(described(spark, sf), sources(spark, sf)).rows(S.Filters(q="Und", scope="title")).select("id")
+    return text_search(spark, sf).rows(S.Filters(q="Und", scope="title")).select("id")
 
 
 @query(f"SELECT doc_id AS id FROM documents WHERE {_phrase(tok('text'), ['of', 'the'])} AND NOT (list_contains({tok('substr(text, 1, 60)')}, 'and') OR list_contains({tok('substr(text, 1, 60)')}, 'in'))")
 def fts_phrase_exclude(spark, sf):
-    return S.Search(described(spark, sf), sources(spark, sf)).rows(S.Filters(q="of.the", exclude="and in")).select("id")
+    return text_search(spark, sf).rows(S.Filters(q="of.the", exclude="and in")).select("id")
 
 
 @query("SELECT doc_id AS id FROM documents WHERE false")
 def fts_no_term(spark, sf):
-    return S.Search(described(spark, sf), sources(spark, sf)).rows(S.Filters(q="+ -")).select("id")
+    return text_search(spark, sf).rows(S.Filters(q="+ -")).select("id")
 
 
 @query("SELECT doc_id AS id FROM documents WHERE contains(lower(text), 'idiot') OR contains(lower(text), 'stupid')")
@@ -222,17 +236,11 @@ def exclude_suggestions(spark, sf):
     return S.exclude_suggestions(described(spark, sf), ["the", "and"])
 
 
-@query(f"""WITH w AS (SELECT item_id, {tok('text')} AS w FROM benchmark), f AS (SELECT item_id, len(w) AS len, unnest(w) AS t FROM w), tf AS (SELECT item_id, len, t, count(*) AS tf FROM f GROUP BY ALL),
-df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1), s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w), q AS (SELECT DISTINCT item_id AS query_id, unnest(w[1:12]) AS t FROM w WHERE item_id < 20),
-x AS (SELECT query_id, item_id AS passage_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 6) AS score FROM q JOIN df USING (t) JOIN tf USING (t), s GROUP BY 1, 2)
-SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM x QUALIFY rank <= 4""")
-def bm25_topk(spark, sf):
-    b = t(spark, sf, "benchmark")
-    asked = b.where("item_id < 20").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(text.search_tokens("text"), 1, 12), " ").alias("text"))
-    return export.bm25(b.select(F.col("item_id").alias("passage_id"), "text"), asked).withColumn("rank", F.col("rank").cast("long"))
-
-
-@query()
+@query(f"""WITH p AS (SELECT doc_id AS id, i AS chunk, {tok("substr(text, i * 900 + 1, 900)")} AS w FROM (SELECT doc_id, text, unnest(range(greatest(1, coalesce(CAST(ceil(length(text) / 900.0) AS INT), 1)))) AS i FROM documents)),
+asked AS (SELECT DISTINCT item_id AS query_id, unnest({tok('text')}) AS t FROM benchmark), s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM p),
+f AS (SELECT id, chunk, len(w) AS len, unnest(w) AS t FROM p), tf AS (SELECT id, chunk, len, t, count(*) AS tf FROM f WHERE t IN (SELECT t FROM asked) GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM tf GROUP BY 1),
+x AS (SELECT query_id, id, chunk, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 6) AS score FROM asked JOIN df USING (t) JOIN tf USING (t), s GROUP BY 1, 2, 3)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id, chunk) AS rank FROM x QUALIFY rank <= 4""")
 def bm25_passages(spark, sf):
     """Every benchmark item's whole text against the chunks of all documents."""
     asked = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
@@ -291,11 +299,6 @@ def seniority_case(spark, sf):
     return t(spark, sf, "part").select("p_partkey", rules.seniority("p_name", "p_size").alias("seniority"), rules.years_bucket("p_size").alias("bucket"))
 
 
-@query()
-def department_fold(spark, sf):
-    return t(spark, sf, "customer").select("c_custkey", rules.department("c_mktsegment").alias("department"))
-
-
 @query("SELECT regexp_replace(trim(regexp_replace(lower(substr(text, 1, 60)), '[^\\p{L}\\p{N}_ ]', ' ', 'g')), '\\s+', ' ', 'g') AS title, count(*) AS n FROM documents GROUP BY 1")
 def title_frequency(spark, sf):
     return described(spark, sf).groupBy(text.title_key(F.coalesce("title", F.lit(""))).alias("title")).agg(F.count("*").alias("n"))
@@ -353,18 +356,9 @@ def score_jobs(spark, sf):
     return scoring.score_jobs(rows, p, spark.createDataFrame([("python", 2.0)], "term string, idf double"), matrix)
 
 
-@query("SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 5 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) <= 5")
-def embedding_cosine_topk(spark, sf):
-    e = t(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    q, v = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), e
-    both = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))  # five stated queries
-    both = both.withColumn("score", F.round(dot(F.col("v"), F.col("qv")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("qv"), F.col("qv"))), 6))
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return both.withColumn("r", F.row_number().over(w)).where("r <= 5").select("query_id", "vec_id", "score")
-
-
-@query()
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+x AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, vec_id) <= 5""")
 def embedding_cosine_search(spark, sf):
     """The five nearest of all vectors for every vector whose id is divisible by 20."""
     e = t(spark, sf, "embeddings").select("vec_id", "embedding")
@@ -422,34 +416,16 @@ def reopen(spark, sf):
     return jobs.reopen_by_url(rows, live, "2000-01-01").select("id", "status")
 
 
-@query("SELECT s_nationkey AS company_id, count(*) AS n, string_agg(s_name, ',' ORDER BY s_name) AS names FROM supplier GROUP BY 1")
-def contacts_per_company(spark, sf):
-    return t(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("company_id")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("s_name")), ",").alias("names"))
-
-
 @query("SELECT l_orderkey AS job_id, CAST(l_linenumber AS VARCHAR) AS profile_id, l_quantity * 2 AS score FROM lineitem WHERE l_linenumber IN (1, 2)")
 def prune_scores(spark, sf):
     return jobs.prune_scores(scores(spark, sf), ["1", "2"])
 
 
-@query("SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations")
-def section_carry(spark, sf):
-    w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
-    return t(spark, sf, "conversations").select("conv_id", "turn", "role", F.last(F.when(F.col("role") == "user", F.col("turn")), True).over(w).alias("section"))
-
-
 @query("WITH x AS (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n, min(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey) AS a FROM orders) SELECT o_orderkey AS id FROM x WHERE o_orderstatus <> 'F' OR (a = 1 AND n > 1)")
 def never_empty(spark, sf):
     return jobs.never_empty(postings(spark, sf), F.col("status") == "closed").select("id")
 
 
-@query("SELECT event_type AS status, count(*) AS n, 'event_type' AS of FROM events GROUP BY 1 UNION ALL SELECT CAST(user_id % 3 AS VARCHAR), count(*), 'user_group' FROM events GROUP BY 1")
-def plan_summary(spark, sf):
-    e = t(spark, sf, "events").select("event_type", (F.col("user_id") % 3).cast("string").alias("user_group"))
-    sets = e.groupBy("event_type").agg(F.count("*").alias("n")).select(F.col("event_type").alias("status"), "n", F.lit("event_type").alias("of"))
-    return sets.unionByName(e.groupBy("user_group").agg(F.count("*").alias("n")).select(F.col("user_group").alias("status"), "n", F.lit("user_group").alias("of")))
-
-
 @query("SELECT doc_id AS id, n_chars < 200 AS short, quality IS NULL AS unlabelled, (CASE WHEN n_chars < 200 THEN 1 ELSE 0 END + CASE WHEN quality IS NULL THEN 1 ELSE 0 END)::INT AS reasons FROM documents LEFT JOIN labels USING (doc_id) WHERE n_chars < 200 OR quality IS NULL")
 def audit_reasons(spark, sf):
     d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id", "left").select(F.col("doc_id").alias("id"), (F.col("n_chars") < 200).alias("short"), F.col("quality").isNull().alias("unlabelled"))
@@ -522,12 +498,12 @@ def page_json_ld(spark, sf):
     return t(spark, sf, "pages").select("page_id", F.size(listing.json_ld("html")).alias("n"))
 
 
-@query(f"""WITH w AS (SELECT item_id, list_distinct({tok('text')}) AS w, substr(text, 1, 300) AS head FROM benchmark) SELECT 'all' AS company_id, a.item_id AS a, b.item_id AS b FROM w a JOIN w b ON a.item_id < b.item_id WHERE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.2 OR a.head = b.head""")
-def jaccard_pairs(spark, sf):
-    return export.similar_pairs(t(spark, sf, "benchmark").select(F.lit("all").alias("company_id"), F.col("item_id").alias("id"), "text"), 0.2)
-
-
-@query()
+@query(f"""WITH w AS (SELECT source AS c, doc_id AS id, list_sort(list_distinct({tok('text')})) AS w, substr(text, 1, 300) AS head FROM documents WHERE source IS NOT NULL),
+r AS (SELECT c, w, min(id) AS id FROM w WHERE len(w) > 0 GROUP BY 1, 2), h AS (SELECT c, head, min(id) AS id FROM w WHERE head IS NOT NULL GROUP BY 1, 2)
+SELECT w.c AS company_id, 'words' AS kind, r.id AS a, w.id AS b FROM w JOIN r ON w.c = r.c AND w.w = r.w WHERE w.id <> r.id
+UNION ALL SELECT w.c, 'head', h.id, w.id FROM w JOIN h ON w.c = h.c AND w.head = h.head WHERE w.id <> h.id
+UNION ALL SELECT x.c, 'like', x.id, y.id FROM r x JOIN r y ON x.c = y.c AND x.id < y.id AND least(len(x.w), len(y.w)) >= 0.8 * greatest(len(x.w), len(y.w))
+  WHERE len(list_intersect(x.w, y.w)) >= 0.8 * (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)))""")
 def jaccard_documents(spark, sf):
     """Copies and near-copies among all documents of a source, at the audit's threshold."""
     return export.similar_classes(described(spark, sf).select("company_id", "id", F.col("description").alias("text")))

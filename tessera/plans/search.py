@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.text import excluded, matches, query_terms
+from tessera.plans import index
 from tessera.schemas import FLAGS
 
 MOST_PER_DIMENSION, SNIPPET = 250, 320
@@ -73,10 +74,16 @@ class Filters:
         return cls(**out)
 
 
-def joined(jobs: DataFrame, companies: DataFrame, state: DataFrame | None, scores: DataFrame | None, profile: str = "best") -> DataFrame:
+def best_scores(scores: DataFrame) -> DataFrame:
+    """(id, best_score): a table that is kept, so that a request does not aggregate all scores."""
+    return scores.groupBy(F.col("job_id").alias("id")).agg(F.max("score").alias("best_score"))
+
+
+def joined(jobs: DataFrame, companies: DataFrame, state: DataFrame | None, scores: DataFrame | None, profile: str = "best", best: DataFrame | None = None) -> DataFrame:
     """Postings with their company's columns, sparse flags (missing: false) and best_score (null: unscored).
 
-    Scores are aggregated before the join, so a posting stays one row; sizes decide how each join runs."""
+    Scores are aggregated before the join, or come as the kept table ``best``, so a posting stays one row; sizes decide how
+    each join runs."""
     own = [x for x in ("display_name", "industry", "connection_count", "size") if x in companies.columns]
     out = jobs.join(companies.select(F.col("id").alias("company_id"), *own), "company_id")
     if state is not None:
@@ -85,8 +92,8 @@ def joined(jobs: DataFrame, companies: DataFrame, state: DataFrame | None, score
     out = out.withColumns(flags)
     if scores is None:
         return out.withColumn("best_score", F.lit(None).cast("double"))
-    wanted = scores if profile == "best" else scores.where(F.col("profile_id") == profile)
-    best = wanted.groupBy(F.col("job_id").alias("id")).agg(F.max("score").alias("best_score"))
+    if profile != "best" or best is None:
+        best = best_scores(scores if profile == "best" else scores.where(F.col("profile_id") == profile))
     return out.join(best, "id", "left")
 
 
@@ -138,13 +145,27 @@ def list_columns(found: DataFrame) -> DataFrame:
 
 
 class Search:
-    """The engine's read side over four tables."""
-
-    def __init__(self, jobs: DataFrame, companies: DataFrame, state: DataFrame | None = None, scores: DataFrame | None = None):
-        self.jobs, self.companies, self.state, self.scores = jobs, companies, state, scores
+    """The engine's read side over four tables, and the tables it keeps beside them: the best score of each posting, and
+    the tokens of their texts (see ``index``)."""
+
+    def __init__(self, jobs: DataFrame, companies: DataFrame, state: DataFrame | None = None, scores: DataFrame | None = None, best: DataFrame | None = None, index: DataFrame | None = None):
+        self.jobs, self.companies, self.state, self.scores, self.best, self.index = jobs, companies, state, scores, best, index
+
+    def narrowed(self, f: Filters) -> tuple[DataFrame, Filters]:
+        """The postings that the index leaves, and what of the filters it has not settled."""
+        rows = self.jobs
+        if self.index is not None and f.q:
+            found = index.candidates(self.index, f.q, f.scope)
+            if found is None:
+                return rows.where(F.lit(False)), replace(f, q=None)
+            rows, f = rows.join(found, "id", "left_semi"), replace(f, q=None) if index.exact(f.q) else f
+        if self.index is not None and f.exclude and query_terms(f.exclude) and index.exact(f.exclude):
+            rows, f = rows.join(index.with_any(self.index, f.exclude), "id", "left_anti"), replace(f, exclude=None)
+        return rows, f
 
     def rows(self, f: Filters) -> DataFrame:
-        return joined(self.jobs, self.companies, self.state, self.scores, f.profile).where(predicate(f))
+        jobs, left = self.narrowed(f)
+        return joined(jobs, self.companies, self.state, self.scores, f.profile, self.best).where(predicate(left))
 
     def search(self, f: Filters, sort: str = "score", number: int = 1, size: int = 50) -> tuple[DataFrame, DataFrame]:
         """(the page, one row with the unpaged total)."""
@@ -176,7 +197,8 @@ class Search:
         out = joined(self.jobs.where(F.col("id") == job_id), self.companies, self.state, self.scores)
         if self.scores is None:
             return out
-        scores = self.scores.where(F.col("job_id") == job_id).groupBy(F.col("job_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("profile_id", "score"))).alias("scores"))
+        one = self.scores.where(F.col("job_id") == job_id).groupBy(F.col("job_id").alias("id"), "profile_id").agg(F.max("score").alias("score"))
+        scores = one.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("profile_id", "score"))).alias("scores"))
         return out.join(scores, "id", "left")
 
     def profiles(self) -> DataFrame:

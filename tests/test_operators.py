@@ -145,16 +145,6 @@ def test_export(spark):
     assert (r.found, r.kept, r.dropped_by_title, r.dropped_by_location, r.deduped, r.not_ok_fetch) == (5, 2, 1, 1, 1, 1)
 
 
-def test_similar_pairs_against_brute_force(spark):
-    import random
-
-    rng = random.Random(1)
-    texts = [(i, " ".join(rng.choices("abcdefghijkl", k=rng.randint(3, 9)))) for i in range(60)]
-    got = {(r.a, r.b) for r in export.similar_pairs(spark.createDataFrame([("c", i, t) for i, t in texts], "company_id string, id int, text string"), 0.6).collect()}
-    like = lambda a, b: len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split()))
-    assert got == {(i, j) for i, a in texts for j, b in texts if i < j and (like(a, b) >= 0.6 or a == b)}
-
-
 @pytest.mark.parametrize("least", [0.5, 0.8])
 def test_similar_classes_hold_the_pairs_of_brute_force(spark, least):
     import random
