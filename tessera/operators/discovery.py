@@ -18,6 +18,7 @@ from tessera.functions import rules, urls
 from tessera.functions import vocabulary as V
 from tessera.functions.text import c, collapse, normalize_company
 from tessera.operators import listing
+from tessera.operators.kept import stored
 from tessera.sources import inlined
 
 # --- fixed values: words of links that lead to a listing, and paths of listings
@@ -190,8 +191,10 @@ def as_jobs(postings: DataFrame) -> DataFrame:
 def html_plan(links: DataFrame, pages: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(page_id, status, include_url, exclude_url, url_shape, explicit_accept, baseline): rules or given labels, corrected by
     JSON-LD, induced to patterns; a plan that does not reproduce its labels keeps the accepted addresses instead."""
-    labelled = stated_postings(rule_labels(links) if labels is None else labels, pages)
-    patterns = listing.induce(labelled).join(listing.excludes(labelled.join(links.select("page_id", "index"), ["page_id", "index"], "left_semi")), "page_id", "left")
+    links = stored(links, "links")
+    labelled = stored(stated_postings(rule_labels(links) if labels is None else labels, pages), "labels")
+    patterns = listing.induce(labelled)
+    patterns = stored(patterns.join(listing.excludes(labelled.join(links.select("page_id", "index"), ["page_id", "index"], "left_semi")), "page_id", "left"), "patterns")
     accepted = labelled.where("is_job").groupBy("page_id").agg(F.count("*").alias("baseline"), F.array_sort(F.collect_set("href")).alias("named"))
     none = F.lit(None).cast("array<string>")
     tried = listing.by_plan(links, patterns.withColumn("explicit_accept", none)).join(labelled.select("page_id", "index", "is_job"), ["page_id", "index"])
@@ -211,8 +214,8 @@ def discover(companies: DataFrame, pages: DataFrame, special: tuple[str, ...] =
     asked = F.col("career_url")
     page = pages.groupBy(F.col("requested_url").alias("page_id")).agg(F.min(F.struct("url", "status", "html")).alias("p")).select("page_id", "p.*")
     sound = page.where("status < 400")
-    links = listing.candidates(sound.select("page_id", "url", "html")) if links is None else links
-    plan = html_plan(links, sound)
+    links = stored(listing.candidates(sound.select("page_id", "url", "html")) if links is None else links, "links")
+    plan = stored(html_plan(links, sound), "html-plans")
     counts = links.groupBy("page_id").agg(F.count("*").alias("n_links"))
     inline = inlined.inline_postings(sound.select("page_id", "url", "html")).groupBy("page_id").agg(F.count("*").alias("n_inline"))
     hints = companies.select(F.col("career_url").alias("page_id"), F.concat_ws(" ", "id", "hint").alias("hint")).where("page_id is not null").groupBy("page_id").agg(F.min("hint").alias("hint"))
@@ -264,6 +267,9 @@ def after_hop(plans: DataFrame, second: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- pages as text
 
 
+INLINE = frozenset("a abbr b bdi cite code em font i kbd label mark q s small span strong sub sup time u".split())
+
+
 class _Content(HTMLParser):
     """A page's text without scripts, consent widgets, and parts of its frame that hold no link that reads like a posting.
 
@@ -298,7 +304,8 @@ class _Content(HTMLParser):
     def _close(self) -> str:
         tag, text, dropped, linked = self.frames.pop()
         if not dropped and (linked or tag not in ("nav", "header", "footer", "form")):
-            self.frames[-1][1] += ["\n", *text, "\n"] if text else []
+            edge = [] if tag in INLINE else ["\n"]
+            self.frames[-1][1] += [*edge, *text, *edge] if text else []
         self.frames[-1][3] = self.frames[-1][3] or (linked and not dropped)
         return tag
 

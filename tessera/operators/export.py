@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions import rules, urls
 from tessera.functions.text import collapse, export_company, search_tokens
 from tessera.operators.jobs import prefer
+from tessera.operators.kept import stored
 
 
 def export(found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -40,16 +40,6 @@ def suspicions(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("reasons", reasons).where(F.size("reasons") > 0).orderBy(F.desc(F.size("reasons")), "id")
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as Parquet under ``spark.checkpoint.dir`` and read again; kept in the executors where that is unset."""
-    root = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        return df.persist()
-    path = f"{root.rstrip('/')}/tessera/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _buckets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """How often the words of a partition, by their hash, fall into each of ``size`` buckets."""
 

@@ -16,6 +16,7 @@ from tessera.functions import rules, text, titles, urls
 from tessera.functions import vocabulary as V
 from tessera.operators import companies as C
 from tessera.operators import cv, export, jobs, listing, repairs, reports, scoring, taxonomy, tuning
+from tessera.operators.kept import stored
 from tessera.plans import index
 from tessera.plans import search as S
 from tessera.sources import inlined, retail
@@ -71,7 +72,7 @@ def maintained(spark: SparkSession, sf: str, name: str, build: Callable[[], Data
     """A table that the engine keeps beside the ones it is made from: built once for a folder of tables, then read."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _kept:
-        _kept[key] = export.stored(build(), name)
+        _kept[key] = stored(build(), name)
     return _kept[key]
 
 
@@ -426,12 +427,6 @@ def never_empty(spark, sf):
     return jobs.never_empty(postings(spark, sf), F.col("status") == "closed").select("id")
 
 
-@query("SELECT doc_id AS id, n_chars < 200 AS short, quality IS NULL AS unlabelled, (CASE WHEN n_chars < 200 THEN 1 ELSE 0 END + CASE WHEN quality IS NULL THEN 1 ELSE 0 END)::INT AS reasons FROM documents LEFT JOIN labels USING (doc_id) WHERE n_chars < 200 OR quality IS NULL")
-def audit_reasons(spark, sf):
-    d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id", "left").select(F.col("doc_id").alias("id"), (F.col("n_chars") < 200).alias("short"), F.col("quality").isNull().alias("unlabelled"))
-    return d.withColumn("reasons", F.size(F.array_compact(F.array(F.when(F.col("short"), "short"), F.when(F.col("unlabelled"), "unlabelled"))))).where("reasons > 0")
-
-
 @query("SELECT o_orderkey AS id FROM orders WHERE date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-12-31') <= 30 AND o_orderdate <= DATE '1998-12-31'")
 def posted_within(spark, sf):
     days = F.date_diff(F.lit("1998-12-31").cast("date"), F.col("posted_at").cast("date"))
@@ -468,36 +463,6 @@ def nav_links(spark, sf):
     return a.groupBy(F.regexp_extract("href", "^/([^/?#]*)", 1).alias("label")).agg(F.count("*").alias("n"))
 
 
-@query()
-def anchor_candidates(spark, sf):
-    return listing.candidates(t(spark, sf, "pages"), None)
-
-
-@query()
-def chain_verdicts(spark, sf):
-    return listing.chain(listing.candidates(t(spark, sf, "pages"), None)).select("page_id", "index", "href", "verdict.*")
-
-
-@query()
-def href_shape_counts(spark, sf):
-    return listing.candidates(t(spark, sf, "pages"), None).groupBy("page_id", "href_shape").agg(F.count("*").alias("n"))
-
-
-@query()
-def page_fingerprints(spark, sf):
-    return listing.fingerprint(listing.candidates(t(spark, sf, "pages"), None))
-
-
-@query()
-def visible_text_len(spark, sf):
-    return t(spark, sf, "pages").select("page_id", F.length(text.visible_text("html")).alias("n"), rules.js_shell("html").alias("js_shell"), rules.fetch_outcome(F.lit(200), "html").alias("outcome"))
-
-
-@query()
-def page_json_ld(spark, sf):
-    return t(spark, sf, "pages").select("page_id", F.size(listing.json_ld("html")).alias("n"))
-
-
 @query(f"""WITH w AS (SELECT source AS c, doc_id AS id, list_sort(list_distinct({tok('text')})) AS w, substr(text, 1, 300) AS head FROM documents WHERE source IS NOT NULL),
 r AS (SELECT c, w, min(id) AS id FROM w WHERE len(w) > 0 GROUP BY 1, 2), h AS (SELECT c, head, min(id) AS id FROM w WHERE head IS NOT NULL GROUP BY 1, 2)
 SELECT w.c AS company_id, 'words' AS kind, r.id AS a, w.id AS b FROM w JOIN r ON w.c = r.c AND w.w = r.w WHERE w.id <> r.id
@@ -515,12 +480,6 @@ def fuzzy_title(spark, sf):
     return p.select("p_name", text.sequence_ratio(F.col("p_name"), F.lit("small red ring")).alias("ratio")).where("ratio >= 0.75")
 
 
-@query()
-def export_rows(spark, sf):
-    rows = t(spark, sf, "pages").select(urls.host("url").alias("display_name"), F.lit("Backend Engineer").alias("title"), "url", F.lit("Haifa").alias("city"), F.lit("Haifa, Israel").alias("location"), F.lit(None).cast("string").alias("work_mode"), F.lit("ok").alias("fetch_status"), F.lit("2026-01-01").alias("posted_at"))
-    return export.export(rows)[0]
-
-
 # ---------------------------------------------------------------- titles, places and repairs
 
 
@@ -630,14 +589,6 @@ def board_slugs(spark, sf):
     return t(spark, sf, "customer").select("c_custkey", F.get(retail.slugs("c_name"), F.lit(0)).alias("a"))
 
 
-@query("SELECT item_id AS page_id, 'Role ' || k AS title, 'https://x.example/j/' || k AS url, 'Haifa' AS location FROM benchmark, (VALUES (1), (2)) v(k)")
-def inline_postings(spark, sf):
-    items = F.array(*(F.struct(F.lit(f"Role {k}").alias("title"), F.lit(f"/j/{k}").alias("url"), F.lit("Haifa").alias("city")) for k in (1, 2)))
-    html = F.concat(F.lit('<script type="application/json">{"props":'), F.to_json(items), F.lit("}</script>"))
-    pages = t(spark, sf, "benchmark").select(F.col("item_id").alias("page_id"), F.lit("https://x.example/careers").alias("url"), html.alias("html"))
-    return inlined.inline_postings(pages).select("page_id", "title", "url", "location")
-
-
 @query("SELECT item_id AS page_id, 'lever' AS provider, 'acme' AS board, 2::BIGINT AS n, 1 AS place FROM benchmark")
 def embedded_boards(spark, sf):
     html = F.lit('<a href="https://jobs.lever.co/acme/1"></a><script src="//jobs.lever.co/acme"></script><a href="https://boards.greenhouse.io/partner">p</a>')
