@@ -266,7 +266,8 @@ def match(jobs: DataFrame, profiles: DataFrame, idf: DataFrame, matrix: DataFram
     weights = profiles.select("profile_id", F.explode("families").alias("family", "weight"))
     people = profiles.join(fits(weights, matrix), "profile_id", "left").crossJoin(F.broadcast(known))
     people = people.select(*(F.col(c).alias(f"p_{c}") if c != "profile_id" else F.col(c) for c in people.columns))
-    asked = extract(jobs).select("id", F.col("family"), "seniority", "requirements", F.length("description").alias("chars"))
+    along = [x for x in ("title", "job_evidence") if x in jobs.columns]
+    asked = extract(jobs).select("id", F.col("family"), "seniority", "requirements", F.length("description").alias("chars"), *along)
     rows = with_profiles(asked, people)
     same = F.coalesce(F.col("p_family") == F.col("family"), F.lit(False))
 
@@ -283,7 +284,7 @@ def match(jobs: DataFrame, profiles: DataFrame, idf: DataFrame, matrix: DataFram
         )
 
     weight = lambda r: F.when(r["kind"] == "skill", F.coalesce(F.try_element_at("p___idf", r["canonical"]), F.lit(1.0))).otherwise(F.lit(1.0))
-    rows = rows.withColumn("m", F.transform("requirements", lambda r: F.struct(r["bucket"].alias("bucket"), r["kind"].alias("kind"), r["canonical"].alias("canonical"), r["reads_as"].alias("reads_as"), strength(r).alias("s"), weight(r).alias("w"))))
+    rows = rows.withColumn("m", F.transform("requirements", lambda r: F.struct(r["bucket"].alias("bucket"), r["kind"].alias("kind"), r["canonical"].alias("canonical"), r["reads_as"].alias("reads_as"), r["text"].alias("text"), strength(r).alias("s"), weight(r).alias("w"))))
 
     def covered(bucket: str) -> Column:
         own = F.filter("m", lambda x: x["bucket"] == bucket)
@@ -299,7 +300,30 @@ def match(jobs: DataFrame, profiles: DataFrame, idf: DataFrame, matrix: DataFram
     clashes = F.transform(other, lambda x: F.struct(F.coalesce(F.try_element_at("p___near", F.concat_ws("\u0000", x["reads_as"], F.col("family"))), F.lit(0.0)).alias("affinity"), strength_weight(x["s"]).alias("weight")))
     own = F.coalesce(F.col("p_signature"), F.array().cast("array<string>")) if "signature" in profiles.columns else F.array().cast("array<string>")
     matched = F.array_sort(F.array_distinct(F.array_compact(F.transform("m", lambda x: F.when(x["s"] != "none", x["canonical"])))))
-    return rows.select("id", "profile_id", "must", seniority_fit(F.col("gap")).alias("senior"), "nice", F.col("p_evidence").alias("evidence"), (F.size(F.array_intersect(named, own)) >= 2).alias("signature"), clashes.alias("clashes"), "unmet", "missing", "gap", "fit", matched.alias("matched"), "chars")
+    return rows.select("id", "profile_id", "must", seniority_fit(F.col("gap")).alias("senior"), "nice", F.col("p_evidence").alias("evidence"), (F.size(F.array_intersect(named, own)) >= 2).alias("signature"), clashes.alias("clashes"), "unmet", "missing", "gap", "fit", matched.alias("matched"), "chars", gaps(F.col("m"), same, F.col("gap")).alias("gaps"), covered_counts(F.col("m")).alias("covered"), (F.size("requirements") == 0).alias("asks_nothing"), *along)
+
+
+def gaps(m: Column, same_family: Column, gap: Column, most: int = 3) -> Column:
+    """What keeps a score down, the weightiest first: must-haves without a match, another family, another level, must-haves
+    that are hardly shown, nice-to-haves without a match."""
+    lines = lambda bucket, strength, lead: F.transform(F.filter(m, lambda x: (x["bucket"] == bucket) & (x["s"] == strength)), lambda x: F.concat(F.lit(lead), x["text"]))
+    level = F.concat(F.lit("Seniority is "), F.abs(gap).cast("string"), F.lit(" level(s) "), F.when(gap > 0, "more senior").otherwise("less senior"), F.lit(" than the job"))
+    family = F.when(~same_family, "Recent role family does not match the job's role family")
+    every = F.concat(lines("must", "none", "Missing must-have: "), F.array_compact(F.array(family, F.when(gap != 0, level))), lines("must", "weak", "Weak evidence for must-have: "), lines("nice", "none", "Missing nice-to-have: "))
+    return F.slice(every, 1, most)
+
+
+def covered_counts(m: Column) -> Column:
+    """(matched, asked) must-haves."""
+    must = F.filter(m, lambda x: x["bucket"] == "must")
+    return F.struct(F.size(F.filter(must, lambda x: x["s"] != "none")).alias("matched"), F.size(must).alias("asked"))
+
+
+def summary(score: Column, name: Column, covered: Column, found: Column) -> Column:
+    """A score in two sentences."""
+    first = F.format_string("This CV scores %d/100 (%s), covering %d of %d must-have requirements.", score, name, covered["matched"], covered["asked"])
+    worst = F.get(found, F.lit(0))
+    return F.concat(first, F.when(worst.isNull(), " No significant gaps identified.").otherwise(F.concat(F.lit(" Biggest gap: "), worst, F.lit("."))))
 
 
 def penalty(clashes: Column, f: dict = V.FAMILY_FIT) -> Column:
@@ -316,9 +340,16 @@ def total(w: dict = V.WEIGHTS, f: dict = V.FAMILY_FIT) -> Column:
 
 def score_jobs(jobs: DataFrame, profiles: DataFrame, idf: DataFrame, matrix: DataFrame) -> DataFrame:
     """Scores of ``jobs`` for ``profiles``, as ``match`` takes them: (job_id, profile_id, score, band, coverage, gates,
-    matched, confidence)."""
-    rows = match(jobs, profiles, idf, matrix).withColumn("score", total())
-    return rows.select(F.col("id").alias("job_id"), "profile_id", "score", band("score").alias("band"), F.col("must").alias("coverage"), gate_names(F.col("unmet"), F.col("missing"), F.col("gap"), F.col("fit")).alias("gates"), "matched", F.when(F.col("chars") >= V.FULL_CONFIDENCE_CHARS, "full").otherwise("title_only").alias("confidence"))
+    matched, gaps, summary, confidence). A posting of which nothing says that it is one scores 0 (see ``gate.unparseable``;
+    its evidence counts where ``jobs`` has job_evidence), and is title_only like one with hardly a description."""
+    from tessera.operators.gate import unparseable
+
+    rows = match(jobs, profiles, idf, matrix)
+    evidence = F.col("job_evidence") if "job_evidence" in jobs.columns else None
+    nothing = unparseable("title", F.when(F.col("asks_nothing"), 0).otherwise(1), evidence)
+    rows = rows.withColumn("score", F.when(nothing, 0).otherwise(total()).cast("int"))
+    sure = ~nothing & (F.coalesce("chars", F.lit(0)) >= V.FULL_CONFIDENCE_CHARS)
+    return rows.select(F.col("id").alias("job_id"), "profile_id", "score", band("score").alias("band"), F.col("must").alias("coverage"), gate_names(F.col("unmet"), F.col("missing"), F.col("gap"), F.col("fit")).alias("gates"), "matched", "gaps", summary(F.col("score"), band("score"), F.col("covered"), F.col("gaps")).alias("summary"), F.when(sure, "full").otherwise("title_only").alias("confidence"))
 
 
 def cache_key(*parts: Column) -> Column:
