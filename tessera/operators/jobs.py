@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions.rules import department
 from tessera.functions.text import normalize_company, sequence_ratio, title_key
 from tessera.functions.urls import board, host, normalize_job_url
+from tessera.operators.kept import stored
 from tessera.schemas import FLAGS
 
 FILL = ("url", "location", "city", "department", "employment_type", "description")
@@ -147,20 +148,38 @@ def refresh_contacts(companies: DataFrame, contacts: DataFrame) -> tuple[DataFra
 def merge_referrals(jobs: DataFrame, companies: DataFrame, referrals: DataFrame, now: str, least: float = 0.75) -> DataFrame:
     """Referrals (company, also_posted_as, title, url, contact) matched to stored postings: (company_id, title, url, contact, job_id or null).
 
-    A company matches by its name or the first alias that hits; a posting by equal URL or by a title ratio of ``least``,
-    the first stored one winning."""
+    A company matches by its name or the first alias that hits; a posting by equal URL or by a title ratio of ``least``, the
+    smallest id winning. URLs meet by equality. Titles are compared once for each two that differ, not for each two
+    postings, and only where their lengths, and the letters they share, allow the ratio at all."""
     names = F.array_union(F.array("company"), F.coalesce("also_posted_as", F.array().cast("array<string>")))
     rows = referrals.withColumn("__row", F.monotonically_increasing_id())
+    rows = stored(rows, "referrals")  # the numbers must not change when a task runs again
     keyed = companies.groupBy(normalize_company("display_name").alias("__key")).agg(F.min("id").alias("company_id"))
     hits = rows.select("__row", F.posexplode(F.transform(names, lambda x: normalize_company(x))).alias("__pos", "__key")).join(keyed, "__key")
     own = hits.groupBy("__row").agg(F.min_by("company_id", "__pos").alias("company_id"))
-    stored = jobs.select("company_id", F.col("id").alias("__id"), normalize_job_url("url").alias("__url"), title_key("title").alias("__title"))
+    known = jobs.select("company_id", F.col("id").alias("__id"), normalize_job_url("url").alias("__url"), title_key("title").alias("__title"))
     matched = rows.join(own, "__row").withColumn("__u", normalize_job_url("url")).withColumn("__t", title_key("title"))
-    near = matched.join(stored, "company_id").where((F.col("__u") == F.col("__url")) | (sequence_ratio("__t", "__title") >= least))
-    first = near.groupBy("__row").agg(F.min("__id").alias("job_id"))
+    by_url = matched.select("__row", "company_id", F.col("__u").alias("__url")).join(known, ["company_id", "__url"]).select("__row", "__id")
+    titles = known.groupBy("company_id", "__title").agg(F.min("__id").alias("__id"))
+    asked = matched.select("company_id", "__t").distinct()
+    pairs = asked.join(titles, "company_id").where(may_be_near(F.col("__t"), F.col("__title"), least))
+    near = pairs.where(sequence_ratio("__t", "__title") >= least).groupBy("company_id", "__t").agg(F.min("__id").alias("__id"))
+    by_title = matched.select("__row", "company_id", "__t").join(near, ["company_id", "__t"]).select("__row", "__id")
+    first = by_url.unionByName(by_title).groupBy("__row").agg(F.min("__id").alias("job_id"))
     return matched.join(first, "__row", "left").select("company_id", "title", "url", "contact", "job_id", F.lit(now).alias("at"))
 
 
+def may_be_near(a: Column, b: Column, least: float) -> Column:
+    """Whether two texts can have a ratio of ``least``: the ratio is twice the matched characters over both lengths, and no
+    more match than the shorter text has, or than there are of each letter in both."""
+    both = F.length(a) + F.length(b)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
+    other = lambda x: F.length(F.translate(x, letters, ""))
+    shared = sum((F.least(count(a, c), count(b, c)) for c in letters), F.least(other(a), other(b)))
+    return (2 * F.least(F.length(a), F.length(b)) >= least * both - 1e-9) & (2 * shared >= least * both - 1e-9)
+
+
 def prefer(rows: DataFrame, key: list[str], *better: Column) -> DataFrame:
     """One row per key: the first by ``better``."""
     return rows.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(*better))).where("__n = 1").drop("__n")

@@ -71,8 +71,9 @@ def cosine(vectors: DataFrame, floor: float | None = None) -> DataFrame:
 
 
 def with_overrides(matrix: DataFrame, overrides: DataFrame) -> DataFrame:
-    """``overrides`` (a, b, value) replace pairs of ``matrix`` (a, b, affinity) in both directions."""
-    both = overrides.select("a", "b", "value").unionByName(overrides.select(F.col("b").alias("a"), F.col("a").alias("b"), "value")).dropDuplicates(["a", "b"])
+    """``overrides`` (a, b, value) replace pairs of ``matrix`` (a, b, affinity) in both directions; of several for a pair the
+    greatest."""
+    both = overrides.select("a", "b", "value").unionByName(overrides.select(F.col("b").alias("a"), F.col("a").alias("b"), "value")).groupBy("a", "b").agg(F.max("value").alias("value"))
     return matrix.join(both, ["a", "b"], "left").select("a", "b", F.coalesce("value", "affinity").alias("affinity"))
 
 

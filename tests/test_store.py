@@ -201,3 +201,70 @@ def test_files_of_earlier_versions(spark, tmp_path):
     assert feeds.verify_migration(files, jobs).count() == 0
     broken = jobs.where("id = '1'").withColumn("title", F.lit("x"))
     assert {(r.id, r.field) for r in feeds.verify_migration(files, broken).collect()} == {("1", "title"), ("2", "*")}
+
+
+def test_research_pages(spark):
+    from tessera.operators import research as R
+
+    companies = spark.createDataFrame([("a", "Conifers Ltd.", "conifers.ai"), ("b", "Beta", None), ("c", "Gamma", "g.io"), ("d", "Delta", None)], "company_id string, company string, domain string")
+    hits = spark.createDataFrame([
+        ("a", "size", "q1", True, 1, "https://x/1", "Conifers has 50 people in all", "s"), ("a", "size", "q1", True, 2, "https://x/2", None, "Conifer Realty has 900"), ("a", "size", "q1", True, 4, "https://x/4", "conifers.ai", None),
+        ("a", "size", "q2", False, 1, "https://x/9", "Conifers by name", None), ("b", "size", "q", False, 1, "https://y/1", "", "Beta snippet"), ("c", "size", "q", True, 1, "https://z", "another firm", None),
+    ], "company_id string, topic string, query string, by_domain boolean, place int, url string, text string, snippet string")
+    found = R.gathered(hits)
+    assert {(r.company_id, r.url) for r in found.collect()} == {("a", "https://x/1"), ("a", "https://x/2"), ("b", "https://y/1"), ("c", "https://z")}
+    kept = R.naming(found, companies)
+    assert {(r.company_id, r.url) for r in kept.collect()} == {("a", "https://x/1"), ("b", "https://y/1")}
+    topics = spark.createDataFrame([("size", "how many people")], "topic string, text string")
+    assert {(r.company_id, r.error) for r in R.without_pages(companies, topics, found, kept).collect()} == {("c", "no page named this company"), ("d", "no search results")}
+    read = R.context(kept, topics)
+    assert [(r.company_id, r.url) for r in read.collect()] == [("a", "https://x/1"), ("b", "https://y/1")]
+    answers = spark.createDataFrame([("a", "size", {"size": "50"}, ["https://x/1", "https://made-up"]), ("b", "size", {"size": "unknown"}, None)], "company_id string, topic string, fields map<string,string>, cited array<string>")
+    got = {r.company_id: (r.sources, r.attribution, r.error) for r in R.attributed(answers, read, F.array(F.lit("size"))).collect()}
+    assert got == {"a": (["https://x/1"], "cited", None), "b": (None, None, "pages said nothing")}
+    cache = spark.createDataFrame([("a", "2026-01-01T00:00:00", "kept"), ("b", "2025-12-01T00:00:00", "old")], "key string, stored_at string, value string")
+    have, need = R.to_research(companies, cache, "2026-01-15T00:00:00")
+    assert {r.company_id for r in have.collect()} == {"a"} and {r.company_id for r in need.collect()} == {"b", "c", "d"}
+
+
+def test_legacy_dataset(spark):
+    from tessera.operators import legacy
+
+    rows = spark.createDataFrame([(0, "A", "soft", "11-50", "Dev", "senior", None, "u1", None), (1, "A", "other", "x", "QA", None, "Haifa", "u2", None), (2, "B", "bio", None, "Analyst", None, "Berlin", "u3", None), (3, "B", "bio", None, "x" * 201, None, "Lod", "u4", None)], "place int, company string, category string, size string, title string, level string, city string, url string, updated string")
+    fetched = spark.createDataFrame([("A", "Backend Dev", "f1", None, "text"), ("A", "Ops", "f2", "Remote", None)], "company string, title string, url string, location string, description string")
+    scores = spark.createDataFrame([("f2", 80.0), ("f2", 20.0), ("f1", 10.0)], "url string, score double")
+    got = legacy.dataset(rows, fetched, scores, spark.createDataFrame([("f2", "filled")], "url string, text string")).collect()
+    assert [(r.company, r.title, r.city, r.industry, r.best_score, r.description) for r in got] == [("A", "Ops", "Haifa", "soft", 80.0, "filled"), ("A", "Backend Dev", "Haifa", "soft", 10.0, "text")]
+    assert [r.title for r in legacy.dataset(rows, fetched, scores, relevant_only=False).collect()] == ["Ops", "Backend Dev", "Analyst"]
+
+
+def test_referral_titles_against_brute_force(spark):
+    from difflib import SequenceMatcher
+
+    from tessera.operators import jobs as J
+
+    rng = random.Random(8)
+    words = ["senior", "backend", "back", "end", "engineer", "developer", "data", "qa", "lead", "ops"]
+    title = lambda: " ".join(rng.choices(words, k=rng.randint(1, 4)))
+    jobs = [(i, "abc"[i % 3], title(), f"https://x.io/{i}") for i in range(150)]
+    asked = [("AB"[i % 2], title(), f"https://x.io/{rng.randint(0, 400)}?utm_source=a" if i % 3 else None) for i in range(60)]
+    got = J.merge_referrals(spark.createDataFrame(jobs, "id int, company_id string, title string, url string"), spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "id string, display_name string"), spark.createDataFrame([(c, None, t, u, "x") for c, t, u in asked], "company string, also_posted_as array<string>, title string, url string, contact string"), "now").collect()
+    want = []
+    for c, t, u in asked:
+        near = [i for i, of, s, v in jobs if of == c.lower() and ((u or "").split("?")[0] == v or SequenceMatcher(None, t, s).ratio() >= 0.75)]
+        want.append((c.lower(), t, u, min(near, default=None)))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(((r.company_id, r.title, r.url, r.job_id) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tessera import __main__ as cli
+
+    s = store.Store(spark, f"file://{tmp_path}")
+    s.write("jobs", spark.createDataFrame([("1", "a", "Backend Engineer", "Python", "new", "https://x/jobs/1", "Haifa", "Haifa, Israel", None, "ok", "2026-01-01", "backend"), ("2", "a", "Sales Manager", "", "closed", "u", None, None, None, "ok", None, None)], "id string, company_id string, title string, description string, status string, url string, city string, location string, work_mode string, fetch_status string, posted_at string, family string"))
+    s.write("companies", spark.createDataFrame([("a", "Acme")], "id string, display_name string"))
+    s.write("job_scores", spark.createDataFrame([("1", "p", 70.0)], "job_id string, profile_id string, score double"))
+    for args in (["refresh"], ["search", "--query", "q=python"], ["facets", "--dimension", "city"], ["export", "--out", f"{tmp_path}/out"], ["audit"], ["worklist", "open"]):
+        assert cli.main(["--root", f"file://{tmp_path}", *args]) == 0
+    said = capsys.readouterr().out
+    assert "1 in all" in said and "'kept': 1" in said and s.read("search_index").count() == 3 and spark.read.json(f"{tmp_path}/out").count() == 1
