@@ -14,7 +14,8 @@ from tessera.operators import discovery, export, listing, scoring, tuning
 from tessera.plans.catalogue import companies, described, query, t
 from tessera.sources import feeds, inlined
 
-NULL = F.lit(None).cast("string")
+def null():
+    return F.lit(None).cast("string")
 
 
 def q(pattern: str) -> str:
@@ -210,19 +211,19 @@ def first_boards(spark, sf):
 @query("SELECT c_custkey AS company_id, 'T' || p_partkey AS title, CASE c_custkey % 3 WHEN 0 THEN 'ats_api' WHEN 1 THEN 'external_board' END AS source FROM customer JOIN part ON p_size = c_custkey % 10 WHERE c_custkey % 3 <> 2")
 def strategy_postings(spark, sf):
     plans = companies(spark, sf).select(F.col("id").alias("company_id"), F.expr("CASE id % 3 WHEN 0 THEN 'ats_api' WHEN 1 THEN 'external_board' ELSE 'html_listing' END").alias("kind"), F.concat(F.lit("lever:"), (F.col("id") % 10).cast("string")).alias("board"))
-    got = t(spark, sf, "part").select(F.concat(F.lit("lever:"), F.col("p_size").cast("string")).alias("board"), F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("title"), NULL.alias("url"), NULL.alias("location"))
+    got = t(spark, sf, "part").select(F.concat(F.lit("lever:"), F.col("p_size").cast("string")).alias("board"), F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("title"), null().alias("url"), null().alias("location"))
     return discovery.by_strategy(plans, got).select("company_id", "title", "source")
 
 
 @query("SELECT c_custkey AS company_id, 'T' || s_suppkey AS title, 'Haifa' AS location, 'techmap' AS source FROM customer JOIN supplier ON s_suppkey % 40 = c_custkey WHERE s_suppkey % 5 <> 0")
 def techmap_postings(spark, sf):
-    rows = t(spark, sf, "supplier").select(F.format_string("Customer#%09d Inc.", F.col("s_suppkey") % 40).alias("company"), F.when(F.col("s_suppkey") % 5 != 0, F.concat(F.lit("T"), F.col("s_suppkey").cast("string"))).alias("title"), F.lit("Haifa").alias("city"), NULL.alias("url"))
+    rows = t(spark, sf, "supplier").select(F.format_string("Customer#%09d Inc.", F.col("s_suppkey") % 40).alias("company"), F.when(F.col("s_suppkey") % 5 != 0, F.concat(F.lit("T"), F.col("s_suppkey").cast("string"))).alias("title"), F.lit("Haifa").alias("city"), null().alias("url"))
     return discovery.techmap_postings(companies(spark, sf), discovery.techmap_index(rows)).select("company_id", "title", "location", "source")
 
 
 @query("SELECT s_name AS company, 'T' || s_suppkey AS title, 'n' || s_nationkey AS department, NULL AS location, '' AS description FROM supplier")
 def category_rows_as_postings(spark, sf):
-    rows = t(spark, sf, "supplier").select(F.col("s_name").alias("company"), F.concat(F.lit("T"), F.col("s_suppkey").cast("string")).alias("title"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("category"), NULL.alias("url"))
+    rows = t(spark, sf, "supplier").select(F.col("s_name").alias("company"), F.concat(F.lit("T"), F.col("s_suppkey").cast("string")).alias("title"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("category"), null().alias("url"))
     return discovery.row_postings(rows).select("company", "title", "department", "location", "description")
 
 
@@ -291,7 +292,7 @@ kept AS (SELECT *, lower(regexp_replace(title, '\s+', ' ', 'g')) AS t FROM r WHE
 SELECT company, title, u AS url, 'Haifa' AS city, fetch_status, '2026-01-01' AS posted_date FROM kept QUALIFY row_number() OVER (PARTITION BY regexp_replace(regexp_replace(company, '[^a-z0-9]+', '', 'g'), 'ai$', ''), t ORDER BY (fetch_status = 'ok') DESC, url) = 1""")
 def export_rows(spark, sf):
     title = F.element_at(F.array(*map(F.lit, ("Backend Engineer", "Sales Manager", "Data Analyst", "platform  engineer", "Gardener"))), (1 + F.col("page_id") % 5).cast("int"))
-    rows = t(spark, sf, "pages").select(urls.host("url").alias("display_name"), title.alias("title"), "url", F.lit("Haifa").alias("city"), F.when(F.col("page_id") % 7 == 0, "Berlin").otherwise("Haifa, Israel").alias("location"), NULL.alias("work_mode"), F.when(F.col("page_id") % 2 == 0, "ok").otherwise("empty").alias("fetch_status"), F.lit("2026-01-01T00:00").alias("posted_at"))
+    rows = t(spark, sf, "pages").select(urls.host("url").alias("display_name"), title.alias("title"), "url", F.lit("Haifa").alias("city"), F.when(F.col("page_id") % 7 == 0, "Berlin").otherwise("Haifa, Israel").alias("location"), null().alias("work_mode"), F.when(F.col("page_id") % 2 == 0, "ok").otherwise("empty").alias("fetch_status"), F.lit("2026-01-01T00:00").alias("posted_at"))
     return export.export(rows)[0].select("company", "title", "url", "city", "fetch_status", "posted_date")
 
 
@@ -345,7 +346,7 @@ def browser_state(spark, sf):
 
 
 def _legacy(spark, sf):
-    job = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("title"), NULL.alias("url"), NULL.alias("location"), NULL.alias("description"), F.when(F.col("o_orderstatus") == "F", "closed").alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("posted_at"), F.create_map(F.lit("p"), F.col("o_totalprice").cast("double")).alias("scores"))
+    job = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("title"), null().alias("url"), null().alias("location"), null().alias("description"), F.when(F.col("o_orderstatus") == "F", "closed").alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("posted_at"), F.create_map(F.lit("p"), F.col("o_totalprice").cast("double")).alias("scores"))
     rows = t(spark, sf, "orders").join(t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return rows.groupBy(F.col("c_name").alias("name")).agg(F.lit(None).cast("string").alias("career_url"), F.max("o_orderdate").cast("string").alias("last_checked"), F.collect_list(job).alias("jobs"))  # a file is a company's postings
 
@@ -418,6 +419,6 @@ def link_titles(spark, sf):
 
 @query("SELECT c_custkey, 'Haifa' AS city FROM customer WHERE c_custkey % 2 = 0")
 def detail_locations(spark, sf):
-    none = NULL
+    none = null()
     x = titles.infer_location(F.lit("Engineer"), F.lit(""), none, F.when(F.col("c_custkey") % 2 == 0, "Haifa"), none)
     return t(spark, sf, "customer").select("c_custkey", x.alias("x")).where("x.city is not null").select("c_custkey", "x.city")

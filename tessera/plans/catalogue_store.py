@@ -12,14 +12,15 @@ from tessera.operators import caches, gate, jobs, reads
 from tessera.plans import search as S
 from tessera.plans.catalogue import BASE, companies, described, postings, query, scores, sources, t, tok
 
-NULL = F.lit(None).cast("string")
+def null():
+    return F.lit(None).cast("string")
 
 
 def stored_postings(spark, sf):
     """Postings with an address where the order key is even, and the columns a store keeps."""
     url = F.when(F.col("id") % 2 == 0, F.concat(F.lit("https://jobs.example.com/"), F.col("id").cast("string")))
     closed = F.when(F.col("status") == "closed", "gone")
-    return postings(spark, sf).withColumns({"url": url, "closed_reason": closed, "closed_at": closed, "is_referral": F.lit(False), "referral_contact": NULL, "last_seen": F.col("posted_at"), "years_required": (F.col("id") % 7).cast("int")})
+    return postings(spark, sf).withColumns({"url": url, "closed_reason": closed, "closed_at": closed, "is_referral": F.lit(False), "referral_contact": null(), "last_seen": F.col("posted_at"), "years_required": (F.col("id") % 7).cast("int")})
 
 
 STORED = "SELECT o_orderkey AS id, o_custkey AS company_id, o_orderpriority AS title, CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'O' THEN 'new' ELSE 'seen' END AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'https://jobs.example.com/' || o_orderkey END AS url, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders"
@@ -264,8 +265,8 @@ def boilerplate_texts(spark, sf):
 @query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN true ELSE p_size % 2 = 1 AND p_size % 3 = 0 END AS unparseable FROM part")
 def unparseable_postings(spark, sf):
     title = F.expr("concat(p_name, CASE p_size % 3 WHEN 0 THEN '' ELSE ' Backend Developer' END)")
-    evidence = F.when(F.col("p_size") % 4 == 0, F.struct(F.lit(False).alias("jsonld_jobposting"), F.lit(False).alias("apply_cta"), F.lit(0).alias("requirement_sections"), NULL.alias("role_family_from_title")))
-    evidence = F.when(F.col("p_size") % 4 == 2, F.struct(F.lit(False).alias("jsonld_jobposting"), F.lit(True).alias("apply_cta"), F.lit(0).alias("requirement_sections"), NULL.alias("role_family_from_title"))).otherwise(evidence)
+    evidence = F.when(F.col("p_size") % 4 == 0, F.struct(F.lit(False).alias("jsonld_jobposting"), F.lit(False).alias("apply_cta"), F.lit(0).alias("requirement_sections"), null().alias("role_family_from_title")))
+    evidence = F.when(F.col("p_size") % 4 == 2, F.struct(F.lit(False).alias("jsonld_jobposting"), F.lit(True).alias("apply_cta"), F.lit(0).alias("requirement_sections"), null().alias("role_family_from_title"))).otherwise(evidence)
     return t(spark, sf, "part").select("p_partkey", gate.unparseable(title, F.when(F.col("p_size") % 2 == 0, 2).otherwise(0), evidence).alias("unparseable"))
 
 

@@ -267,4 +267,4 @@ def test_command_line(spark, tmp_path, capsys):
     for args in (["refresh"], ["search", "--query", "q=python"], ["facets", "--dimension", "city"], ["export", "--out", f"{tmp_path}/out"], ["audit"], ["worklist", "open"]):
         assert cli.main(["--root", f"file://{tmp_path}", *args]) == 0
     said = capsys.readouterr().out
-    assert "1 in all" in said and "'kept': 1" in said and s.read("search_index").count() == 3 and spark.read.json(f"{tmp_path}/out").count() == 1
+    assert "1 in all" in said and "'kept': 1" in said and s.read("search_index").count() == 5 and spark.read.json(f"{tmp_path}/out").count() == 1
