@@ -1,4 +1,4 @@
-"""Intermediate tables that more than one step reads."""
+"""Intermediate tables that more than one step reads, and small tables dealt out to all cores."""
 
 from __future__ import annotations
 
@@ -16,3 +16,12 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = f"{root.rstrip('/')}/tessera/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` read from files, dealt out to all cores where the files have fewer splits than there are cores.
+
+    A split is at least 4 MB, so that is so for a table of less than 4 MB a core only: it would keep one core busy. Larger
+    tables are returned as they are. To be used on what is read, not on what is computed: splits are counted."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= n else rows.repartition(n)

@@ -16,7 +16,7 @@ from tessera.functions import rules, text, titles, urls
 from tessera.functions import vocabulary as V
 from tessera.operators import companies as C
 from tessera.operators import cv, export, jobs, listing, repairs, reports, scoring, taxonomy, tuning
-from tessera.operators.kept import stored
+from tessera.operators.kept import dealt, stored
 from tessera.plans import index
 from tessera.plans import search as S
 from tessera.sources import inlined, retail
@@ -57,8 +57,10 @@ def scores(spark, sf):
     return t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").cast("string").alias("profile_id"), (F.col("l_quantity") * 2).alias("score"))
 
 
-def described(spark, sf):
-    return t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("company_id"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("description"), F.col("lang").alias("source_language"), F.lit("new").alias("status"))
+def described(spark, sf, deal: bool = False):
+    """Documents as described postings; ``deal`` them out for queries that work on each text at length."""
+    rows = t(spark, sf, "documents")
+    return (dealt(rows) if deal else rows).select(F.col("doc_id").alias("id"), F.col("source").alias("company_id"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("description"), F.col("lang").alias("source_language"), F.lit("new").alias("status"))
 
 
 def sources(spark, sf):
@@ -85,7 +87,7 @@ def engine(spark, sf):
 def text_search(spark, sf):
     """Search over the described postings, with their tokens kept as an index."""
     own = described(spark, sf)
-    return S.Search(own, sources(spark, sf), index=maintained(spark, sf, "search-index", lambda: index.build(own)))
+    return S.Search(own, sources(spark, sf), index=maintained(spark, sf, "search-index", lambda: index.build(described(spark, sf, True))))
 
 
 BASE = """WITH c AS (SELECT c_custkey AS company_id, c_name AS display_name, c_mktsegment AS industry, c_nationkey AS connection_count FROM customer),
@@ -245,7 +247,7 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id, chun
 def bm25_passages(spark, sf):
     """Every benchmark item's whole text against the chunks of all documents."""
     asked = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return export.bm25_chunks(t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), asked)
+    return export.bm25_chunks(dealt(t(spark, sf, "documents")).select(F.col("doc_id").alias("id"), "text"), asked)
 
 
 # ---------------------------------------------------------------- taxonomy
@@ -256,7 +258,7 @@ _terms_sql = f"(SELECT unnest({TERMS!r}) AS term)"
 
 
 def _doc_terms(spark, sf):
-    return t(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("family"), F.array_intersect(text.search_tokens("text"), F.array(*map(F.lit, TERMS))).alias("terms"))
+    return dealt(t(spark, sf, "documents")).select(F.col("doc_id").alias("doc"), F.col("source").alias("family"), F.array_intersect(text.search_tokens("text"), F.array(*map(F.lit, TERMS))).alias("terms"))
 
 
 _DT = f"WITH d AS (SELECT doc_id, source AS family, list_intersect(list_distinct({tok('text')}), {TERMS!r}) AS terms FROM documents), x AS (SELECT doc_id, family, unnest(terms) AS term FROM d), i AS (SELECT term, count(x.term) AS df, ln((SELECT count(*) FROM d) / greatest(count(x.term), 1)) AS idf FROM {_terms_sql} LEFT JOIN x USING (term) GROUP BY 1)"
@@ -345,7 +347,7 @@ def best_profile(spark, sf):
 
 @query()
 def extract_requirements(spark, sf):
-    rows = described(spark, sf).select("id", "title", F.concat(F.lit("Requirements: "), "description").alias("description"))
+    rows = described(spark, sf, True).select("id", "title", F.concat(F.lit("Requirements: "), "description").alias("description"))
     return scoring.extract(rows).select("id", F.size("requirements").alias("n"), "years_required", "seniority", "family")
 
 
@@ -353,7 +355,7 @@ def extract_requirements(spark, sf):
 def score_jobs(spark, sf):
     p = spark.createDataFrame([("p1", "backend", {"backend": 1.0}, "senior", 7, ["BSc"], [], ["English"], [], ["the and of with services"], 80, [("python", "strong", 1)])], "profile_id string, family string, families map<string,double>, seniority string, years int, education array<string>, certifications array<string>, languages array<string>, places array<string>, roles array<string>, evidence int, skills array<struct<canonical:string,strength:string,recency:int>>")
     matrix = spark.createDataFrame([("backend", "backend", 1.0)], "a string, b string, affinity double")
-    rows = described(spark, sf).select("id", "title", F.concat(F.lit("Requirements: "), "description").alias("description"))
+    rows = described(spark, sf, True).select("id", "title", F.concat(F.lit("Requirements: "), "description").alias("description"))
     return scoring.score_jobs(rows, p, spark.createDataFrame([("python", 2.0)], "term string, idf double"), matrix)
 
 
@@ -471,7 +473,7 @@ UNION ALL SELECT x.c, 'like', x.id, y.id FROM r x JOIN r y ON x.c = y.c AND x.id
   WHERE len(list_intersect(x.w, y.w)) >= 0.8 * (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)))""")
 def jaccard_documents(spark, sf):
     """Copies and near-copies among all documents of a source, at the audit's threshold."""
-    return export.similar_classes(described(spark, sf).select("company_id", "id", F.col("description").alias("text")))
+    return export.similar_classes(described(spark, sf, True).select("company_id", "id", F.col("description").alias("text")))
 
 
 @query()
@@ -485,13 +487,13 @@ def fuzzy_title(spark, sf):
 
 @query("SELECT p_partkey, p_name AS title, 'Tel Aviv' AS location, 'Full-time' AS employment_type FROM part")
 def card_titles(spark, sf):
-    return t(spark, sf, "part").select("p_partkey", titles.card(F.concat("p_name", F.lit(" Full-time Tel Aviv"))).alias("c")).select("p_partkey", "c.*")
+    return dealt(t(spark, sf, "part")).select("p_partkey", titles.card(F.concat("p_name", F.lit(" Full-time Tel Aviv"))).alias("c")).select("p_partkey", "c.*")
 
 
 @query("SELECT p_partkey, CASE WHEN length(p_name) >= 8 THEN p_name END AS title FROM part")
 def page_titles(spark, sf):
     page = F.concat(F.lit("<title>"), "p_name", F.lit(" | Acme</title><h1>Careers</h1>"))
-    return t(spark, sf, "part").select("p_partkey", titles.authoritative(titles.detail_titles(page), F.concat("p_name", F.lit(" Remote"))).alias("title"))
+    return dealt(t(spark, sf, "part")).select("p_partkey", titles.authoritative(titles.detail_titles(page), F.concat("p_name", F.lit(" Remote"))).alias("title"))
 
 
 @query(f"SELECT n_nationkey, CASE WHEN lower(n_name) IN ({', '.join(repr(x) for x in V.COUNTRIES)}) THEN n_name ELSE 'Haifa' END AS location, CASE WHEN lower(n_name) IN ({', '.join(repr(x) for x in V.COUNTRIES)}) THEN NULL ELSE 'Haifa' END AS city, false AS is_remote FROM nation")
@@ -566,7 +568,7 @@ def duplicate_hosts(spark, sf):
 
 @query(r"WITH s AS (SELECT source AS company_id, doc_id AS id, regexp_replace(trim(regexp_extract(coalesce(text, '') || chr(10) || 'Pays $' || doc_id || ' a year.', '[^.\n]*(?:[$€£₪]|USD|ILS|NIS)\s?\d[\d,.]*[^.\n]*')), '\.+$', '') AS snippet FROM documents) SELECT * FROM s WHERE snippet <> '' QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY id) <= 5")
 def salary_snippets(spark, sf):
-    rows = described(spark, sf).withColumn("description", F.concat(F.coalesce("description", F.lit("")), F.lit("\nPays $"), F.col("id").cast("string"), F.lit(" a year.")))
+    rows = described(spark, sf, True).withColumn("description", F.concat(F.coalesce("description", F.lit("")), F.lit("\nPays $"), F.col("id").cast("string"), F.lit(" a year.")))
     return reports.salary_snippets(rows)
 
 
@@ -599,7 +601,7 @@ def embedded_boards(spark, sf):
 def cv_profiles(spark, sf):
     body = F.concat(F.lit("Experience\nBackend Engineer | "), "c_name", F.lit(" | "), (2010 + F.col("c_custkey") % 15).cast("string"), F.lit(" - present\n- Designed Kafka services\n- Wrote text\nSkills: Python\n"))
     idf = spark.createDataFrame([("kafka", 7.0)], "term string, idf double")
-    return cv.profiles(t(spark, sf, "customer").select(F.col("c_custkey").alias("profile_id"), body.alias("text")), idf, 2026).select("profile_id", "family", "years", "seniority", "evidence")
+    return cv.profiles(dealt(t(spark, sf, "customer")).select(F.col("c_custkey").alias("profile_id"), body.alias("text")), idf, 2026).select("profile_id", "family", "years", "seniority", "evidence")
 
 
 def _labelled(spark, sf):

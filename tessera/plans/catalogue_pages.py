@@ -11,6 +11,7 @@ from tessera.functions import rules, text, titles, urls
 from tessera.functions import vocabulary as V
 from tessera.operators import companies as C
 from tessera.operators import discovery, export, listing, scoring, tuning
+from tessera.operators.kept import dealt
 from tessera.plans.catalogue import companies, described, query, t
 from tessera.sources import feeds, inlined
 
@@ -39,7 +40,7 @@ def listing_pages(spark, sf):
         F.when(F.col("page_id") % 2 == 1, item(F.lit("https://other.example.org/x"), "Partner portal site")).otherwise(""),
         F.lit("</ul><div><h2>Platform Engineer</h2><a href='/careers/jobs/3000"), n, F.lit("?ref=1'>Apply</a></div></main><article>"),
     )
-    return t(spark, sf, "pages").select("page_id", F.concat(F.lit("https://www.acme"), n, F.lit(".io/careers")).alias("url"), F.replace("html", F.lit("<article>"), cards).alias("html"))
+    return dealt(t(spark, sf, "pages")).select("page_id", F.concat(F.lit("https://www.acme"), n, F.lit(".io/careers")).alias("url"), F.replace("html", F.lit("<article>"), cards).alias("html"))
 
 
 ANCHORS = r"""WITH nav AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS l, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS x FROM pages),

@@ -1,59 +1,70 @@
-"""A stored index for text search: which posting has which token, kept up with inserts, updates and deletions.
+"""A stored index for text search: which posting has which token where, kept up with inserts, updates and deletions.
 
-The index has one row per posting and distinct token of its title or description. It is stored by token, so a query
-reads the row groups of its own terms; a term of one token is settled there, and only the postings that have all tokens
-of a longer term are read again for the phrase."""
+The index has one row per posting and distinct token, with the token's places in the title and in the description. It is
+stored by token, so a query reads the row groups of its own tokens and nothing else: words are settled by their rows,
+phrases by places that follow each other. No text is read again."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import query_terms, search_tokens
 
 
 def build(jobs: DataFrame) -> DataFrame:
-    """(token, id, in_title) of ``jobs`` (id, title, description), by token."""
-    both = F.transform(F.array_distinct(search_tokens("title")), lambda t: F.struct(t.alias("token"), F.lit(True).alias("in_title")))
-    rest = F.transform(F.array_except(search_tokens("description"), search_tokens("title")), lambda t: F.struct(t.alias("token"), F.lit(False).alias("in_title")))
-    rows = jobs.select("id", F.inline(F.concat(both, rest)))
-    return rows.select("token", "id", "in_title").repartitionByRange("token").sortWithinPartitions("token", "id")
+    """(token, id, title_at, text_at) of ``jobs`` (id, title, description), by token; a text's places of one token meet,
+    partial sums first."""
+    place = lambda name, field: F.transform(search_tokens(name), lambda x, i: F.struct(x.alias("token"), F.lit(field).alias("field"), i.alias("at")))
+    rows = jobs.select("id", F.inline(F.concat(place("title", "title"), place("description", "text"))))
+    found = lambda field: F.array_sort(F.collect_list(F.when(F.col("field") == field, F.col("at"))))
+    out = rows.groupBy("token", "id").agg(found("title").alias("title_at"), found("text").alias("text_at"))
+    return out.repartitionByRange("token").sortWithinPartitions("token", "id")
 
 
 def update(index: DataFrame, changed: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
     """The index after postings were inserted or changed (``changed``: id, title, description) and deleted (id)."""
     gone = changed.select("id") if deleted is None else changed.select("id").unionByName(deleted.select("id"))
-    kept = index.join(gone.distinct(), "id", "left_anti").select("token", "id", "in_title")
+    kept = index.join(gone.distinct(), "id", "left_anti").select("token", "id", "title_at", "text_at")
     return kept.unionByName(build(changed)).repartitionByRange("token").sortWithinPartitions("token", "id")
 
 
-def _having(index: DataFrame, terms: list[list[str]], scope: str, every: bool) -> DataFrame:
-    """(id) of postings that have all tokens of all terms, or of any term."""
-    words = sorted({w for t in terms for w in t})
-    rows = index.where(F.col("token").isin(words))
-    if scope == "title":
-        rows = rows.where("in_title")
-    has = rows.groupBy("id").agg(F.collect_set("token").alias("have"))  # a query's tokens at most
-    if every:
-        return has.where(F.size("have") == len(words)).select("id")
-    tests = [F.size(F.array_intersect("have", F.array(*map(F.lit, t)))) == len(set(t)) for t in terms if t]
-    out = F.lit(False)
-    for x in tests:
-        out = out | x
-    return has.where(out).select("id")
-
-
-def candidates(index: DataFrame, raw: str, scope: str = "all") -> DataFrame | None:
-    """(id) of postings with all of a query's tokens; None where no posting can match."""
-    terms = query_terms(raw)
-    return None if not terms or not all(terms) else _having(index, terms, scope, True)
+def _phrase(at: list[Column]) -> Column:
+    """Whether some place of the first token is followed by the others', each at the next place."""
+    after = [F.coalesce(x, F.array().cast("array<int>")) for x in at]
+    return F.exists(after[0], lambda p: _all([F.array_contains(x, p + k) for k, x in enumerate(after[1:], 1)]))
 
 
-def exact(raw: str) -> bool:
-    """Whether the tokens settle the query: no term is a phrase."""
-    return all(len(t) == 1 for t in query_terms(raw))
+def _all(tests: list[Column]) -> Column:
+    out = F.lit(True)
+    for x in tests:
+        out = out & x
+    return out
 
 
-def with_any(index: DataFrame, raw: str) -> DataFrame:
-    """(id) of postings whose title may have any of a query's terms."""
-    return _having(index, [t for t in query_terms(raw) if t], "title", False)
+def having(index: DataFrame, raw: str, scope: str = "all", every: bool = True) -> DataFrame:
+    """(id) of postings that have all of a query's terms, or any of them (``every`` false), in title or description, or with
+    scope title in the title. A term without a token is nowhere; a query without terms finds nothing."""
+    terms = query_terms(raw)
+    words = sorted({w for t in terms for w in t})
+    rows = index.where(F.col("token").isin(words)) if words else index.where(F.lit(False))
+    if scope == "title":
+        rows = rows.where(F.size("title_at") > 0)
+    at = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", F.struct("title_at", "text_at")))).alias("at"))  # a query's tokens at most
+
+    def has(term: list[str]) -> Column:
+        if not term:
+            return F.lit(False)
+        if len(term) == 1:
+            return F.map_contains_key("at", term[0])
+        own = [F.try_element_at("at", F.lit(w)) for w in term]
+        fields = ("title_at",) if scope == "title" else ("title_at", "text_at")
+        hit = F.lit(False)
+        for field in fields:
+            hit = hit | _phrase([x[field] for x in own])
+        return hit
+
+    tests = [has(t) for t in terms]
+    if every:
+        return at.where(_all(tests)).select("id")
+    return at.where(~_all([~x for x in tests])).select("id")

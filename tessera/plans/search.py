@@ -155,12 +155,9 @@ class Search:
         """The postings that the index leaves, and what of the filters it has not settled."""
         rows = self.jobs
         if self.index is not None and f.q:
-            found = index.candidates(self.index, f.q, f.scope)
-            if found is None:
-                return rows.where(F.lit(False)), replace(f, q=None)
-            rows, f = rows.join(found, "id", "left_semi"), replace(f, q=None) if index.exact(f.q) else f
-        if self.index is not None and f.exclude and query_terms(f.exclude) and index.exact(f.exclude):
-            rows, f = rows.join(index.with_any(self.index, f.exclude), "id", "left_anti"), replace(f, exclude=None)
+            rows, f = rows.join(index.having(self.index, f.q, f.scope), "id", "left_semi"), replace(f, q=None)
+        if self.index is not None and f.exclude:
+            rows, f = rows.join(index.having(self.index, f.exclude, "title", False), "id", "left_anti"), replace(f, exclude=None)
         return rows, f
 
     def rows(self, f: Filters) -> DataFrame:
