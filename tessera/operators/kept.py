@@ -18,10 +18,12 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """``rows`` read from files, dealt out to all cores where the files have fewer splits than there are cores.
+SPLIT = 4 << 20  # bytes of the smallest split that files are read in
+
 
-    A split is at least 4 MB, so that is so for a table of less than 4 MB a core only: it would keep one core busy. Larger
-    tables are returned as they are. To be used on what is read, not on what is computed: splits are counted."""
-    n = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= n else rows.repartition(n)
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` read from files, dealt out to all cores where the files are too small to be split for as many: at under 4 MB a
+    core, one file would keep one core busy. Larger tables are returned as they are. The size is the planner's."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return rows.repartition(cores) if size < cores * SPLIT else rows
