@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import arrow_rows, table
+from tessera.operators.kept import dealt
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math xmp noembed noframes".split())
@@ -249,4 +250,4 @@ def extract(pages: DataFrame) -> DataFrame:
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+    return extract(dealt(table(spark, sf_dir, "pages"))).withColumn("n_chars", F.length("text").cast("long"))

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import arrow_rows, batch_rows, crc32_mod, slices, table, text_buffer
+from tessera.operators.kept import dealt
 
 ORDER, PER_LANG, BLOCK = 3, 2000, 8
 PAD = 10  # a text begins as if after line feeds
@@ -246,7 +247,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned only where crc32(doc_id) mod 4 is not 2."""
     arrow_rows(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents"))
     model = fit(docs.where(crc32_mod("doc_id", 4) != 2))
     found = docs.select("doc_id", (crc32_mod("doc_id", 4) == 2).alias("held_out"), predict(spark, model).alias("p"))
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))

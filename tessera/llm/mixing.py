@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD, fresh, table, written
+from tessera.operators.kept import dealt
 
 BITS = (12, 24, 24)  # of the hash, by level
 WEIGHTS = (5, 2, 1)
@@ -137,7 +138,7 @@ def apply_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = 3
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by weights 5, 2, 1; targets stop at 3 times a source's size."""
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(dealt(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP9_SQL = r"""

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import batch_rows, table, written
 from tessera.llm.encoders import REMEMBER, encoder
+from tessera.operators.kept import dealt
 
 PIECE = "piece int, start long, length long, ids_crc32 long"
 #: Search steps of a packing, and undominated fillings that a bin branches over.
@@ -327,4 +328,4 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 ids of word_bpe_49k.json."""
     import public_tokenizers
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(dealt(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import arrow_rows, batch_rows, crc32_mod, slices, table, text_buffer
+from tessera.operators.kept import dealt
 
 SAMPLE, THRESHOLD = 20_000, 0.3
 _CLASSES = [b" \t\r\x0b\x0c", b"\n", bytes(range(97, 123)), bytes(range(65, 91)), b"0123456789", b".", b",", b"!?", b"|", b"#$%&*<>@^~\\", b"'\"()[]{}", b"-_/+=:;`", bytes(range(194, 245)), bytes(range(128, 194))]
@@ -173,6 +174,6 @@ def keep_good(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> Da
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document; labels are learned only where crc32(doc_id) mod 5 is not 0."""
     arrow_rows(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents"))
     scored = docs.select("doc_id", (crc32_mod("doc_id", 5) == 0).alias("held_out"), score_column(fit_tables(spark, docs, sf_dir)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import SPACE, WORD, table, written
+from tessera.operators.kept import dealt
 
 MAX_SHARE, MAX_DOCS, MIN_WORDS, MIN_SHARE = 0.05, 5, 10, 0.3
 SYMBOLS = r"[#*$%&|<>]"
@@ -92,7 +93,7 @@ def line_frequency(docs: DataFrame, max_share: float = MAX_SHARE, max_docs: int
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and cross-document line frequency of every document."""
-    return line_frequency(table(spark, sf_dir, "documents")).drop("host")
+    return line_frequency(dealt(table(spark, sf_dir, "documents"))).drop("host")
 
 
 OP2_SQL = r"""

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import batch_rows, fresh, table, written
+from tessera.operators.kept import dealt
 
 THRESHOLD, SEGMENT, BLOCK = 4, 31, 4096
 
@@ -251,5 +252,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document; links at 4 or fewer differing bits."""
-    found = components(table(spark, sf_dir, "documents"))
+    found = components(dealt(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import batch_rows, scratch, table, written
 from tessera.llm.encoders import encoder
+from tessera.operators.kept import dealt
 
 SLOTS = 1 << 28  # 2 bits each
 CACHE = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("version", T.StringType()), T.StructField("n_tokens", T.LongType())])
@@ -88,5 +89,5 @@ def op4_token_counts(spark: SparkSession, sf_dir: str, most: int = 1024) -> Data
     import public_tokenizers
 
     cache = open_cache(spark, scratch(spark, "token-cache"))
-    counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
+    counted = count_tokens(dealt(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"), cache)
     return counted.withColumn("over_limit", F.col("n_tokens") > most)

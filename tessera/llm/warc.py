@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import batch_rows, scratch, table, written
+from tessera.operators.kept import dealt
 
 ROLL_BYTES, WINDOW, LEVEL = 64 << 20, 1 << 18, 3
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/"
@@ -399,7 +400,7 @@ def read_archives(paths: DataFrame, with_payload: bool = False) -> DataFrame:
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page to archives and read them back."""
-    files = write_archives(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+    files = write_archives(dealt(table(spark, sf_dir, "pages")), scratch(spark, "warc"))
     page = lambda c: F.col(c).substr(F.lit(11), F.length(c) - 11).try_cast("long")
     back = read_archives(files).where("kind = 'record'")
     return back.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), page("refers_to_id").alias("refers_to"))
