@@ -1,8 +1,8 @@
 """The corpus pipeline: quality classifier, language ID, SimHash near-dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the
-columns of ``documents``; a document that the mix takes more than once is as many rows. Models are learned as their
-operators' own queries learn them, from labelled rows of the table ``documents`` that are not held out."""
+columns of ``documents``; a document that the mix takes more than once is as many rows. Models learn from rows that are
+not held out: quality from the labelled rows of the table ``documents``, languages from what the first stage kept."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import language, mixing, packing, quality_model, simhash
 from tessera.llm.common import crc32_mod, table, written
+from tessera.operators.kept import dealt
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's result is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
