@@ -25,5 +25,5 @@ def dealt(rows: DataFrame) -> DataFrame:
     """``rows`` read from files, dealt out to all cores where the files are too small to be split for as many: at under 4 MB a
     core, one file would keep one core busy. Larger tables are returned as they are. The size is the planner's."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return rows.repartition(cores) if size < cores * SPLIT else rows
