@@ -68,10 +68,33 @@ def with_fallback(results: DataFrame) -> DataFrame:
     return used.select("company_id", F.coalesce("best.strategy", F.when(~F.col("first.failed"), F.col("first.strategy"))).alias("strategy"))
 
 
-def synthesize(companies: DataFrame) -> DataFrame:
-    """(company_id, kind, board) of the plan that a company's address alone calls for."""
+def located(jobs: DataFrame, companies: DataFrame, category_rows: DataFrame) -> DataFrame:
+    """Postings with location, city and is_remote inferred from what they say, their company's office (companies: id,
+    display_name, address_city) and the first place that its category rows (place, company, city) state."""
+    hints = category_rows.withColumn("__key", normalize_company("company")).where("__key != '' and city is not null").groupBy("__key").agg(F.min_by("city", "place").alias("__hint"))
+    own = companies.select(F.col("id").alias("company_id"), F.col("address_city").alias("__office"), normalize_company("display_name").alias("__key"))
+    rows = jobs.join(own.join(hints, "__key", "left").drop("__key"), "company_id", "left")
+    rows = rows.withColumn("__p", titles.infer_location("location", "title", "description", "__office", "__hint"))
+    keep = [x for x in jobs.columns if x not in ("location", "city", "is_remote")]
+    return rows.select(*keep, "__p.location", "__p.city", "__p.is_remote")
+
+
+def html_listing(links: DataFrame, plans: DataFrame, pages: DataFrame, known: DataFrame, most: int = 50) -> DataFrame:
+    """Postings of listing pages: links judged by their plans, the site's own first, ``most`` a page; a posting that is not yet
+    ``known`` (url) is enriched from its page, a known one keeps what is stored."""
+    found = listing.postings(listing.by_plan(links, plans), most).select("page_id", F.col("href").alias("url"), "title", "place")
+    return enrich(found, pages, known)
+
+
+def synthesize(companies: DataFrame, special: tuple[str, ...] = ()) -> DataFrame:
+    """(company_id, kind, board) of the plan that a company's address alone calls for; ``special`` are parts of addresses of
+    sites with a feed of their own."""
     board = urls.board("career_url")
     none = F.coalesce(F.trim("career_url"), F.lit("")) == ""
+    if special:
+        own = F.coalesce(*(F.when(F.contains(F.lower("career_url"), F.lit(h)), F.lit(h)) for h in special))
+        kind = F.when(none, "techmap_only").when(board.isNotNull(), "ats_api").when(own.isNotNull(), "special_case").otherwise("html_listing")
+        return companies.select(F.col("id").alias("company_id"), kind.alias("kind"), F.when(~none, F.coalesce(board, own)).alias("board"))
     return companies.select(F.col("id").alias("company_id"), F.when(none, "techmap_only").when(board.isNotNull(), "ats_api").otherwise("html_listing").alias("kind"), F.when(~none, board).alias("board"))
 
 

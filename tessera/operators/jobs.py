@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.rules import department
 from tessera.functions.text import normalize_company, sequence_ratio, title_key
-from tessera.functions.urls import board, host, normalize_job_url
+from tessera.functions.urls import board, host, job_id, normalize_job_url
 from tessera.operators.kept import stored
 from tessera.schemas import FLAGS
 
@@ -169,6 +169,26 @@ def merge_referrals(jobs: DataFrame, companies: DataFrame, referrals: DataFrame,
     return matched.join(first, "__row", "left").select("company_id", "title", "url", "contact", "job_id", F.lit(now).alias("at"))
 
 
+def with_referrals(jobs: DataFrame, merged: DataFrame, companies: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """(jobs, new companies) after ``merge_referrals``: matched postings are tagged, the others added as new referrals, and
+    nothing is closed. ``merged`` has also company (its name); a company that no name matched is new."""
+    from tessera.functions.text import snake_id
+    from tessera.operators.reads import mark_referrals
+
+    tagged = mark_referrals(jobs, merged.where("job_id is not null").select(F.col("job_id").alias("id"), "contact"), now)
+    fresh = merged.where("job_id is null").withColumn("company_id", F.coalesce("company_id", snake_id("company")))
+    none = F.lit("")
+    fresh = fresh.withColumn("id", job_id("url", "company", "title", none)).where("title is not null and title != ''")
+    one = fresh.groupBy("id").agg(*(F.min(c).alias(c) for c in ("company_id", "company", "title", "url", "contact")))
+    one = one.join(jobs.select("id"), "id", "left_anti")
+    to = {"status": F.lit("new"), "is_referral": F.lit(True), "referral_contact": F.col("contact"), "first_seen": F.lit(now), "last_seen": F.lit(now), "description": F.lit("")}
+    kind = {f.name: f.dataType for f in jobs.schema}
+    added = one.select(*(to.get(c, F.col(c) if c in one.columns else F.lit(None)).cast(kind[c]).alias(c) for c in jobs.columns))
+    known = companies.select(F.col("id").alias("company_id"))
+    new = one.select("company_id", "company").join(known, "company_id", "left_anti").groupBy(F.col("company_id").alias("id")).agg(F.min("company").alias("display_name"))
+    return tagged.unionByName(added), new
+
+
 def may_be_near(a: Column, b: Column, least: float) -> Column:
     """Whether two texts can have a ratio of ``least``: the ratio is twice the matched characters over both lengths, and no
     more match than the shorter text has, or than there are of each letter in both."""

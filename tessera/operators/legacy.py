@@ -34,7 +34,7 @@ def dataset(rows: DataFrame, fetched: DataFrame, scores: DataFrame, descriptions
         said = descriptions.groupBy("url").agg(F.max("text").alias("said"))
         used = used.join(said, "url", "left").withColumn("description", F.coalesce(F.nullif("description", F.lit("")), "said", F.lit(""))).drop("said")
     facts = company_facts(rows)
-    placed = used.join(facts, "company", "left").withColumn("p", titles.infer_location("title", "description", "location", "hint", none))
+    placed = used.join(facts, "company", "left").withColumn("p", titles.infer_location("location", "title", "description", none, "hint"))
     out = placed.select("company", "title", "url", "description", "p.location", "p.city", "p.is_remote", "industry", "size", "department", "employment_type", "posted_at")
     if relevant_only:
         out = out.where(rules.relevant_location("location"))

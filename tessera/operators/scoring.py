@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tessera.functions import vocabulary as V
 from tessera.functions.rules import seniority, seniority_level
 from tessera.functions.text import c
+from tessera.operators.kept import stored
 from tessera.operators.taxonomy import GENERIC_TITLE, word
 
 #: A line end, a bullet, a sentence's end, or white space between a lower-case end and a capitalised word.
@@ -362,6 +363,32 @@ def stale(pairs: DataFrame, scores: DataFrame) -> DataFrame:
     return pairs.join(scores.select("job_id", "profile_id", "cache_key"), ["job_id", "profile_id", "cache_key"], "left_anti")
 
 
+def keyed(jobs: DataFrame, profiles: DataFrame, engine: str, most: int = 2000) -> DataFrame:
+    """(job_id, profile_id, cache_key) of every posting for every profile (profile_id, text, overrides): over the engine's
+    version, all that a score reads of the posting, and the profile's text and overrides."""
+    own = [F.col(x) if x in jobs.columns else F.lit(None) for x in ("title", "description", "department", "location", "employment_type", "family")]
+    evidence = F.to_json("job_evidence") if "job_evidence" in jobs.columns else F.lit(None)
+    body = jobs.select(F.col("id").alias("job_id"), cache_key(*own, evidence).alias("__body"))
+    who = profiles.select("profile_id", cache_key(F.col("text"), F.col("overrides") if "overrides" in profiles.columns else F.lit(None)).alias("__who"))
+    return with_profiles(body, who, most).select("job_id", "profile_id", cache_key(F.lit(engine), F.col("__body"), F.col("__who")).alias("cache_key"))
+
+
+def recompute(jobs: DataFrame, profiles: DataFrame, scores: DataFrame, idf: DataFrame, matrix: DataFrame, engine: str, force: bool = False) -> DataFrame:
+    """The scores after a run: those of profiles that are gone are dropped, those whose key is unchanged stay, and open
+    postings with another key are scored anew. Without profiles nothing changes: a registry that is not loaded looks so."""
+    if profiles.isEmpty():
+        return scores
+    live = jobs.where("status != 'closed'")
+    kept = scores.join(profiles.select("profile_id").distinct(), "profile_id", "left_semi").select(*scores.columns)
+    wanted = keyed(live, profiles, engine)
+    need = stored(wanted if force else stale(wanted, kept), "stale-scores")
+    rows = live.join(need.select(F.col("job_id").alias("id")).distinct(), "id", "left_semi")
+    made = stored(score_jobs(rows, profiles, idf, matrix), "new-scores").join(need, ["job_id", "profile_id"])  # a join over the expressions of a score would take the planner minutes
+    cols = {"score": F.col("score").cast("double"), "coverage": F.col("coverage").cast("double")}
+    made = made.select(*(cols.get(x, F.col(x)).alias(x) for x in scores.columns))
+    return kept.join(made.select("job_id", "profile_id"), ["job_id", "profile_id"], "left_anti").select(*scores.columns).unionByName(made)
+
+
 def best_profile(scores: DataFrame) -> DataFrame:
     """(job_id, profile_id, score): the best; of equals the first profile."""
     w = W.partitionBy("job_id").orderBy(F.col("score").desc_nulls_last(), "profile_id")

@@ -431,8 +431,8 @@ def never_empty(spark, sf):
 
 @query("SELECT o_orderkey AS id FROM orders WHERE date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-12-31') <= 30 AND o_orderdate <= DATE '1998-12-31'")
 def posted_within(spark, sf):
-    days = F.date_diff(F.lit("1998-12-31").cast("date"), F.col("posted_at").cast("date"))
-    return postings(spark, sf).where((days <= 30) & (days >= 0)).select("id")
+    rows = postings(spark, sf).where("posted_at <= '1998-12-31'")
+    return rows.where(S.posted_within(30, "1998-12-31")).select("id")
 
 
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -591,10 +591,13 @@ def board_slugs(spark, sf):
     return t(spark, sf, "customer").select("c_custkey", F.get(retail.slugs("c_name"), F.lit(0)).alias("a"))
 
 
-@query("SELECT item_id AS page_id, 'lever' AS provider, 'acme' AS board, 2::BIGINT AS n, 1 AS place FROM benchmark")
+@query("""WITH x AS (SELECT item_id AS page_id, 'lever' AS provider, 'acme' AS board, item_id % 3 + 1 AS n FROM benchmark UNION ALL SELECT item_id, 'greenhouse', 'acmesecurity', 2 FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT item_id, 'greenhouse', 'partner', 5 FROM benchmark WHERE item_id % 5 = 0)
+SELECT *, (row_number() OVER (PARTITION BY page_id ORDER BY n DESC, provider, board))::INT AS place FROM x""")
 def embedded_boards(spark, sf):
-    html = F.lit('<a href="https://jobs.lever.co/acme/1"></a><script src="//jobs.lever.co/acme"></script><a href="https://boards.greenhouse.io/partner">p</a>')
-    return inlined.embedded_boards(t(spark, sf, "benchmark").select(F.col("item_id").alias("page_id"), html.alias("html"), F.lit("acme-security").alias("hint")))
+    k = F.col("item_id")
+    html = F.concat("text", F.repeat(F.lit('<a href="https://jobs.lever.co/acme/1"></a>'), (k % 3 + 1).cast("int")), F.when(k % 2 == 0, r'"https:\/\/boards.greenhouse.io\/acmesecurity" //boards.greenhouse.io/acmesecurity').otherwise(""), F.repeat(F.lit('<a href="https://boards.greenhouse.io/partner">p</a>'), 5))
+    rows = t(spark, sf, "benchmark").select(k.alias("page_id"), html.alias("html"), F.when(k % 5 == 0, "").otherwise("acme-security").alias("hint"))
+    return inlined.embedded_boards(rows).withColumn("n", F.col("n").cast("long"))
 
 
 @query("SELECT c_custkey AS profile_id, 'backend' AS family, 2026 - (2010 + c_custkey % 15) AS years, CASE WHEN 2026 - (2010 + c_custkey % 15) <= 2 THEN 'junior' WHEN 2026 - (2010 + c_custkey % 15) <= 5 THEN 'mid' ELSE 'senior' END AS seniority, 75 AS evidence FROM customer")

@@ -314,6 +314,57 @@ def plan_ids(spark, sf):
     return t(spark, sf, "customer").select("c_custkey", text.snake_id("c_name").alias("plan_id"))
 
 
+@query("""SELECT doc_id AS id FROM documents WHERE (contains(lower(coalesce(substr(text, 1, 60), '') || ' ' || coalesce(text, '')), 'the') AND contains(lower(coalesce(substr(text, 1, 60), '') || ' ' || coalesce(text, '')), 'ing')) AND NOT (contains(lower(coalesce(substr(text, 1, 60), '')), 'and') OR contains(lower(coalesce(substr(text, 1, 60), '')), 'idiot')) AND doc_id % 40 <= 30""")
+def legacy_page(spark, sf):
+    rows = described(spark, sf).withColumn("posted_at", F.date_format(F.date_sub(F.lit("2026-01-31").cast("date"), (F.col("id") % 40).cast("int")), "yyyy-MM-dd"))
+    return S.legacy_page(rows, "The, ing", True, "both", "and, Idiot", False, 30, "2026-01-31").select("id")
+
+
+@query(BASE + "SELECT id, display_name, best_score FROM r WHERE status = 'seen' ORDER BY lower(display_name), best_score DESC NULLS LAST, id LIMIT 40")
+def legacy_order(spark, sf):
+    from tessera.plans.catalogue import engine
+
+    return engine(spark, sf).rows(S.Filters(status="seen")).orderBy(*S.legacy_order("company")).limit(40).select("id", "display_name", "best_score")
+
+
+@query("""WITH c AS (SELECT c_custkey, c_custkey % 3 AS k FROM customer), h AS (SELECT s_suppkey % 40 AS c, min(s_suppkey) AS p FROM supplier GROUP BY 1)
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'Haifa' WHEN o_orderkey % 4 = 1 THEN 'Lod' WHEN k = 0 THEN 'Netanya' WHEN h.c IS NOT NULL THEN 'Holon' WHEN o_orderkey % 4 = 2 THEN 'Israel' END AS city_or_place FROM orders JOIN c ON c_custkey = o_custkey LEFT JOIN h ON h.c = o_custkey""")
+def locations_inferred(spark, sf):
+    from tessera.operators import companies as C
+
+    place = F.expr("CASE id % 4 WHEN 0 THEN 'Haifa, Israel' WHEN 2 THEN 'Israel' END")
+    rows = postings(spark, sf).select("id", "company_id", F.when(F.col("id") % 4 == 1, "Engineer, Lod").otherwise("Engineer").alias("title"), F.lit("").alias("description"), place.alias("location"))
+    own = companies(spark, sf).withColumn("address_city", F.when(F.col("id") % 3 == 0, "Netanya"))
+    hints = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("place"), F.format_string("Customer#%09d Ltd.", F.col("s_suppkey") % 40).alias("company"), F.lit("Holon").alias("city"))
+    return C.located(rows, own, hints).select("id", F.coalesce("city", "location").alias("city_or_place"))
+
+
+@query("""WITH x AS (SELECT l_orderkey AS job_id, l_linenumber AS p, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2) SELECT job_id, p::VARCHAR AS profile_id FROM x JOIN orders ON o_orderkey = job_id WHERE p IN (1, 2) AND (job_id % 3 = 0 OR p = 2)""")
+def stale_scores(spark, sf):
+    """Pairs to score anew: the postings whose text has changed (every third), and the profile whose text has."""
+    from tessera.operators import scoring
+
+    jobs_ = postings(spark, sf).select("id", "title", "description")
+    people = spark.createDataFrame([("1", "cv one"), ("2", "cv two")], "profile_id string, text string")
+    before = people.withColumn("text", F.when(F.col("profile_id") == "2", "older").otherwise(F.col("text")))
+    stored = scoring.keyed(jobs_.withColumn("title", F.when(F.col("id") % 3 == 0, "older").otherwise(F.col("title"))), before, "v1")
+    have = scores(spark, sf).select("job_id", "profile_id").distinct()
+    return scoring.stale(scoring.keyed(jobs_, people, "v1"), stored).join(have, ["job_id", "profile_id"], "left_semi").select("job_id", "profile_id")
+
+
+@query("""WITH r AS (SELECT s_suppkey, s_name, s_suppkey * 4 AS k FROM supplier), m AS (SELECT r.*, o_orderkey FROM r LEFT JOIN orders ON o_orderkey = k AND o_custkey = s_suppkey % 100 + 1)
+SELECT count(*) AS jobs, count(*) FILTER (referral) AS referrals, count(*) FILTER (fresh) AS added FROM (SELECT o_orderkey IN (SELECT o_orderkey FROM m WHERE o_orderkey IS NOT NULL) AS referral, false AS fresh FROM orders UNION ALL SELECT true, true FROM m WHERE o_orderkey IS NULL)""")
+def referrals_merged(spark, sf):
+    who = F.format_string("Customer#%09d Ltd.", F.col("s_suppkey") % 100 + 1)
+    asked = t(spark, sf, "supplier").select(who.alias("company"), F.lit(None).cast("array<string>").alias("also_posted_as"), F.concat(F.lit("Referral "), "s_name").alias("title"), F.concat(F.lit("https://jobs.example.com/"), (F.col("s_suppkey") * 4).cast("string"), F.lit("?utm_source=a")).alias("url"), F.lit("Dana").alias("contact"))
+    kept = stored_postings(spark, sf).withColumn("id", F.col("id").cast("string"))
+    merged = jobs.merge_referrals(kept, companies(spark, sf), asked, "2026-01-01").withColumn("company", F.lit("x"))
+    # an address that another company's posting has would give its row's identity twice: give the new ones their own
+    merged = merged.withColumn("url", F.when(F.col("job_id").isNull(), F.concat("url", F.lit("&new=1"))).otherwise(F.col("url")))
+    out, _ = jobs.with_referrals(kept, merged, companies(spark, sf), "2026-01-01")
+    return out.agg(F.count("*").alias("jobs"), F.count_if("is_referral").alias("referrals"), F.count_if(F.col("is_referral") & (F.col("first_seen") == "2026-01-01")).alias("added"))
+
+
 # ---------------------------------------------------------------- caches
 
 

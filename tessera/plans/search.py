@@ -225,6 +225,32 @@ def legacy_match(text: Column, terms: str, every: bool) -> Column:
     return reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), found) if found else F.lit(True)
 
 
+def posted_within(days: int, today: str, posted_at: Column | str = "posted_at") -> Column:
+    """Whole days since the posting's date, at most ``days``; a posting without a date is left out."""
+    since = F.date_diff(F.lit(today).cast("date"), (F.col(posted_at) if isinstance(posted_at, str) else posted_at).try_cast("date"))
+    return F.coalesce(since <= days, F.lit(False))
+
+
+def legacy_page(found: DataFrame, terms: str = "", every: bool = True, scope: str = "both", exclude: str = "", exclude_every: bool = False, days: int | None = None, today: str = "") -> DataFrame:
+    """The rows the first version's page shows: substrings in title, description or both, any or all of them, without rows
+    whose title has excluded ones."""
+    title, text = F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("description", F.lit("")))
+    hay = {"title": title, "description": text}.get(scope, F.concat(title, F.lit(" "), text))
+    keep = legacy_match(hay, terms, every)
+    if csv(exclude):
+        keep = keep & ~legacy_match(title, exclude, exclude_every)
+    if days is not None:
+        keep = keep & posted_within(days, today)
+    return found.where(keep)
+
+
+def legacy_order(sort: str) -> list[Column]:
+    """The first page's orders; the id breaks ties."""
+    score = F.col("best_score").desc_nulls_last()
+    keys = {"date": [F.coalesce("posted_at", F.lit("")).desc()], "company": [F.lower("display_name").asc(), score]}
+    return [*keys.get(sort, [score]), F.col("id").asc()]
+
+
 def exclude_suggestions(titles: DataFrame, stop: list[str], n: int = 15) -> DataFrame:
     """Words of three or more letters in most titles."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(r"(\p{L}{3,})"), 1))

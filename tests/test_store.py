@@ -268,3 +268,92 @@ def test_command_line(spark, tmp_path, capsys):
         assert cli.main(["--root", f"file://{tmp_path}", *args]) == 0
     said = capsys.readouterr().out
     assert "1 in all" in said and "'kept': 1" in said and s.read("search_index").count() == 5 and spark.read.json(f"{tmp_path}/out").count() == 1
+
+
+@pytest.fixture(scope="module")
+def site():
+    """A web site on this machine."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def answer(self, body: bytes, kind="text/html; charset=utf-8", status=200):
+            self.send_response(status)
+            self.send_header("Content-Type", kind)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def do_GET(self):
+            if self.path == "/old":
+                self.send_response(302)
+                self.send_header("Location", "/page")
+                self.end_headers()
+            elif self.path.startswith("/page"):
+                self.answer("<p>é</p>".encode())
+            elif self.path == "/data.json":
+                self.answer(b"{}", "application/json")
+            elif self.path.startswith("/board/"):
+                _, _, board, start, size = self.path.split("/")
+                n = {"a": 23, "b": 0, "bad": 15}[board]
+                if board == "bad" and int(start) >= 10:
+                    return self.answer(b"oops", "application/json")
+                items = [{"id": i} for i in range(int(start), min(n, int(start) + int(size)))]
+                self.answer(json.dumps({"data": {"items": items}, "n": n}).encode(), "application/json")
+            else:
+                self.answer(b"", status=404)
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            items = list(range(asked["offset"], min(45, asked["offset"] + asked["limit"])))
+            self.answer(json.dumps({"jobPostings": items, "total": 45}).encode(), "application/json")
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_fetch(spark, site):
+    from tessera.sources import fetch
+
+    asked = spark.createDataFrame([(f"{site}/{p}",) for p in ("page", "page", "old", "none", "data.json")] + [("http://127.0.0.1:1/x",), ("no address",), (None,)], "url string")
+    got = {r.requested_url: r for r in fetch.fetch(asked, delay=0.0).collect()}
+    assert len(got) == 6
+    one = lambda p: got[f"{site}/{p}"]
+    assert (one("page").status, one("page").html, one("page").error) == (200, "<p>é</p>", None)
+    assert (one("old").url, one("old").html) == (f"{site}/page", "<p>é</p>")
+    assert (one("none").status, one("none").error) == (404, "http 404") and (one("data.json").html, one("data.json").error) == (None, "type application/json")
+    assert got["http://127.0.0.1:1/x"].status is None and got["no address"].error == "ValueError"
+    assert [len(r.html) for r in fetch.fetch(spark.createDataFrame([(f"{site}/page/long",)], "url string"), delay=0.0, most=3).collect()] == [3]
+
+
+def test_paged_boards(spark, site):
+    from tessera.sources import fetch
+
+    how = {"url": site + "/board/{board}/{start}/{size}", "items": "data.items", "total": "n", "size": "10", "delay": "0"}
+    items = fetch.boards(spark, "smartrecruiters", ["a", "b", "bad"], **how)
+    rows = items.collect()
+    assert sorted(json.loads(r.item)["id"] for r in rows if r.board == "a") == list(range(23)) and not [r for r in rows if r.board == "b"]
+    assert [r.error for r in rows if r.board == "bad" and r.error] == ["not json"] and {r.board for r in fetch.whole_boards(items).collect()} == {"a"}
+    assert fetch.boards(spark, "smartrecruiters", ["a"], **{**how, "cap": "10"}).count() == 10
+    assert fetch.boards(spark, "smartrecruiters", ["a"], **{**how, "total": ""}).count() == 23
+    posted = fetch.boards(spark, "workday", ["x"], url=site + "/jobs", delay="0").collect()
+    assert sorted(int(r.item) for r in posted) == list(range(45))
+
+
+def test_recompute_scores_only_what_changed(spark):
+    kind = "profile_id string, text string, family string, families map<string,double>, seniority string, years int, education array<string>, certifications array<string>, languages array<string>, places array<string>, roles array<string>, evidence int, skills array<struct<canonical:string,strength:string,recency:int>>"
+    p = spark.createDataFrame([("p1", "cv", "backend", {"backend": 1.0}, "mid", 7, [], [], [], [], [], 80, [("python", "strong", 1)])], kind)
+    jobs = spark.createDataFrame([(str(i), "Backend Engineer", f"Requirements:\n- Python is a must, at company {i} as everywhere", "closed" if i == 3 else "new") for i in range(5)], "id string, title string, description string, status string")
+    idf, matrix = spark.createDataFrame([("python", 2.0)], "term string, idf double"), spark.createDataFrame([("backend", "backend", 1.0)], "a string, b string, affinity double")
+    empty = spark.createDataFrame([("0", "gone", 5.0, 1.0, "full", [], "k")], "job_id string, profile_id string, score double, coverage double, confidence string, matched array<string>, cache_key string")
+    first = scoring.recompute(jobs, p, empty, idf, matrix, "v1").persist()
+    assert {(r.job_id, r.profile_id) for r in first.collect()} == {(i, "p1") for i in "0124"} and all(r.score > 50 for r in first.collect())
+    marked = first.withColumn("score", F.lit(-1.0))
+    again = {r.job_id: r.score for r in scoring.recompute(jobs.withColumn("title", F.when(F.col("id") == "2", "Senior Backend Engineer").otherwise(F.col("title"))), p, marked, idf, matrix, "v1").collect()}
+    assert [i for i, s in sorted(again.items()) if s != -1] == ["2"]
+    assert all(r.score != -1 for r in scoring.recompute(jobs, p, marked, idf, matrix, "v2").collect())
+    assert scoring.recompute(jobs, p.limit(0), marked, idf, matrix, "v2").count() == 4
