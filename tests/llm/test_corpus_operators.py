@@ -861,3 +861,27 @@ def test_keep_one(spark, sample):
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(ids))
     assert set(ids) == {r.component_id for r in simhash.components(d).collect()}
+
+
+# ---------------------------------------------------------------- what they share
+
+
+def test_shared_folder_and_batches(spark):
+    from types import SimpleNamespace
+
+    from tessera.llm import common
+
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda k, d: None)))
+    with pytest.raises(ValueError):
+        common.shared_root(cluster)
+    asked = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda k, d: "hdfs://x/y/")))
+    assert common.shared_root(asked) == "hdfs://x/y"
+    before = spark.conf.get(common.BATCH)
+    with pytest.raises(KeyError), common.batch_rows(spark, 7):
+        assert spark.conf.get(common.BATCH) == "7"
+        raise KeyError
+    assert spark.conf.get(common.BATCH) == before
+    with common.batch_rows(spark, 3):
+        common.arrow_rows(spark)
+        assert spark.conf.get(common.BATCH) == "3"  # a session that allows fewer keeps its setting
+    assert common.fresh(spark.createDataFrame([], "A int, _b int"), "a", "b", "_b", "c") == ["_a", "b", "__b", "c"]

@@ -34,3 +34,31 @@ def test_stages(spark):
     packed = docs.toPandas()
     assert packed[packed.piece == 0].shape[0] == len(seen[4][1])
     assert packed.groupby("sequence_id").length.sum().max() <= 2048
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, __row string, __fp string, __hash int, edge string, length string"
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_rows(spark, tmp_path, empty):
+    """Nulls in every column, empty and very long texts, repeated rows and ids, columns with names the stages use, no rows."""
+    import random
+
+    rng = random.Random(2)
+    say = lambda n, letters="abcdefgh": " ".join("".join(rng.choices(letters, k=rng.randint(2, 6))) for _ in range(n)) + "."
+    rows = [(i, say(60, "abcdefgh" if i % 2 else "stuvwxyz"), "aa" if i % 2 else "zz", f"s{i % 3}") for i in range(60)]
+    rows += [(7, rows[7][1], "aa", "s1")] * 30 + [(None, rows[5][1], "aa", None)] * 10 + [(100, None, None, None), (101, "", "aa", "s0"), (102, "²", "aa", "s0"), (103, say(40_000), "aa", "s2"), (7, say(50), "aa", "s1")]
+    made = [(i, t, lang, s, None if t is None else len(t), "r", "f", 1, "e", "x") for i, t, lang, s in rows]
+    docs = spark.createDataFrame([] if empty else made, DOCS).repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([] if empty else [(i, 1 if i < 50 else 0, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), docs.schema)
+        assert docs.columns == columns, name
+        assert name == "mixing sources" or docs.count() <= before
+        assert {(r["__row"], r["__fp"], r.edge) for r in docs.collect()} <= {("r", "f", "e")}
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert len([r for r in packed if r.piece == 0]) == docs.count() and (empty == (not packed))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
