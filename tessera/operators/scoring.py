@@ -260,7 +260,8 @@ def match(jobs: DataFrame, profiles: DataFrame, idf: DataFrame, matrix: DataFram
 
     (id, profile_id, must, senior, nice, evidence, signature, clashes, unmet, missing, gap, fit, named, chars); clashes are
     (affinity, weight) of matched must-haves that read as another family than the posting's. All of a posting's
-    requirements are matched within its row: there is no shuffle of postings."""
+    requirements are matched within its row: there is no shuffle of postings. Postings that have been read already (see
+    ``extract``) are not read again."""
     known = idf.agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("__idf"))  # one row, of a vocabulary
     near = matrix.groupBy("a", "b").agg(F.max("affinity").alias("x")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0000", "a", "b"), "x"))).alias("__near"))
     known = known.crossJoin(near)  # one row each, of vocabularies
@@ -268,7 +269,8 @@ def match(jobs: DataFrame, profiles: DataFrame, idf: DataFrame, matrix: DataFram
     people = profiles.join(fits(weights, matrix), "profile_id", "left").crossJoin(F.broadcast(known))
     people = people.select(*(F.col(c).alias(f"p_{c}") if c != "profile_id" else F.col(c) for c in people.columns))
     along = [x for x in ("title", "job_evidence") if x in jobs.columns]
-    asked = extract(jobs).select("id", F.col("family"), "seniority", "requirements", F.length("description").alias("chars"), *along)
+    read = jobs if {"requirements", "family", "seniority"} <= set(jobs.columns) else extract(jobs)
+    asked = read.select("id", F.col("family"), "seniority", "requirements", F.length("description").alias("chars"), *along)
     rows = with_profiles(asked, people)
     same = F.coalesce(F.col("p_family") == F.col("family"), F.lit(False))
 

@@ -355,7 +355,8 @@ def extract_requirements(spark, sf):
 def score_jobs(spark, sf):
     p = spark.createDataFrame([("p1", "backend", {"backend": 1.0}, "senior", 7, ["BSc"], [], ["English"], [], ["the and of with services"], 80, [("python", "strong", 1)])], "profile_id string, family string, families map<string,double>, seniority string, years int, education array<string>, certifications array<string>, languages array<string>, places array<string>, roles array<string>, evidence int, skills array<struct<canonical:string,strength:string,recency:int>>")
     matrix = spark.createDataFrame([("backend", "backend", 1.0)], "a string, b string, affinity double")
-    rows = described(spark, sf, True).select("id", "title", F.concat(F.lit("Requirements: "), "description").alias("description"))
+    texts = described(spark, sf, True).select("id", "title", F.concat(F.lit("Requirements: "), "description").alias("description"))
+    rows = maintained(spark, sf, "requirements", lambda: scoring.extract(texts))
     return scoring.score_jobs(rows, p, spark.createDataFrame([("python", 2.0)], "term string, idf double"), matrix)
 
 
