@@ -85,6 +85,11 @@ def batch_rows(spark: SparkSession, rows: int = 512) -> Iterator[None]:
         spark.conf.set(BATCH, before)
 
 
+def give_back() -> None:
+    """Return memory that a finished batch no longer needs, before the next one comes: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Each name, with as many underscores in front as it takes to clash with no column of ``df``."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -106,7 +111,7 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 21, lead: int = 0) -> Iterator[tuple[int, int, int, np.ndarray, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 19, lead: int = 0) -> Iterator[tuple[int, int, int, np.ndarray, int]]:
     """Cut a text buffer into pieces of about ``most`` bytes: (start, end, first text, text of each byte, lead).
 
     Small texts share a piece; a longer one is cut, and each later piece of it starts ``lead`` bytes early."""

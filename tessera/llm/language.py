@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import arrow_rows, batch_rows, crc32_mod, slices, table, text_buffer
+from tessera.llm.common import arrow_rows, batch_rows, crc32_mod, give_back, slices, table, text_buffer
 from tessera.operators.kept import dealt
 
 ORDER, PER_LANG, BLOCK = 3, 2000, 8
@@ -50,6 +50,7 @@ def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of (ORDER + 1)-byte grams by language."""
     for b in batches:
+        give_back()
         langs = b.column("lang").to_pylist()
         for lang in dict.fromkeys(langs):
             texts = b.column("text").filter(pa.array([x == lang for x in langs]))
@@ -174,7 +175,7 @@ class Model:
         """Bits of each text in each language."""
         data, offsets = text_buffer(texts)
         out = np.zeros((len(offsets) - 1, len(self.langs)))
-        for a, b, first, owner, lead in slices(offsets, 1 << 20, ORDER):
+        for a, b, first, owner, lead in slices(offsets, 1 << 18, ORDER):
             sym = data[a:b].astype(np.uint32)
             begin = np.ones(len(owner), bool)
             begin[1:] = owner[1:] != owner[:-1]
@@ -233,6 +234,7 @@ def predict(spark: SparkSession, model: Model, text: str = "text") -> Column:
     @F.arrow_udf(RESULT)
     def run(texts: pa.Array) -> pa.Array:
         langs, scores = shared.value.predict(texts)
+        give_back()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], ["lang", "score"])
 
     return run(F.col(text).cast("string"))

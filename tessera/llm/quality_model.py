@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import arrow_rows, batch_rows, crc32_mod, slices, table, text_buffer
+from tessera.llm.common import arrow_rows, batch_rows, crc32_mod, give_back, slices, table, text_buffer
 from tessera.operators.kept import dealt
 
 SAMPLE, THRESHOLD = 20_000, 0.3
@@ -156,6 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
 def score_column(trees: Trees, text: str = "text") -> Column:
     @F.arrow_udf(T.DoubleType())
     def score(texts: pa.Array) -> pa.Array:
+        give_back()
         return pa.array(trees.score(statistics(texts)))
 
     return score(F.coalesce(F.col(text).cast("string"), F.lit("")))

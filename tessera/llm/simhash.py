@@ -18,6 +18,7 @@ other columns are ignored by ``components`` and kept by ``keep_one``."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import batch_rows, fresh, table, written
+from tessera.llm.common import batch_rows, fresh, give_back, table, written
 from tessera.operators.kept import dealt
 
 THRESHOLD, SEGMENT, BLOCK = 4, 31, 4096
@@ -47,16 +48,17 @@ def fingerprints(texts: list[bytes | None], width: int = 4, seed: int = 42) -> n
         lens = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(lens + 1) - 1
         spans = zip((ends - lens)[: 1 - width].tolist(), ends[width - 1 :].tolist())
-        hashes = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in spans], np.uint64)
-        votes = np.zeros(64, np.int64)
-        for a in range(0, len(hashes), 1 << 16):
-            votes += np.unpackbits(hashes[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[i] = np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0]
+        votes, n = np.zeros(64, np.int64), 0
+        while part := [xxh64_intdigest(joined[a:b], seed) for a, b in islice(spans, 1 << 14)]:
+            votes += np.unpackbits(np.array(part, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            n += len(part)
+        out[i] = np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0]
     return out
 
 
 @F.arrow_udf(T.LongType())
 def fingerprint(texts: pa.Array) -> pa.Array:
+    give_back()
     return pa.array(fingerprints(texts.cast(pa.binary()).to_pylist()).view(np.int64))
 
 
