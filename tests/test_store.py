@@ -357,3 +357,22 @@ def test_recompute_scores_only_what_changed(spark):
     assert [i for i, s in sorted(again.items()) if s != -1] == ["2"]
     assert all(r.score != -1 for r in scoring.recompute(jobs, p, marked, idf, matrix, "v2").collect())
     assert scoring.recompute(jobs, p.limit(0), marked, idf, matrix, "v2").count() == 4
+
+
+def test_a_board_of_many_plans_is_not_one_tasks(spark):
+    kind = F.expr("CASE id % 3 WHEN 0 THEN 'ats_api' WHEN 1 THEN 'external_board' ELSE 'html_listing' END")
+    plans = spark.range(9000).select(F.col("id").alias("company_id"), kind.alias("kind"), F.expr("CASE WHEN id < 8980 THEN 'lever:hot' WHEN id < 8990 THEN 'lever:other' END").alias("board")).coalesce(1)
+    fetched = spark.createDataFrame([(b, str(i), None, None) for i, b in enumerate(["lever:hot", "lever:other", "lever:nobody", None] * 5)], "board string, title string, url string, location string").coalesce(1)
+    want = sorted((i, str(j), "ats_api" if i % 3 == 0 else "external_board") for i in range(8990) if i % 3 < 2 for j in range(0 if i < 8980 else 1, 20, 4))
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        got = discovery.by_strategy(plans, fetched).select("company_id", "title", "source", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.company_id, r.title, r.source) for r in got) == want
+    tasks = [r.task for r in got]
+    assert max(map(tasks.count, set(tasks))) < 0.75 * len(want)
