@@ -47,12 +47,14 @@ def has_term(tokens: Column, term: list[str]) -> Column:
 
 
 def matches(raw: str | None, title: Column | str, description: Column | str, scope: str = "all") -> Column:
-    """All terms in title or description (in the title alone with scope title); a query without terms matches nothing."""
+    """All terms in title or description (in one of them alone with scope title or text); a query without terms matches
+    nothing."""
     terms = query_terms(raw)
     found = F.lit(bool(terms))
     t, d = search_tokens(title), search_tokens(description)
     for term in terms:
-        found = found & (has_term(t, term) if scope == "title" else has_term(t, term) | has_term(d, term))
+        hits = {"title": has_term(t, term), "text": has_term(d, term)}
+        found = found & hits.get(scope, hits["title"] | hits["text"])
     return found
 
 

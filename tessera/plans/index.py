@@ -44,12 +44,13 @@ def _all(tests: list[Column]) -> Column:
 
 def having(index: DataFrame, raw: str, scope: str = "all", every: bool = True) -> DataFrame:
     """(id) of postings that have all of a query's terms, or any of them (``every`` false), in title or description, or with
-    scope title in the title. A term without a token is nowhere; a query without terms finds nothing."""
+    scope title or text in that one alone. A term without a token is nowhere; a query without terms finds nothing."""
     terms = query_terms(raw)
     words = sorted({w for t in terms for w in t})
     rows = index.where(F.col("token").isin(words)) if words else index.where(F.lit(False))
-    if scope == "title":
-        rows = rows.where(F.size("title_at") > 0)
+    fields = {"title": ("title_at",), "text": ("text_at",)}.get(scope, ("title_at", "text_at"))
+    if len(fields) == 1:
+        rows = rows.where(F.size(fields[0]) > 0)
     at = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", F.struct("title_at", "text_at")))).alias("at"))  # a query's tokens at most
 
     def has(term: list[str]) -> Column:
@@ -58,7 +59,6 @@ def having(index: DataFrame, raw: str, scope: str = "all", every: bool = True) -
         if len(term) == 1:
             return F.map_contains_key("at", term[0])
         own = [F.try_element_at("at", F.lit(w)) for w in term]
-        fields = ("title_at",) if scope == "title" else ("title_at", "text_at")
         hit = F.lit(False)
         for field in fields:
             hit = hit | _phrase([x[field] for x in own])

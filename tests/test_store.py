@@ -382,3 +382,23 @@ def test_every_contact_of_a_page_is_given(spark):
     own = spark.range(1400).select((F.col("id") % 2).alias("company_id"), F.format_string("N%04d", "id").alias("name"), F.lit("x").alias("position"), F.col("id").cast("string").alias("url"))
     got = reads.contacts_of(own, spark.createDataFrame([(1,), (1,)], "company_id long")).collect()
     assert [(r.company_id, r.url, r.place) for r in sorted(got, key=lambda r: r.place)] == [(1, str(2 * i + 1), i + 1) for i in range(700)]
+
+
+def test_a_word_that_the_title_cuts_is_not_the_texts(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    pad = lambda end: ("word " * 12)[: 60 - len(end)] + end
+    texts = [pad(" of the") + "rein, this", pad(" of the") + " this", pad(" the") + "rein of the this", pad(" this") + "tle the", "of the this", pad(" und") + "er", pad(" in") + "of of the", None, "of therein this"]
+    spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name, want in (("fts_and", [1, 2, 4]), ("fts_title", [5])):
+        got = sorted(r.id for r in entry.queries()[name](spark, str(tmp_path)).collect())
+        assert got == want == sorted(x for (x,) in con.execute(entry.oracle_sql()[name]).fetchall()), name
+    jobs = spark.createDataFrame([(i, "s", (x or "")[:60], x) for i, x in enumerate(texts)], "id int, company_id string, title string, description string")
+    own = spark.createDataFrame([("s", "S")], "id string, display_name string")
+    for f in (S.Filters(q="the this"), S.Filters(q="of.the", exclude="in"), S.Filters(q="und", scope="title"), S.Filters(q="+")):
+        plain, indexed = S.Search(jobs, own, cut_titles=True), S.Search(jobs, own, index=index.build(jobs), cut_titles=True)
+        assert {r.id for r in plain.rows(f).collect()} == {r.id for r in indexed.rows(f).collect()}, f
