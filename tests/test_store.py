@@ -394,7 +394,7 @@ def test_a_word_that_the_title_cuts_is_not_the_texts(spark, tmp_path):
     spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    for name, want in (("fts_and", [1, 2, 4]), ("fts_title", [5])):
+    for name, want in (("fts_and", [1, 2, 4]), ("fts_phrase_exclude", [1, 2, 4]), ("fts_title", [5])):
         got = sorted(r.id for r in entry.queries()[name](spark, str(tmp_path)).collect())
         assert got == want == sorted(x for (x,) in con.execute(entry.oracle_sql()[name]).fetchall()), name
     jobs = spark.createDataFrame([(i, "s", (x or "")[:60], x) for i, x in enumerate(texts)], "id int, company_id string, title string, description string")
