@@ -14,6 +14,12 @@ from tessera.functions import vocabulary as V
 
 #: Accented letters that search folds, and what they become.
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿšžœ", "aaaaaaceeeeiiiinooooouuuuyyszo")
+#: The same with capitals, and the capitals that lower-case by their neighbours or into two characters, folded one by one.
+FOLDS = (ACCENTS[0] + ACCENTS[0].upper() + "\u212bİΣ", ACCENTS[1] * 2 + "aiσ")
+#: Letters and digits of Unicode 14 and 15, which patterns of Java 17 don't know as such.
+NEWER = "870-887 889-88e 8b5 8c8-8c9 c5d cdd 170d 171f 1b4c 2c2f 2c5f 9ffd-9fff a7c0-a7c1 a7d0-a7d1 a7d3 a7d5-a7d9 a7f2-a7f4 10570-1057a 1057c-1058a 1058c-10592 10594-10595 10597-105a1 105a3-105b1 105b3-105b9 105bb-105bc 10780-10785 10787-107b0 107b2-107ba 10f70-10f81 11071-11072 11075 1123f-11240 11740-11746 11ab0-11abf 11f02 11f04-11f10 11f12-11f33 11f50-11f59 12f90-12ff0 1342f 13441-13446 16a70-16abe 16ac0-16ac9 1aff0-1aff3 1aff5-1affb 1affd-1affe 1b11f-1b122 1b132 1b155 1d2c0-1d2d3 1df00-1df1e 1df25-1df2a 1e030-1e06d 1e290-1e2ad 1e4d0-1e4eb 1e4f0-1e4f9 1e7e0-1e7e6 1e7e8-1e7eb 1e7ed-1e7ee 1e7f0-1e7fe 2a6de-2a6df 2b735-2b739 31350-323af"
+#: Runs of letters and digits.
+TOKEN = r"([\p{L}\p{N}[\x{870}-\x{10ffff}&&[" + re.sub(r"[0-9a-f]+", r"\\x{\g<0>}", NEWER).replace(" ", "") + "]]]+)"
 
 
 def c(x: Column | str) -> Column:
@@ -27,7 +33,7 @@ def words_pattern(terms: list[str]) -> str:
 
 def search_tokens(text: Column | str) -> Column:
     """Lower-case, accent-free runs of letters and digits."""
-    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(c(text), F.lit(""))), *ACCENTS), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    return F.regexp_extract_all(F.lower(F.translate(F.coalesce(c(text), F.lit("")), *FOLDS)), F.lit(TOKEN), 1)
 
 
 def query_terms(raw: str | None) -> list[list[str]]:

@@ -64,7 +64,8 @@ def described(spark, sf, deal: bool = False):
 
 
 def sources(spark, sf):
-    return t(spark, sf, "documents").groupBy(F.col("source").alias("id")).agg(F.count("*").cast("int").alias("connection_count")).select("id", F.col("id").alias("display_name"), "connection_count")
+    """Sources as companies; documents without one share that named ''."""
+    return t(spark, sf, "documents").groupBy(F.coalesce("source", F.lit("")).alias("id")).agg(F.count("*").cast("int").alias("connection_count")).select("id", F.col("id").alias("display_name"), "connection_count")
 
 
 _kept: dict[tuple[str, str, str], DataFrame] = {}
@@ -86,7 +87,7 @@ def engine(spark, sf):
 
 def text_search(spark, sf):
     """Search over the described postings, with their tokens kept as an index."""
-    own = described(spark, sf)
+    own = described(spark, sf).na.fill("", ["company_id"])
     return S.Search(own, sources(spark, sf), index=maintained(spark, sf, "search-index", lambda: index.build(described(spark, sf, True))), cut_titles=True)
 
 

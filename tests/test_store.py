@@ -402,3 +402,39 @@ def test_a_word_that_the_title_cuts_is_not_the_texts(spark, tmp_path):
     for f in (S.Filters(q="the this"), S.Filters(q="of.the", exclude="in"), S.Filters(q="und", scope="title"), S.Filters(q="+")):
         plain, indexed = S.Search(jobs, own, cut_titles=True), S.Search(jobs, own, index=index.build(jobs), cut_titles=True)
         assert {r.id for r in plain.rows(f).collect()} == {r.id for r in indexed.rows(f).collect()}, f
+
+
+def test_a_search_folds_letters_as_its_sql_and_needs_no_source(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    texts = ["of the İn", "of the İ n", "of İthe", "OF THE ΣΑΣ", "of\U0001e4d0the", "of the \U0001e030in", "of the \u0870 in", "of Þe the of", "Óf the this", "of the this", "ÓF THE THIS", None, "of-the a\u0307nd", "of the"]
+    rows = [(i, x, "en", None if i % 3 == 0 else "s", len(x or "")) for i, x in enumerate([*texts, *texts])]
+    rows += [(9, *rows[9][1:]), (10, *rows[10][1:])]  # copies of a row
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name, n in (("fts_phrase_exclude", 18), ("fts_and", 8), ("fts_title", 0)):
+        got = sorted(r.id for r in entry.queries()[name](spark, str(tmp_path)).collect())
+        assert got == sorted(x for (x,) in con.execute(entry.oracle_sql()[name]).fetchall()), name
+        assert len(got) == n, name
+
+
+def test_index_is_built_in_runs_and_without_a_shuffle(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    rows = [(i, rng.choices("abc", k=rng.randint(0, 2)), rng.choices("abcdefgh", k=rng.choice((0, 3, 40)))) for i in range(400)]
+    monkeypatch.setattr(index, "WORDS", 1500)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[i : i + 150])], ["id", "title", "text"]) for i in range(0, 400, 150)]
+    runs = [x.to_pylist() for x in index._runs(iter(batches))]
+    assert len(runs) > 2 and all([(r["token"], r["id"]) for r in x] == sorted((r["token"], r["id"]) for r in x) for x in runs)
+    at = lambda words, w: [k for k, x in enumerate(words) if x == w]
+    want = {(w, i): (at(t, w), at(d, w)) for i, t, d in rows for w in {*t, *d}}
+    assert {(r["token"], r["id"]): (r["title_at"], r["text_at"]) for x in runs for r in x} == want and sum(map(len, runs)) == len(want)
+    assert list(index._runs(iter([batches[0].slice(0, 0)]))) == []
+    jobs = spark.createDataFrame([(i, " ".join(t), " ".join(d)) for i, t, d in rows], "id int, title string, description string")
+    built = index.build(jobs)
+    assert "Exchange" not in built._jdf.queryExecution().executedPlan().toString()
+    assert {(r.token, r.id): (r.title_at, r.text_at) for r in built.collect()} == want
