@@ -3,6 +3,7 @@
 import io
 import json
 import random
+import re
 import zipfile
 
 import pytest
@@ -438,3 +439,14 @@ def test_index_is_built_in_runs_and_without_a_shuffle(spark, monkeypatch):
     built = index.build(jobs)
     assert "Exchange" not in built._jdf.queryExecution().executedPlan().toString()
     assert {(r.token, r.id): (r.title_at, r.text_at) for r in built.collect()} == want
+
+
+def test_repeated_postings_are_never_broadcast(spark):
+    plans = spark.range(5020).select(F.col("id").alias("company_id"), F.lit("ats_api").alias("kind"), F.expr("CASE WHEN id < 5000 THEN 'lever:hot' ELSE 'lever:other' END").alias("board"))
+    none = F.lit(None).cast("string")
+    fetched = spark.range(9).select(F.expr("CASE id % 3 WHEN 0 THEN 'lever:hot' WHEN 1 THEN 'lever:other' END").alias("board"), F.col("id").cast("string").alias("title"), none.alias("url"), none.alias("location"))
+    found = discovery.by_strategy(plans, fetched)
+    joins = re.findall(r"(\w+Join) \[board#\d+, block#\d+", found._jdf.queryExecution().sparkPlan().toString())
+    assert joins == ["SortMergeJoin"]
+    want = [(i, str(j)) for i in range(5020) for j in range(0 if i < 5000 else 1, 9, 3)]
+    assert sorted((r.company_id, r.title) for r in found.collect()) == want
