@@ -177,10 +177,16 @@ def domain_strength(roles: Column, text: Column) -> Column:
     return F.when(first >= 3, "strong").when(first >= 1, "weak").otherwise("none")
 
 
-def coverage(weight: Column, strength: Column) -> Column:
-    """Aggregate: share of requirement weight that is matched, 0 to 100, rounded half to even; 100 for none."""
-    total = F.sum(weight)
-    return F.when(F.count(weight) == 0, 100).when(total > 0, F.bround(100.0 * F.sum(strength * weight) / total)).otherwise(0).cast("int")
+def coverage(weight: Column, strength: Column, place: Column) -> Column:
+    """Aggregate: share of requirement weight that is matched, 0 to 100, rounded half to even; 100 for none.
+
+    Doubles are added in the order of ``place``: where the share is half a point, another order rounds to another number, and
+    a plain sum's order depends on how the rows are split and on which task ends first."""
+    zero = F.lit(0.0)
+    rows = F.array_sort(F.collect_list(F.when(weight.isNotNull(), F.struct(place.alias("place"), weight.cast("double").alias("total"), (strength * weight).cast("double").alias("part")))))
+    added = lambda s, r: F.struct(*((s[x] + F.coalesce(r[x], zero)).alias(x) for x in ("total", "part")))
+    share = lambda s: F.when(s["total"] > 0, F.bround(100.0 * s["part"] / s["total"])).otherwise(0)
+    return F.when(F.count(weight) == 0, 100).otherwise(F.aggregate(rows, F.struct(zero.alias("total"), zero.alias("part")), added, share)).cast("int")
 
 
 def seniority_fit(gap: Column) -> Column:

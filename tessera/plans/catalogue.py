@@ -314,7 +314,9 @@ def title_frequency(spark, sf):
 @query("""SELECT l_orderkey AS id, CAST(round_even(100.0 * sum(CASE WHEN l_returnflag = 'R' THEN 1.0 WHEN l_returnflag = 'A' THEN 0.7 ELSE 0.3 END * l_quantity) / sum(l_quantity), 0) AS INT) AS coverage, count(*) FILTER (l_linestatus = 'F') AS unmet FROM lineitem GROUP BY 1""")
 def weighted_coverage(spark, sf):
     name = F.when(F.col("l_returnflag") == "R", "strong").when(F.col("l_returnflag") == "A", "medium").otherwise("weak")
-    return t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(scoring.coverage(F.col("l_quantity"), scoring.strength_weight(name)).alias("coverage"), F.count_if(F.col("l_linestatus") == "F").alias("unmet"))
+    place = F.struct("_metadata.file_path", "_metadata.row_index")
+    rows = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_quantity").alias("weight"), scoring.strength_weight(name).alias("strength"), "l_linestatus", place.alias("place"))
+    return rows.groupBy("id").agg(scoring.coverage(F.col("weight"), F.col("strength"), F.col("place")).alias("coverage"), F.count_if(F.col("l_linestatus") == "F").alias("unmet"))
 
 
 _SC = """WITH x AS (SELECT l_orderkey AS id, CAST(max(l_quantity) * 2 AS INT) AS s, CAST(count(*) FILTER (l_linestatus = 'F') AS INT) AS unmet, CAST(count(*) FILTER (l_returnflag = 'N') AS INT) AS missing, CAST(max(l_linenumber) - 4 AS INT) AS gap FROM lineitem GROUP BY 1),

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -294,3 +295,35 @@ def test_catalogue_against_sql(spark):
         rows = lambda d: sorted(map(str, d.astype(object).where(d.notna(), None).itertuples(index=False, name=None)))
         assert rows(got) == rows(want), name
     assert entry.entry(spark).count() > 0
+
+
+def test_halves_of_coverage_round_as_in_the_tables_order(spark, tmp_path):
+    """Orders whose share is half a point, their lines dealt over files that Spark reads in another order."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tessera.plans import registry
+
+    rng, parts, n = random.Random(1), [[], [], [], []], 0
+    while n < 1000:
+        lines = [(rng.choice("RAN"), rng.randint(1, 50)) for _ in range(10)]
+        q = sum(x for _, x in lines)
+        if 2 * (10 * sum({"R": 10, "A": 7, "N": 3}[f] * x for f, x in lines) % q) == q:
+            for f, x in lines:
+                rng.choices(parts, (1, 2, 3, 4))[0].append((n, float(x), f, "F"))
+            n += 1
+    (tmp_path / "lineitem.parquet").mkdir()
+    for i, rows in enumerate(parts):
+        pq.write_table(pa.table(dict(zip(("l_orderkey", "l_quantity", "l_returnflag", "l_linestatus"), zip(*rows)))), tmp_path / f"lineitem.parquet/part-{i}.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(con.execute(registry.ORACLE_SQL["weighted_coverage"]).fetchall())
+    got = registry.QUERIES["weighted_coverage"](spark, str(tmp_path)).collect()
+    assert sorted((r.id, r.coverage, r.unmet) for r in got) == want
+
+
+def test_coverage_without_weights(spark):
+    rows = spark.createDataFrame([("a", None, 1.0, 0), ("b", 0.0, 1.0, 1), ("c", 2.0, None, 2), ("c", 2.0, 1.0, 3), ("c", None, 1.0, 4)], "id string, weight double, strength double, place int")
+    got = rows.groupBy("id").agg(scoring.coverage(F.col("weight"), F.col("strength"), F.col("place")).alias("x")).collect()
+    assert {r.id: r.x for r in got} == {"a": 100, "b": 0, "c": 50}
